@@ -17,6 +17,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.quality_rules import judge, learn_rules
+
+    docs = table(spark, sf_dir, "documents")
+    judged = judge(docs, learn_rules(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from tidelog.llm.token_counts import count_tokens
