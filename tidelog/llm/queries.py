@@ -32,6 +32,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidelog.llm.quality_classifier import fit_documents, id_remainder, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    model = fit_documents(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score_documents(docs, model, ["doc_id", held_out.alias("held_out")]).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from tidelog.llm.packing import pack_documents
