@@ -43,6 +43,18 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model, ["doc_id", held_out.alias("held_out")]).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidelog.llm.quality_classifier import id_remainder
+    from tidelog.llm.toxicity import fit_documents, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    model = fit_documents(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score_documents(docs, model, ["doc_id", held_out.alias("held_out")]).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from tidelog.llm.packing import pack_documents
