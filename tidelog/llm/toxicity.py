@@ -6,8 +6,9 @@
    like (leetspeak), or for nothing (a separator, a repetition); runs of three or more one-character tokens are one
    lattice whose spaces may vanish. Viterbi finds the cheapest reading under channel costs and language model. Plain words
    have one path and skip the search; a worker remembers tokens, so each costs one search.
-3. A logistic model over the presence of restored words is fitted on a bounded sample of labelled documents. Its words
-   are those that tell toxic documents best; they also enter the language model, which then decodes the whole corpus.
+3. A logistic model over marks of the restored text - words, and beginnings that several of its words share - is fitted
+   on a bounded sample of labelled documents, over the marks that tell toxic documents best. Its words also enter the
+   language model, which then decodes the whole corpus.
 
 Two passes over the texts besides the sample; exchanged are only the trigram counts and the sample's word counts.
 
@@ -34,6 +35,9 @@ from tidelog.llm.quality_classifier import labelled_sample
 #: Labelled rows that the model is fitted on at most, and the words it may use.
 SAMPLE_ROWS, MOST_MARKERS = 20_000, 300
 
+#: Word beginnings of these lengths count as well, by how many of a text's words share one: this often or oftener.
+STEMS, OFTEN = (4, 5, 6), (1, 2, 3)
+
 #: Tokens that a worker remembers at most.
 MOST_KEPT = 400_000
 
@@ -45,9 +49,10 @@ LOOKS_LIKE = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h",
 }
 
-#: Costs, in nats: reading a look-alike, of a wildcard, dropping a separator, a look-alike at a token's edge or inside
-#: it, the second of two equal letters, a further one, a space, and keeping a space between one-character tokens.
-LIKE, WILD, SEPARATOR, EDGE, INNER, TWICE, MORE, SPACE, KEEP_SPACE = 0.7, 2.0, 0.6, 0.2, 3.0, 2.5, 0.2, 0.3, 1.5
+#: Costs, in nats: reading a look-alike, or a wildcard; dropping a separator, a look-alike before a token's letters, after
+#: them (a mark; a digit) or between them, the second of two equal letters, a further one, a space; and keeping a space
+#: between one-character tokens.
+LIKE, WILD, SEPARATOR, LEAD, TRAIL, TRAIL_DIGIT, INNER, TWICE, MORE, SPACE, KEEP_SPACE = 0.7, 2.0, 0.6, 2.0, 0.4, 1.5, 3.0, 2.5, 0.2, 0.3, 1.5
 
 EDGE_CODE, OTHER_CODE, CODES = 0, 27, 28
 
@@ -125,7 +130,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             out.append([(c, 0.0)] + ([("", MORE if longer else TWICE)] if run >= 2 else []))
         else:
             like = LOOKS_LIKE.get(c, "")
-            drop = SEPARATOR if not like else INNER if first < k < last else EDGE
+            drop = SEPARATOR if not like else INNER if first < k < last else LEAD if k < first else TRAIL_DIGIT if c.isdigit() else TRAIL
             if c == "*" and not first < k < last:
                 like = ""
             out.append([("", drop if run == 1 else MORE)] + [(x, WILD if c == "*" else LIKE) for x in like])
@@ -196,6 +201,16 @@ class Decoder(dict):
         return found
 
 
+def marks(found: set[str], stems: set[str] | None = None) -> set[str]:
+    """The marks of a text's restored words: the words, and ``stem-n`` for stems (all, or the given) of n words or more."""
+    counts: dict[str, int] = {}
+    for k in STEMS:
+        for w in found:
+            if len(w) > k and (stems is None or w[:k] in stems):
+                counts[w[:k]] = counts.get(w[:k], 0) + 1
+    return found | {f"{stem}-{n}" for stem, c in counts.items() for n in OFTEN if c >= n}
+
+
 @dataclass
 class ToxicityModel:
     costs: np.ndarray
@@ -204,8 +219,9 @@ class ToxicityModel:
     intercept: float = 0.0
 
     def score(self, found: list[set[str]]) -> np.ndarray:
-        at = {w: k for k, w in enumerate(self.words)}
-        sums = np.array([sum(self.weights[at[w]] for w in f & at.keys()) for f in found], dtype=float)
+        weight = dict(zip(self.words, self.weights.tolist(), strict=True))
+        stems = {w.rpartition("-")[0] for w in self.words if "-" in w}
+        sums = np.array([sum(weight[w] for w in sorted(marks(f, stems) & weight.keys())) for f in found], dtype=float)
         return 1 / (1 + np.exp(-np.clip(sums + self.intercept, -35, 35)))
 
 
@@ -242,7 +258,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, usable: Column, sample_row
     costs = language_model(counts, [])
     sample = labelled_sample(docs, labels, label, sample_rows, usable)
     shipped = docs.sparkSession.sparkContext.broadcast(costs)
-    words = map_texts(sample, "text", ["doc_id", "label"], "words array<string>", lambda ts: {"words": [sorted(_decoder(shipped.value).restore(t)) for t in ts]})
+    words = map_texts(sample, "text", ["doc_id", "label"], "words array<string>", lambda ts: {"words": [sorted(marks(_decoder(shipped.value).restore(t))) for t in ts]})
     words = words.withColumn("toxic", (F.col("label") > 0).cast("long")).select("doc_id", "toxic", "words").cache()
     totals = words.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     n, t = totals["n"], totals["t"]
@@ -266,7 +282,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, usable: Column, sample_row
     for k, r in enumerate(rows):
         x[k, [at[w] for w in r["has"]]] = 1
     weights, intercept = fit_words(x, y)
-    strong = [w for w, b in zip(markers, weights, strict=True) if b > 1.0 and len(w) >= 3 and w.isascii()]
+    strong = [w for w, b in zip(markers, weights, strict=True) if b > 0.7 and len(w) >= 3 and w.isalpha()]
     return ToxicityModel(language_model(counts, strong), markers, weights, intercept)
 
 
