@@ -49,6 +49,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model, ["doc_id", held_out.alias("held_out")]).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.nearest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
