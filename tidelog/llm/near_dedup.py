@@ -19,7 +19,8 @@ Work grows with the square of a bucket only in step 3, at some nanoseconds a pai
 
 Defined cases. Without words (or text) a document's set is empty; it is linked with nothing, not with its like. With
 fewer words than a shingle has, the whole sequence is its one shingle. Rows of one doc_id are separate documents; a group's
-id is the least doc_id in it (null ids are passed over; a group of nothing else has a null id, and its rows aren't kept).
+id is the least doc_id in it (null ids are passed over; a group of nothing else has a null id, and none of its rows is
+marked as kept). ``drop_near_duplicates`` keeps a row of each group, also of such a group.
 Word hashes have 64 bits and shingles are told apart by their hashes. Other columns of the input are left out.
 """
 
@@ -32,7 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm._common import map_texts, materialize
@@ -304,28 +305,46 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: key, n_shingles, component_id and kept (whether its id is the group's)."""
+def grouped(docs: DataFrame, words: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row: doc_id, text_hash, n_shingles and ``first``: (no_id, id, hash) of the group's first document, by id and then
+    by text hash, documents without an id last."""
     bands, rows = banding(percent / 100)
     per_doc = materialize(sketch(docs, words, bands * rows, text, key), "sketches")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     full = per_doc.where("node IS NOT NULL")
-    nodes = materialize(
-        full.groupBy("node").agg(
-            F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")
-        ),
-        "nodes",
-    )
+    nodes = materialize(full.groupBy("node").agg(F.min(own).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "nodes")
     blocks = materialize(candidate_blocks(nodes.select("node", "n_shingles", "registers"), bands, rows, percent / 100), "blocks")
-    wanted = blocks.select("node").distinct().join(nodes, "node").select("node", F.col("one.id").alias("one_id"), F.col("one.hash").alias("one_hash"))
+    wanted = blocks.select("node").distinct().join(nodes, "node").select("node", F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
-    chosen = texts.join(wanted, (F.col("hash") == F.col("one_hash")) & F.col("id").eqNullSafe(F.col("one_id"))).select("node", "text").dropDuplicates(["node"])
+    chosen = texts.join(wanted, (F.col("hash") == F.col("first_hash")) & F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"])
     sets = materialize(map_texts(chosen, "text", ["node"], "shingles binary", lambda ts: {"shingles": [shingle_set(t, words).tobytes() for t in ts]}), "sets")
     labels = components(verified_links(blocks, sets, bands, percent))
-    grouped = nodes.join(labels, "node").select("node", "label", "least_id")
-    least = grouped.groupBy("label").agg(F.min("least_id").alias("group_id"))
-    moved = grouped.join(least, "label").select("node", "group_id")
-    ids = nodes.join(moved, "node", "left").select("node", F.coalesce("group_id", "least_id").alias("component_id"))
-    some = full.select("doc_id", "n_shingles", "node").join(ids, "node").select("doc_id", "n_shingles", "component_id")
-    none = per_doc.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    return some.union(none).withColumn("kept", kept).withColumnRenamed("doc_id", key)
+    linked = nodes.join(labels, "node").select("node", "label", "first")
+    least = linked.groupBy("label").agg(F.min("first").alias("group_first"))
+    moved = linked.join(least, "label").select("node", "group_first")
+    firsts = nodes.join(moved, "node", "left").select("node", F.coalesce("group_first", "first").alias("first"))
+    some = full.select("doc_id", "text_hash", "n_shingles", "node").join(firsts, "node").select("doc_id", "text_hash", "n_shingles", "first")
+    none = per_doc.where("node IS NULL").select("doc_id", "text_hash", "n_shingles", own.alias("first"))
+    return some.union(none)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row: key, n_shingles, component_id and kept (whether its id is the group's)."""
+    kept = F.coalesce(F.col("doc_id") == F.col("first.id"), F.lit(False))
+    return grouped(docs, words, percent, text, key).select(F.col("doc_id").alias(key), "n_shingles", F.col("first.id").alias("component_id"), kept.alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group its first document stays, as one row.
+
+    Rows of one id and text are one document. Texts move only if the keys to drop are too many to be sent to all tasks.
+    """
+    rows = materialize(grouped(docs, words, percent, text, key).select("doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.hash"))).alias("stays")), "decisions")
+    keys = rows.groupBy("doc_id", "text_hash").agg(F.min("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1")
+    keys = materialize(keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "keys")
+    hashed = docs.withColumn("_text_hash", F.xxhash64(text))
+    same = (F.col("_text_hash") == F.col("_hash")) & F.col(key).eqNullSafe(F.col("_id"))
+    untouched = hashed.join(keys, same, "left_anti").select(docs.columns)
+    nth = F.row_number().over(Window.partitionBy("_text_hash", key).orderBy(*[c for c, kind in docs.dtypes if not kind.startswith("map")]))
+    repeated = hashed.join(keys.where("stays"), same, "left_semi").withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
+    return untouched.union(repeated)
