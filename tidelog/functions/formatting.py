@@ -69,6 +69,11 @@ def _column(name: str, columns: list[str]) -> Column:
     return F.col(name) if name in columns else F.lit(None).cast("string")
 
 
+def _time(columns: list[str], fmt: str) -> Column:
+    """The record's time; null for rows without one."""
+    return time_text(F.col("ts"), F.col("ts_ms"), fmt) if "ts" in columns and "ts_ms" in columns else F.lit(None).cast("string")
+
+
 def level_name(columns: list[str]) -> Column:
     return display_name(_column("custom_level_name", columns), F.col("level"))
 
@@ -77,7 +82,7 @@ def template(fmt: str, columns: list[str], time_format: str = DEFAULT_TIME) -> C
     """``{time} {level} {message} {module} {function} {file} {line} {thread}``; unknown tags stay, nulls are empty, an
     unclosed brace is a literal."""
     tags = {
-        "time": lambda: time_text(F.col("ts"), F.col("ts_ms"), time_format),
+        "time": lambda: _time(columns, time_format),
         "level": lambda: level_name(columns),
         "message": lambda: F.col("message"),
         "module": lambda: _column("module", columns),
@@ -112,7 +117,7 @@ def default_line(columns: list[str], time_format: str = DEFAULT_TIME, show: tupl
     if "stack_trace" in columns:
         stack = F.when(F.col("stack_trace").isNotNull(), F.concat(F.lit("\nStack Trace:\n"), F.array_join(F.transform("stack_trace", lambda x: F.concat(F.lit("  "), x, F.lit("\n"))), ""))).otherwise(F.lit(""))
     return F.concat(
-        boxed("time" in show, time_text(F.col("ts"), F.col("ts_ms"), time_format)),
+        boxed("time" in show, _time(columns, time_format)),
         boxed(True, level_name(columns)),
         boxed("module" in show, _column("module", columns)),
         boxed("function" in show, _column("function", columns)),
@@ -142,7 +147,7 @@ def json_line(columns: list[str], time_format: str = DEFAULT_TIME, hostname: str
 
     ``unix`` is seconds here as in text lines; trace ids, durations and errors are not part of the line.
     """
-    when = F.floor(F.col("ts_ms") / 1000).cast("long") if time_format == "unix" else time_text(F.col("ts"), F.col("ts_ms"), time_format)
+    when = F.floor(F.col("ts_ms") / 1000).cast("long") if time_format == "unix" and "ts_ms" in columns else _time(columns, time_format)
     fields = [when.alias("timestamp"), level_name(columns).alias("level"), F.col("message")]
     fields += [F.col(n) for n in ("module", "function", "filename", "line") if n in columns]
     fields += [F.lit(hostname).alias("hostname")] if hostname else []
