@@ -15,7 +15,7 @@ WORD_SPACES = " \t\n\x0b\x0c\r"
 
 #: Texts are handed to Python helpers in slices of about this many characters, so that a batch of long texts
 #: never becomes Python objects all at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 #: Rows of a written table that are ranked together; see ``gapless_rank``.
 BLOCK_ROWS_LOG2 = 14
@@ -116,6 +116,18 @@ def map_texts(df: DataFrame, text_col: str, keep: Sequence[Column | str], schema
     return source.mapInArrow(run, out)
 
 
+_claimed: list[dict] = []
+
+
+def claim(memory: dict) -> None:
+    """Say that a worker's task is about to use ``memory``, what an operator remembers between tasks. A worker serves the
+    stages of many operators; only the last one's memory stays."""
+    if not any(m is memory for m in _claimed):
+        for other in _claimed:
+            other.clear()
+        _claimed[:] = [memory]
+
+
 def bounded_sample(labels: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` rows of ``labels``, those of the smallest hashes of doc_id: the same rows at every run."""
     return labels.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(limit)

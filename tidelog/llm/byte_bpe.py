@@ -23,7 +23,7 @@ from collections.abc import Iterable, Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tidelog.llm._common import map_texts
+from tidelog.llm._common import claim, map_texts
 
 #: White space as the splitting pattern's \s sees it: Unicode's White_Space property.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -42,7 +42,7 @@ UNIT = re.compile(
 SIMPLE = re.compile(f" ?[{LETTERS}]+| ?[0-9]+| ?[!-&(-/:-@\\[-`{{-~]+")
 
 #: Units that a worker remembers at most; then it starts anew.
-MOST_KEPT = 600_000
+MOST_KEPT = 500_000
 
 NONE = np.int64(1) << 62
 
@@ -154,6 +154,17 @@ class SegmentTreeBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def forget_and_list(kept: dict[str, bytes], units: Sequence[Sequence[str]]) -> list[str]:
+    """The units that are not in ``kept``. Where they would overfill it, only what is met just now stays in it."""
+    met = {u for us in units for u in us}
+    missing = met.difference(kept)
+    if len(kept) + len(missing) > MOST_KEPT:
+        still = {u: kept[u] for u in met if u in kept}
+        kept.clear()
+        kept.update(still)
+    return list(missing)
+
+
 class TextEncoder:
     """Encode whole texts: the pattern's matches one by one, by way of the units that a worker remembers."""
 
@@ -171,13 +182,9 @@ class TextEncoder:
         self.kept.update((u, ids[ms[0]] if len(ms) == 1 else b"".join(ids[m] for m in ms)) for u, ms in zip(units, matches, strict=True))
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        claim(self.kept)
         units = [UNIT.findall(t) if t else [] for t in texts]
-        missing = {u for us in units for u in us}
-        missing.difference_update(self.kept)
-        if len(self.kept) + len(missing) > MOST_KEPT:
-            self.kept.clear()
-            missing = {u for us in units for u in us}
-        self.learn(list(missing))
+        self.learn(forget_and_list(self.kept, units))
         return [np.frombuffer(b"".join(map(self.kept.__getitem__, us)), dtype=np.uint32) for us in units]
 
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm._common import map_texts, materialize
+from tidelog.llm._common import claim, map_texts, materialize
 
 #: Base of the registers' scale: with it a byte spans sets of 1 to some millions of elements.
 BASE = 1.085
@@ -51,7 +51,7 @@ MOST_REGISTERS, MISS, ERRORS = 128, 1e-4, 4.2
 BLOCK = 256
 
 #: Word hashes that a worker remembers at most.
-MOST_WORDS = 400_000
+MOST_WORDS = 300_000
 
 _U = np.uint64
 _MUL1, _MUL2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -82,6 +82,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     found = text.encode("utf-8", "replace").lower().split()  # of bytes, lower() is about A-Z alone
     if not found:
         return np.zeros(0, dtype=_U)
+    claim(_word_hashes)
     h = np.array(list(map(_word_hashes.__getitem__, found)), dtype=_U)
     width = min(words, len(h))
     out = np.full(len(h) - width + 1, _U(width))

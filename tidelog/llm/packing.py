@@ -26,8 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm._common import gapless_rank, map_texts, materialize
-from tidelog.llm.byte_bpe import MOST_KEPT, UNIT
+from tidelog.llm._common import claim, gapless_rank, map_texts, materialize
+from tidelog.llm.byte_bpe import UNIT, forget_and_list
 
 PLAN_SCHEMA = "length long, lo long, hi long, first_sequence long, in_each long, offset long"
 
@@ -109,15 +109,11 @@ class UnitTokenizer:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
+        claim(self.kept)
         units = [self._units(t) if t else [] for t in texts]
-        missing = {u for us in units for u in us}
-        missing.difference_update(self.kept)
-        if len(self.kept) + len(missing) > MOST_KEPT:
-            self.kept.clear()
-            missing = {u for us in units for u in us}
-        new = list(missing)
-        for low in range(0, len(new), 20_000):
-            part = new[low : low + 20_000]
+        new = forget_and_list(self.kept, units)
+        for low in range(0, len(new), 5_000):
+            part = new[low : low + 5_000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.kept.update((u, np.array(e.ids, dtype="<u4").tobytes()) for u, e in zip(part, found, strict=True))
         return [b"".join(map(self.kept.__getitem__, us)) for us in units]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm._common import map_texts, slices
+from tidelog.llm._common import claim, map_texts, slices
 from tidelog.llm.quality_classifier import labelled_sample
 
 #: Labelled rows that the model is fitted on at most, and the words it may use.
@@ -133,7 +133,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             drop = SEPARATOR if not like else INNER if first < k < last else LEAD if k < first else TRAIL_DIGIT if c.isdigit() else TRAIL
             if c == "*" and not first < k < last:
                 like = ""
-            out.append([("", drop if run == 1 else MORE)] + [(x, WILD if c == "*" else LIKE) for x in like])
+            out.append([("", drop if run == 1 or c.isdigit() else MORE)] + [(x, WILD if c == "*" else LIKE) for x in like])
     return out
 
 
@@ -193,7 +193,10 @@ class Decoder(dict):
         text = text.lower()
         found: set[str] = set()
         for spelt in _SPELT.findall(text):
-            found.update(self[" ".join(spelt.split())].split())
+            run = spelt.split()
+            for part in (run, run[1:], run[:-1]):  # a one-letter word may stand before or after
+                if len(part) > 2:
+                    found.update(self[" ".join(part)].split())
         tokens = set(map(self.__getitem__, set(text.split())))
         for t in tokens:
             found.update(t.split()) if " " in t else found.add(t)
@@ -234,6 +237,7 @@ def _decoder(costs: np.ndarray) -> Decoder:
     if name not in _decoders:
         _decoders.clear()
         _decoders[name] = Decoder(costs)
+    claim(_decoders[name])
     return _decoders[name]
 
 
