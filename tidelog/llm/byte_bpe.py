@@ -44,6 +44,9 @@ SIMPLE = re.compile(f" ?[{LETTERS}]+| ?[0-9]+| ?[!-&(-/:-@\\[-`{{-~]+")
 #: Units that a worker remembers at most; then it starts anew.
 MOST_KEPT = 500_000
 
+#: Units of more characters are not remembered.
+LONGEST_KEPT = 128
+
 NONE = np.int64(1) << 62
 
 
@@ -165,6 +168,13 @@ def forget_and_list(kept: dict[str, bytes], units: Sequence[Sequence[str]]) -> l
     return list(missing)
 
 
+def forget_long(kept: dict[str, bytes], units: Sequence[str]) -> None:
+    """Long units are rare: they don't stay."""
+    for u in units:
+        if len(u) > LONGEST_KEPT:
+            del kept[u]
+
+
 class TextEncoder:
     """Encode whole texts: the pattern's matches one by one, by way of the units that a worker remembers."""
 
@@ -184,8 +194,10 @@ class TextEncoder:
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         claim(self.kept)
         units = [UNIT.findall(t) if t else [] for t in texts]
-        self.learn(forget_and_list(self.kept, units))
-        return [np.frombuffer(b"".join(map(self.kept.__getitem__, us)), dtype=np.uint32) for us in units]
+        self.learn(new := forget_and_list(self.kept, units))
+        out = [np.frombuffer(b"".join(map(self.kept.__getitem__, us)), dtype=np.uint32) for us in units]
+        forget_long(self.kept, new)
+        return out
 
 
 _encoders: dict[tuple[str, str], TextEncoder] = {}

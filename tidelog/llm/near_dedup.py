@@ -52,6 +52,8 @@ BLOCK = 256
 
 #: Word hashes that a worker remembers at most.
 MOST_WORDS = 300_000
+#: Longer words, in bytes, are not remembered.
+LONGEST_WORD = 128
 
 _U = np.uint64
 _MUL1, _MUL2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -66,9 +68,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST_WORD:
+            if len(self) > MOST_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm._common import claim, gapless_rank, map_texts, materialize
-from tidelog.llm.byte_bpe import UNIT, forget_and_list
+from tidelog.llm.byte_bpe import UNIT, forget_and_list, forget_long
 
 PLAN_SCHEMA = "length long, lo long, hi long, first_sequence long, in_each long, offset long"
 
@@ -116,7 +116,9 @@ class UnitTokenizer:
             part = new[low : low + 5_000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.kept.update((u, np.array(e.ids, dtype="<u4").tobytes()) for u, e in zip(part, found, strict=True))
-        return [b"".join(map(self.kept.__getitem__, us)) for us in units]
+        out = [b"".join(map(self.kept.__getitem__, us)) for us in units]
+        forget_long(self.kept, new)
+        return out
 
 
 _tokenizers: dict[str, UnitTokenizer] = {}

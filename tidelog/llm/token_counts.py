@@ -32,8 +32,8 @@ PRE_TOKEN = re.compile(r"\n| *[^ \n]+| +")
 #: Pre-tokens that go to all tasks: so many, of at most so many characters each; a few MB whatever the corpus.
 HEAD, HEAD_CHARS = 150_000, 32
 
-#: Distinct pre-tokens that a task gathers before it sends their counts on.
-MOST_GATHERED = 300_000
+#: Distinct pre-tokens that a task gathers, and characters that it reads, before it sends the counts on.
+MOST_GATHERED, MOST_READ = 300_000, 64_000_000
 
 
 def pre_tokens(text: str | None) -> list[str]:
@@ -82,6 +82,7 @@ def distinct_pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
+        read = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             tokens = list(held)
@@ -94,8 +95,10 @@ def distinct_pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
             for low in range(0, batch.num_rows, 512):
                 for t in batch.column(0).slice(low, 512).to_pylist():
                     held.update(pre_tokens(t))
-                    if len(held) > MOST_GATHERED:
+                    read += len(t or "")
+                    if len(held) > MOST_GATHERED or read > MOST_READ:
                         yield from out()
+                        read = 0
         yield from out()
 
     return docs.select(text).mapInArrow(gather, "token string, freq long").groupBy("token").agg(F.sum("freq").alias("freq"))

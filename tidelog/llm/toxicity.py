@@ -40,6 +40,8 @@ STEMS, OFTEN = (4, 5, 6), (1, 2, 3)
 
 #: Tokens that a worker remembers at most.
 MOST_KEPT = 400_000
+#: Longer ones are rare, and worked out each time.
+LONGEST_KEPT = 64
 
 THRESHOLD = 0.7
 
@@ -145,9 +147,11 @@ class Decoder(dict):
         self.costs = costs.tolist()
 
     def __missing__(self, token: str) -> str:
-        if len(self) > MOST_KEPT:
-            self.clear()
-        out = self[token] = self.decode(token)
+        out = self.decode(token)
+        if len(token) <= LONGEST_KEPT:
+            if len(self) > MOST_KEPT:
+                self.clear()
+            self[token] = out
         return out
 
     def decode(self, token: str) -> str:
