@@ -327,7 +327,8 @@ def grouped(docs: DataFrame, words: int, percent: int, text: str = "text", key:
     linked = nodes.join(labels, "node").select("node", "label", "first")
     least = linked.groupBy("label").agg(F.min("first").alias("group_first"))
     moved = linked.join(least, "label").select("node", "group_first")
-    firsts = nodes.join(moved, "node", "left").select("node", F.coalesce("group_first", "first").alias("first"))
+    # written, so that the join below is one of two plain tables, which Spark can split at a node of very many copies
+    firsts = materialize(nodes.join(moved, "node", "left").select("node", F.coalesce("group_first", "first").alias("first")), "firsts")
     some = full.select("doc_id", "text_hash", "n_shingles", "node").join(firsts, "node").select("doc_id", "text_hash", "n_shingles", "first")
     none = per_doc.where("node IS NULL").select("doc_id", "text_hash", "n_shingles", own.alias("first"))
     return some.union(none)
