@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm._common import claim, map_texts, materialize
+from tidelog.llm._common import claim, map_texts, materialize, sieve
 
 #: Base of the registers' scale: with it a byte spans sets of 1 to some millions of elements.
 BASE = 1.085
@@ -320,7 +320,9 @@ def grouped(docs: DataFrame, words: int, percent: int, text: str = "text", key:
     nodes = materialize(full.groupBy("node").agg(F.min(own).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "nodes")
     blocks = materialize(candidate_blocks(nodes.select("node", "n_shingles", "registers"), bands, rows, percent / 100), "blocks")
     wanted = blocks.select("node").distinct().join(nodes, "node").select("node", F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"))
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    wanted = materialize(wanted, "wanted")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).withColumn("_hash", F.xxhash64("id", "hash"))
+    texts = sieve(texts, wanted.select(F.xxhash64("first_id", "first_hash").alias("_hash"))).where("_maybe")  # the other texts stay where they are
     chosen = texts.join(wanted, (F.col("hash") == F.col("first_hash")) & F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"])
     sets = materialize(map_texts(chosen, "text", ["node"], "shingles binary", lambda ts: {"shingles": [shingle_set(t, words).tobytes() for t in ts]}), "sets")
     labels = components(verified_links(blocks, sets, bands, percent))
@@ -343,14 +345,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group its first document stays, as one row.
 
-    Rows of one id and text are one document. Texts move only if the keys to drop are too many to be sent to all tasks.
+    Rows of one id and text are one document. Only texts that may have to go are shuffled, to find out exactly.
     """
-    rows = materialize(grouped(docs, words, percent, text, key).select("doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.hash"))).alias("stays")), "decisions")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.hash"))
+    rows = materialize(grouped(docs, words, percent, text, key).select("doc_id", "text_hash", stays.alias("stays")), "decisions")
     keys = rows.groupBy("doc_id", "text_hash").agg(F.min("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1")
-    keys = materialize(keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "keys")
-    hashed = docs.withColumn("_text_hash", F.xxhash64(text))
-    same = (F.col("_text_hash") == F.col("_hash")) & F.col(key).eqNullSafe(F.col("_id"))
-    untouched = hashed.join(keys, same, "left_anti").select(docs.columns)
+    keys = materialize(keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), "stays"), "keys")
+    hashed = docs.withColumns({"_text_hash": F.xxhash64(text), "_hash": F.xxhash64(F.col(key), F.xxhash64(text))})
+    marked = sieve(hashed, keys.select(F.xxhash64("_id", "_text").alias("_hash")))
+    kept = marked.where("NOT _maybe").select(docs.columns)
+    doubtful = marked.where("_maybe")
+    same = (F.col("_text_hash") == F.col("_text")) & F.col(key).eqNullSafe(F.col("_id"))
+    untouched = doubtful.join(keys, same, "left_anti").select(docs.columns)
     nth = F.row_number().over(Window.partitionBy("_text_hash", key).orderBy(*[c for c, kind in docs.dtypes if not kind.startswith("map")]))
-    repeated = hashed.join(keys.where("stays"), same, "left_semi").withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
-    return untouched.union(repeated)
+    repeated = doubtful.join(keys.where("stays"), same, "left_semi").withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
+    return kept.union(untouched).union(repeated)
