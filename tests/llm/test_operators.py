@@ -178,6 +178,13 @@ def test_html_boilerplate_and_odd_pages(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("names", "away"), [("ad", True), ("ad-container", True), ("site-footer", True), ("commentList", True), ("comments-wrapper", True), ("has-sidebar", False), ("content-with-sidebar", False), ("sidebar-layout", False), ("post content", False), ("header-ad", True), ("shadow", False), ("", False)])
+def test_names_of_parts(names, away):
+    from tidelog.llm.html_extraction import _away
+
+    assert bool(_away(names)) is away
+
+
 # --- 4
 
 

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import sys
-from pathlib import Path
-
 import public_tokenizers
 from pyspark.sql import functions as F
+from test_operators import brute_components, check_packing
 
 import corpus_pipeline
 from tidelog.llm._common import table
 
-sys.path.insert(0, str(Path(__file__).parent))
-from test_operators import brute_components, check_packing  # noqa: E402
-
 
 def test_stages(spark, sf_dir, tmp_path):
     from tokenizers import Tokenizer

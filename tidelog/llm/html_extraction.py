@@ -49,7 +49,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words in the names of parts whose own header, with the title, belongs to the main text.
 CONTENT = frozenset("content article post entry story hentry".split())
 #: Words that say a name is about the layout around such a part, not about the part.
-LAYOUT = frozenset("with has no layout wrapper container grid columns cols page".split())
+LAYOUT = frozenset("layout page columns cols grid".split())
+AROUND = frozenset("with has no".split())
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion responses".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -60,14 +61,14 @@ _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def _away(names: str) -> str | None:
-    """The word by which a class or id attribute tells that the part is not main text."""
+    """The word by which a class or id attribute tells that the part is not main text: its last (``site-footer``), unless
+    the name is about a layout around such a part (``has-sidebar``), or its first (``ad-container``)."""
     for name in names.split():
         words = [w.lower() for w in _NAME_PARTS.findall(name)]
-        if not words or (len(words) > 1 and LAYOUT.intersection(words)):
-            continue
-        for w in (words[-1], words[0]):
-            if w in AWAY:
-                return w
+        if words and words[-1] in AWAY and not AROUND.intersection(words[:-1]):
+            return words[-1]
+        if words and words[0] in AWAY and not LAYOUT.intersection(words):
+            return words[0]
     return None
 
 
@@ -178,7 +179,7 @@ class Page:
                 self.paths.append(path)
                 self.parents.append(top.container)
             words = {w.lower() for w in _NAME_PARTS.findall(names)}
-            stack.append(_Open(tag, path, top.dropped or by is not None, container, by, bool(CONTENT & words) and not LAYOUT & words))
+            stack.append(_Open(tag, path, top.dropped or by is not None, container, by, bool(CONTENT & words) and not (LAYOUT | AROUND | {"wrapper", "container"}) & words))
         if at < len(html) and not stack[-1].dropped:
             parts.append(html[at:])
         flush()
