@@ -238,7 +238,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_i
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("splits"))
     part_of = lambda split: F.pmod(F.xxhash64("cell", split), F.lit(parts)).cast("int")
     split = F.pmod(F.xxhash64("point"), F.col("splits")).cast("int")
-    dealt = placed.join(sizes, "cell").withColumn("part", part_of(split))
+    big = materialize(sizes.where("splits > 1"), "big-cells")  # few: a cell counts if it alone fills a part
+    dealt = placed.join(big, "cell", "left").withColumn("splits", F.coalesce("splits", F.lit(1))).withColumn("part", part_of(split))
     asked = materialize(usable(vectors.where(F.col(key) % every == 0), key, vector).where(F.size("v") == d).select(F.col("id").alias("query"), "v"), "queries")
     probes = asked.mapInArrow(into_probes, "query long, cells array<long>").select("query", F.explode("cells").alias("cell")).join(sizes, "cell")
     visits = probes.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).withColumn("part", part_of(F.col("split")))
