@@ -103,6 +103,24 @@ def queue_depth(df: DataFrame, order: Sequence[str], delta: Column, by: Sequence
     return df.withColumn("_d", delta).withColumn("_depth", depth).groupBy(*by).agg(F.max("_depth").alias("max_depth"))
 
 
+def async_stats(df: DataFrame, dropped: Column, latency: Column, by: Sequence[str] = ()) -> DataFrame:
+    """A queue's figures: average latency of what was written, and drops as a share of what was queued."""
+    n, drops = F.count(F.lit(1)), F.count_if(dropped)
+    written = n - drops
+    return df.groupBy(*by).agg(n.alias("queued"), drops.alias("dropped"), rate(drops, n).alias("drop_rate"), rate(F.sum(F.when(~dropped, latency)), written).alias("avg_latency"))
+
+
+def pool_stats(df: DataFrame, wait_ns: Column, exec_ns: Column, failed: Column, threads: int, by: Sequence[str] = ()) -> DataFrame:
+    """A pool's figures: average wait and run time, tasks a second of run time, use of the threads, share of successes
+    (1 without tasks)."""
+    n, ran = F.count(F.lit(1)), F.coalesce(F.sum(exec_ns), F.lit(0))
+    success = F.when(n == 0, F.lit(1.0)).otherwise(1 - rate(F.count_if(failed), n))
+    return df.groupBy(*by).agg(
+        n.alias("tasks"), rate(F.sum(wait_ns), n).alias("avg_wait_ns"), rate(ran, n).alias("avg_exec_ns"), rate(n, ran / F.lit(1e9)).alias("throughput"),
+        rate(ran, (ran + F.coalesce(F.sum(wait_ns), F.lit(0))) * threads).alias("utilization"), success.alias("success_rate"),
+    )
+
+
 def level_breakdown(df: DataFrame) -> DataFrame:
     """One line: the levels that occur, with their counts."""
     parts = F.array(*[F.struct(F.lit(name).alias("name"), F.count_if(F.col("level") == name).alias("n")) for name, _, _ in LEVELS])

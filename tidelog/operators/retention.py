@@ -56,6 +56,24 @@ def rotated_name(base: str, seconds: Column, naming: str, custom: str | None = N
     raise ValueError(f"unknown naming {naming!r}")
 
 
+def archived(path: str, archive: str | None) -> str:
+    """Where a rotated file goes: the archive folder, or its own."""
+    return f"{archive.rstrip('/')}/{path.rsplit('/', 1)[-1]}" if archive else path
+
+
+def shift_indices(files: DataFrame, index: str, most: int = 10) -> DataFrame:
+    """Rotation by numbers: each file moves up by one; add ``new_index``, null for a file that falls off the end."""
+    return files.withColumn("new_index", F.when(F.col(index) + 1 <= most, F.col(index) + 1))
+
+
+def should_compress(path: Column, size: Column, mode: str, extension: str = ".gz", threshold: int = 0) -> Column:
+    """Whether a file is to be packed: never, always, or from a size on; packed files never are."""
+    if mode == "never":
+        return F.lit(False)
+    fresh = ~F.endswith(path, F.lit(extension))
+    return fresh if mode == "always" else fresh & (size >= threshold)
+
+
 def size_index(df: DataFrame, size: str, limit: int, order: Sequence[str], key_by: Sequence[str] = ()) -> DataFrame:
     """Add ``file_index``: a record starts a new file if the current one has reached ``limit`` before it is written.
 
@@ -76,7 +94,7 @@ def retain(files: DataFrame, max_age: int | None, keep: int | None) -> DataFrame
     """Files (name, mtime, size, age) that stay: not older than ``max_age``, then the newest ``keep``."""
     out = files.where(F.col("age") <= max_age) if max_age is not None else files
     if keep is not None:
-        out = out.withColumn("_n", F.row_number().over(Window.orderBy(F.desc("mtime"), F.desc("name")))).where(F.col("_n") <= keep).drop("_n")
+        out = out.orderBy(F.desc("mtime"), F.desc("name")).limit(keep)
     return out
 
 

@@ -204,21 +204,31 @@ class Rules:
     def __len__(self) -> int:
         return len(self.rules)
 
-    def matched(self, df: DataFrame, time: str = "ts_ms", id_column: str = "event_id") -> DataFrame:
-        """Add ``rule_ids``, the ids of the rules that match each record, in insertion order.
+    def _tested(self, df: DataFrame, time: str, id_column: str) -> DataFrame:
+        """Add a boolean ``_rule_<place>`` for each rule; each test is written once in the plan.
 
         A rule of ``once`` fires on its first record by (time, id): its place is found by an aggregate over the data,
-        one row for each such rule, which goes back into the expression.
+        one row for all such rules, which goes back into the expression.
         """
         first = self._first_records(df, time, id_column)
-        hits = []
-        for r in self.rules:
+        tests = {}
+        for k, r in enumerate(self.rules):
             test = r.predicate(df.columns)
             if r.once:
                 at = first.get(r.id)
                 test = F.lit(False) if at is None else test & (F.col(time) == at[0]) & (F.col(id_column) == at[1])
-            hits.append(F.when(test, F.lit(r.id)))
-        return df.withColumn("rule_ids", F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.array().cast("array<int>"))
+            tests[f"_rule_{k}"] = F.coalesce(test, F.lit(False))
+        return df.withColumns(tests) if tests else df
+
+    def _ids(self) -> Column:
+        """The ids of the rules that hold, in order; expressions that Spark compiles, no lambda."""
+        none = -(2**31)
+        hits = [F.when(F.col(f"_rule_{k}"), F.lit(r.id)).otherwise(F.lit(none)) for k, r in enumerate(self.rules)]
+        return F.array_remove(F.array(*hits), none) if hits else F.array().cast("array<int>")
+
+    def matched(self, df: DataFrame, time: str = "ts_ms", id_column: str = "event_id") -> DataFrame:
+        """Add ``rule_ids``, the ids of the rules that match each record, in insertion order."""
+        return self._tested(df, time, id_column).select(*df.columns, self._ids().alias("rule_ids"))
 
     def _first_records(self, df: DataFrame, time: str, id_column: str) -> dict[int, tuple]:
         once = [r for r in self.rules if r.once]
@@ -229,11 +239,14 @@ class Rules:
 
     def evaluate(self, df: DataFrame, time: str = "ts_ms", id_column: str = "event_id") -> DataFrame:
         """Add ``rule_ids`` and ``rule_messages``: the messages of all matching rules, in order; null if none match."""
-        kind = F.lit(None).cast(RULE_MESSAGE)
-        of_rule = [F.when(F.array_contains("rule_ids", r.id), F.array(*[m.column() for m in r.messages]) if r.messages else F.array(kind).cast(f"array<{RULE_MESSAGE.simpleString()}>")) for r in self.rules]
-        out = self.matched(df, time, id_column)
-        all_messages = F.flatten(F.filter(F.array(*of_rule), lambda x: x.isNotNull())) if of_rule else None
-        return out.withColumn("rule_messages", F.when(F.size("rule_ids") > 0, all_messages) if of_rule else F.lit(None))
+        kind = f"array<{RULE_MESSAGE.simpleString()}>"
+        empty = F.array().cast(kind)
+        own = [F.when(F.col(f"_rule_{k}"), F.array(*[m.column() for m in r.messages]).cast(kind)).otherwise(empty) for k, r in enumerate(self.rules) if r.messages]
+        some = F.lit(False)
+        for k in range(len(self.rules)):
+            some = some | F.col(f"_rule_{k}")
+        found = F.when(some, F.flatten(F.array(*own)) if own else empty)
+        return self._tested(df, time, id_column).select(*df.columns, self._ids().alias("rule_ids"), found.alias("rule_messages"))
 
     def stats(self, df: DataFrame, time: str = "ts_ms", id_column: str = "event_id") -> DataFrame:
         out = self.evaluate(df, time, id_column)

@@ -1,9 +1,9 @@
 """Samplers over records in arrival order. Order is always (time, unique id), time is the records' own.
 
 ``key_by`` names the columns that a sampler has a state for. The record-at-a-time library has one state; here that is an
-empty ``key_by``, which puts all rows into one group and does not scale: name keys on large data. Probability sampling is
-a filter and every-N a window; the rate limit and the adaptive rate are folds, state machines of a few numbers that a
-sorted partition's Arrow batches stream through.
+empty ``key_by``. Probability sampling is a filter, and every-N ranks records, also without a key, in many tasks. The rate
+limit and the adaptive rate are folds: state machines of a few numbers that a sorted partition's Arrow batches stream
+through. Without a key a fold runs in one task, so name keys for them on large data.
 """
 
 from __future__ import annotations
@@ -55,8 +55,29 @@ def _order(time: str, id_column: str) -> list[str]:
     return [time, id_column]
 
 
+#: Records of so many milliseconds are ranked together where all records have one order.
+BUCKET_MS = 60_000
+
+
+def overall_rank(df: DataFrame, time: str, id_column: str, out: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Number all records from 1 by (time, id), without one task for all of them.
+
+    Records are ranked inside time buckets; each bucket starts where the counts of the earlier ones end. Only the table of
+    buckets, a row for each minute that has records, is summed up in one task.
+    """
+    bucketed = df.withColumn("_bucket", F.floor(F.col(time) / bucket_ms))
+    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    starts = counts.select(F.col("_bucket").alias("_of"), before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*_order(time, id_column)))
+    ranked = bucketed.withColumn("_inside", inside).join(starts, F.col("_bucket").eqNullSafe(F.col("_of")))
+    return ranked.withColumn(out, F.col("_before") + F.col("_inside")).select(*df.columns, out)
+
+
 def flag_every_n(df: DataFrame, n: int, time: str, id_column: str, key_by: Sequence[str] = ()) -> DataFrame:
     """Accept each n-th record, not the first."""
+    if not key_by:
+        return overall_rank(df, time, id_column, "_place").withColumn("accepted", F.col("_place") % n == 0).drop("_place")
     place = F.row_number().over(Window.partitionBy(*key_by).orderBy(*_order(time, id_column)))
     return df.withColumn("accepted", place % n == 0)
 

@@ -237,7 +237,7 @@ def sample_probability(spark, sf_dir):
 
 @query(_ev("SELECT event_id, row_number() OVER (ORDER BY ts_ms, event_id) % 10 = 0 AS accepted FROM logs"))
 def sample_every_n(spark, sf_dir):
-    """One state for all records, as in the record-at-a-time library: one task by definition."""
+    """One order for all records, ranked in many tasks."""
     return sampling.flag_every_n(events(spark, sf_dir), 10, "ts_ms", "event_id").select("event_id", "accepted")
 
 
@@ -775,6 +775,31 @@ def priority_pop(spark, sf_dir):
     return retention.by_priority(orders(spark, sf_dir), "priority", ["ts_ms", "event_id"], 64).select("event_id", "priority")
 
 
+@query("SELECT p_partkey, CAST(p_size AS INTEGER) AS p_size, CAST(CASE WHEN p_size + 1 <= 10 THEN p_size + 1 END AS INTEGER) AS new_index FROM part")
+def rotation_index_shift(spark, sf_dir):
+    return retention.shift_indices(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", 10)
+
+
+@query("SELECT p_partkey, NOT ends_with(p_name, '7') AND p_size >= 20 AS packed FROM part")
+def compression_decision(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", retention.should_compress(F.col("p_name"), F.col("p_size"), "size", "7", 20).alias("packed"))
+
+
+@query(_ord("SELECT level, COUNT(*) AS queued, COUNT(*) FILTER (event_id % 10 = 0) AS dropped, COUNT(*) FILTER (event_id % 10 = 0) / COUNT(*)::DOUBLE AS drop_rate, SUM(event_id % 1000) FILTER (event_id % 10 <> 0) / (COUNT(*) FILTER (event_id % 10 <> 0))::DOUBLE AS avg_latency FROM logs GROUP BY level"))
+def async_stats(spark, sf_dir):
+    return metrics.async_stats(orders(spark, sf_dir), F.col("event_id") % 10 == 0, F.col("event_id") % 1000, ["level"])
+
+
+@query(
+    _ord(
+        ", t AS (SELECT level, event_id % 1000 AS w, event_id % 777 + 1 AS x, event_id % 13 = 0 AS f FROM logs) SELECT level, COUNT(*) AS tasks, SUM(w) / COUNT(*)::DOUBLE AS avg_wait_ns, SUM(x) / COUNT(*)::DOUBLE AS avg_exec_ns, COUNT(*) / (SUM(x) / 1e9::DOUBLE) AS throughput, SUM(x) / ((SUM(x) + SUM(w)) * 4)::DOUBLE AS utilization, 1 - COUNT(*) FILTER (f) / COUNT(*)::DOUBLE AS success_rate FROM t GROUP BY level"
+    )
+)
+def pool_stats(spark, sf_dir):
+    e = F.col("event_id")
+    return metrics.pool_stats(orders(spark, sf_dir), e % 1000, e % 777 + 1, e % 13 == 0, 4, ["level"])
+
+
 # --- the whole pipeline
 
 PIPELINE = LogPipeline(
