@@ -5,8 +5,9 @@
    tags and classes from the body down, with digits generalised (``div.post-#``).
 2. Spark sums the votes by host and path and ranks the paths of each host.
 3. Each page is read again with its host's paths: the first that the page has, with text in it, is the main text. A page
-   with none of them falls back to its own best container. The join brings a host's few paths to its pages; Spark sends
-   them to all tasks only where it finds them small, and splits a host with very many pages.
+   with none of them falls back to its own best container. The hosts' paths are written first, so that Spark knows their
+   size before it plans the join: below its limit it sends them to all tasks and no page moves; above, it deals pages by
+   host and splits a host with very many pages.
 
 Blocks are parted at block-level tags and line breaks. Inside a block, white space becomes one space; character
 references are decoded; blocks are joined by ``\\n`` in page order.
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidelog.llm._common import slices
+from tidelog.llm._common import materialize, slices
 
 #: Paths that a page votes for at most, and that a host keeps.
 VOTES, WINNERS = 3, 3
@@ -251,7 +252,7 @@ def winning_paths(votes: DataFrame, most: int = WINNERS) -> DataFrame:
 
 def extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), url: str = "url", html: str = "html") -> DataFrame:
     """The columns ``keep``, text and n_chars (its code points) of every page."""
-    winners = winning_paths(path_votes(pages, url, html))
+    winners = materialize(winning_paths(path_votes(pages, url, html)), "host-paths")
     with_host = pages.select(*keep, host_of(F.col(url)).alias("_host"), F.col(html).alias("_html"))
     joined = with_host.join(winners.withColumnRenamed("host", "_host"), "_host", "left").select(*keep, "_html", "paths")
     fields = joined.schema.fields[: len(keep)]
