@@ -109,7 +109,6 @@ class UnitTokenizer:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        claim(self.kept)
         units = [self._units(t) if t else [] for t in texts]
         new = forget_and_list(self.kept, units)
         for low in range(0, len(new), 5_000):
@@ -125,6 +124,8 @@ _tokenizers: dict[str, UnitTokenizer] = {}
 
 
 def unit_tokenizer(path: str) -> UnitTokenizer:
+    """This worker's tokenizer for a file; it goes, with all it remembers, when another operator claims the memory."""
+    claim(_tokenizers)
     if path not in _tokenizers:
         _tokenizers[path] = UnitTokenizer(path)
     return _tokenizers[path]
