@@ -19,6 +19,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Sequence
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -159,7 +160,7 @@ class SegmentTreeBpe:
 
 def forget_and_list(kept: dict[str, bytes], units: Sequence[Sequence[str]]) -> list[str]:
     """The units that are not in ``kept``. Where they would overfill it, only what is met just now stays in it."""
-    met = {u for us in units for u in us}
+    met = set(chain.from_iterable(units))
     missing = met.difference(kept)
     if len(kept) + len(missing) > MOST_KEPT:
         still = {u: kept[u] for u in met if u in kept}

@@ -27,7 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm._common import claim, gapless_rank, map_texts, materialize
-from tidelog.llm.byte_bpe import UNIT, forget_and_list, forget_long
+from tidelog.llm.byte_bpe import SPACES, UNIT, forget_and_list, forget_long
+
+#: Units that no match crosses where one of them follows another; so many are encoded as one text.
+SPACED = re.compile(f" [^{SPACES}]+")
+RUN_UNITS = 2_000
 
 PLAN_SCHEMA = "length long, lo long, hi long, first_sequence long, in_each long, offset long"
 
@@ -97,6 +101,7 @@ class UnitTokenizer:
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = {s: np.array([i], dtype="<u4").tobytes() for s, i in special.items()}
         self.part = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
         self.kept: dict[str, bytes] = {}
 
     def _units(self, text: str) -> list[str]:
@@ -107,14 +112,31 @@ class UnitTokenizer:
             units += [part] if part in self.special else UNIT.findall(part)
         return units
 
+    def _ids_of_each(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _ids_of_run(self, units: list[str]) -> list[bytes]:
+        """The ids of units like ``SPACED``: encoded as one text, and parted again by the bytes that tokens stand for."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, dtype="<u4")
+        token_ends, unit_ends = np.cumsum(self.token_bytes[ids]), np.cumsum([len(u.encode()) for u in units])
+        at = np.searchsorted(token_ends, unit_ends)
+        if not np.array_equal(token_ends[np.minimum(at, len(ids) - 1)], unit_ends):  # not so with a byte-level vocabulary
+            return self._ids_of_each(units)
+        raw, borders = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+        return [raw[a:b] for a, b in zip(borders, borders[1:], strict=False)]
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         units = [self._units(t) if t else [] for t in texts]
         new = forget_and_list(self.kept, units)
-        for low in range(0, len(new), 5_000):
-            part = new[low : low + 5_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.kept.update((u, np.array(e.ids, dtype="<u4").tobytes()) for u, e in zip(part, found, strict=True))
+        run = [u for u in new if SPACED.fullmatch(u)]
+        for low in range(0, len(run), RUN_UNITS):
+            part = run[low : low + RUN_UNITS]
+            self.kept.update(zip(part, self._ids_of_run(part), strict=True))
+        single = [u for u in new if u not in self.kept]
+        for low in range(0, len(single), 5_000):
+            part = single[low : low + 5_000]
+            self.kept.update(zip(part, self._ids_of_each(part), strict=True))
         out = [b"".join(map(self.kept.__getitem__, us)) for us in units]
         forget_long(self.kept, new)
         return out
