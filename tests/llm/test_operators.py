@@ -439,6 +439,16 @@ def test_near_dedup(spark, sf_dir, texts):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_near_dedup_equals_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    theirs = con.execute(f"SELECT doc_id, n_shingles, component_id, kept FROM ({Q.oracle_sql()['op9_near_dedup']})").fetchall()
+    ours = Q.op9_near_dedup(spark, sf_dir).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, ours)) == sorted(theirs)
+
+
 def edited(rng, base, n):
     out = list(base)
     for at in rng.integers(0, len(base), n):
