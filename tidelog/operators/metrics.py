@@ -97,6 +97,14 @@ def summary(df: DataFrame) -> DataFrame:
     return df.agg(n.alias("records"), rate(n, seconds).alias("records_per_second"), rate(n_bytes, n).alias("avg_bytes_per_record"))
 
 
+def extremes(df: DataFrame, name: str, value: str) -> DataFrame:
+    """One row: which ``name`` has the most and the least ``value``, and these; ties by name. Folded within tasks first."""
+    pair = F.struct(value, name)
+    return df.agg(F.max(pair).alias("most"), F.min(pair).alias("least")).select(
+        F.col(f"most.{name}").alias("most"), F.col(f"most.{value}").alias("most_value"), F.col(f"least.{name}").alias("least"), F.col(f"least.{value}").alias("least_value")
+    )
+
+
 def queue_depth(df: DataFrame, order: Sequence[str], delta: Column, by: Sequence[str] = ()) -> DataFrame:
     """The greatest depth of a queue per group, from its entries (+1) and exits (-1) in order."""
     depth = F.sum("_d").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -14,7 +14,7 @@ from tidelog.functions import formatting, levels, redaction, scalars
 from tidelog.operators import enrich, metrics, retention, rules, sampling, sinks
 from tidelog.operators.filters import Filter, SinkFilter, level_gate
 from tidelog.plans.pipeline import LogPipeline
-from tidelog.sources import adapters
+from tidelog.sources import adapters, records
 from tidelog.streaming import stateful, windows
 from tidelog.streaming.workspace import shared_folder
 
@@ -800,6 +800,44 @@ def pool_stats(spark, sf_dir):
     return metrics.pool_stats(orders(spark, sf_dir), e % 1000, e % 777 + 1, e % 13 == 0, 4, ["level"])
 
 
+# --- records from calls, and summaries over them
+
+
+@query("SELECT o_orderkey AS event_id, 'NOTICE' AS level, CAST(22 AS INTEGER) AS priority, printf('order %d of customer %d: %s', o_orderkey, o_custkey, o_orderstatus) AS message FROM orders")
+def logged_printf(spark, sf_dir):
+    rows = records.logged(table(spark, sf_dir, "orders"), "NOTICE", "order %d of customer %d: %s", "o_orderkey", "o_custkey", "o_orderstatus")
+    return rows.select(F.col("o_orderkey").alias("event_id"), "level", "priority", "message")
+
+
+@query("SELECT event_id, 'ERROR' AS level, CAST(40 AS INTEGER) AS priority, props AS message, 'E' || user_id AS error_name FROM events WHERE event_type = 'error'")
+def logged_errors(spark, sf_dir):
+    """Records of caught errors pass neither gate nor filter."""
+    rows = records.errors(table(spark, sf_dir, "events").where("event_type = 'error'"), F.col("props"), F.concat(F.lit("E"), F.col("user_id")))
+    return rows.select("event_id", "level", "priority", "message", F.col("error_info.name").alias("error_name"))
+
+
+@query("SELECT l_orderkey, l_linenumber, 'INFO' AS level, 'shipped' AS message, greatest(0, l_suppkey * 1000 - l_partkey) AS duration_ns FROM lineitem")
+def logged_timed(spark, sf_dir):
+    rows = records.timed(table(spark, sf_dir, "lineitem"), "INFO", F.lit("shipped"), F.col("l_partkey"), F.col("l_suppkey") * 1000)
+    return rows.select("l_orderkey", "l_linenumber", "level", "message", "duration_ns")
+
+
+@query(_ev(", c AS (SELECT level, COUNT(*) AS records FROM logs GROUP BY level) SELECT arg_max(level, (records, level)) AS most, MAX(records) AS most_value, arg_min(level, (records, level)) AS least, MIN(records) AS least_value FROM c"))
+def level_extremes(spark, sf_dir):
+    return metrics.extremes(events(spark, sf_dir).groupBy("level").agg(F.count(F.lit(1)).alias("records")), "level", "records")
+
+
+@query(
+    _ev(
+        ", d AS (SELECT date_trunc('day', ts) AS day, level, strlen(message) AS n FROM logs), w AS (SELECT day AS began, level, n FROM d UNION ALL SELECT day - INTERVAL 1 DAY, level, n FROM d) SELECT strftime(began, '%Y-%m-%d') AS began, level, COUNT(*) AS records, CAST(SUM(n) AS BIGINT) AS bytes FROM w GROUP BY ALL"
+    )
+)
+def sliding_levels(spark, sf_dir):
+    """Windows of two days that begin each day."""
+    w = windows.level_counts(events(spark, sf_dir), "2 days", slide="1 day")
+    return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("began"), "level", "records", "bytes")
+
+
 # --- the whole pipeline
 
 PIPELINE = LogPipeline(
