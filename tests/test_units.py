@@ -282,3 +282,27 @@ def test_windowed_stream(spark, sf_dir):
     batch = {(r.window_start, r.level): (r.records, r.bytes) for r in windows.level_counts(adapters.events(spark.read.parquet(f"{sf_dir}/events.parquet")), "1 day").collect()}
     closed = {(r.window_start, r.level): (r.records, r.bytes) for r in catalog.stream_windowed_levels(spark, sf_dir).collect()}
     assert closed and closed.items() <= batch.items() and len(batch) - len(closed) <= 10
+
+
+@pytest.mark.parametrize("fields", [{}, {"minute": 15}, {"hour": 4}, {"minute": 15, "hour": 4, "weekday": 1}, {"hour": 23, "day": 31}, {"minute": 0, "month": 3}, {"minute": 59, "hour": 23, "weekday": 0}, {"day": 30, "month": 2}, {"hour": 24}, {"minute": 60}])
+def test_cron_by_brute_force(spark, fields):
+    from datetime import UTC, timedelta
+
+    starts = [0, 59_999, 60_000, 1704067200000, 1704067200000 + 86_340_000, 1709164799999, 1706659140001, 1735689599999, -1, -86_400_000, 1705292040000, 1705292100000, None]
+
+    def brute(now):
+        for k in range(1, 30 * 24 * 60):
+            t = datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=now + k * 60_000)
+            have = {"minute": t.minute, "hour": t.hour, "day": t.day, "month": t.month, "weekday": t.isoweekday() % 7}
+            if all(have[f] == v for f, v in fields.items()):
+                return now + k * 60_000
+        return now + 60_000
+
+    rows = spark.createDataFrame([(s,) for s in starts], "now long").select("now", retention.next_cron(F.col("now"), **fields).alias("cron")).collect()
+    assert [r.cron for r in rows] == [None if r.now is None else brute(r.now) for r in rows]
+
+
+def test_cron_over_whole_table(spark, sf_dir):
+    out = catalog.QUERIES["schedule_cron_all"](spark, sf_dir)
+    assert out.count() == catalog.table(spark, sf_dir, "customer").count() > 60
+    assert "43199" not in out._jdf.queryExecution().toString()

@@ -139,19 +139,28 @@ def next_daily(now_ms: Column, hour: int, minute: int) -> Column:
 
 def next_cron(now_ms: Column, minute: int | None = None, hour: int | None = None, day: int | None = None, month: int | None = None, weekday: int | None = None) -> Column:
     """The first minute step from now, within 30 days, whose UTC fields fit (weekday: Sunday 0); else in a minute."""
-    from tidelog.functions.scalars import from_epoch_ms
-
-    steps = F.sequence(F.lit(1), F.lit(30 * 24 * 60 - 1))
-
-    def fits(k: Column) -> Column:
-        ts = from_epoch_ms(now_ms + k.cast("long") * 60_000)
-        out = F.lit(True)
-        for value, have in ((minute, F.minute(ts)), (hour, F.hour(ts)), (month, F.month(ts)), (day, F.dayofmonth(ts)), (weekday, F.dayofweek(ts) - 1)):
+    now = F.floor(now_ms / 60_000)
+    # days first, as a step's minute of the day follows from its fields; 30 days touch 31 dates
+    first = F.floor((now + 1) / 1440)
+    hours = hour is None or 0 <= hour < 24
+    minutes = minute is None or 0 <= minute < 60
+
+    def step(k: Column) -> Column:
+        """The first minute of the k-th date, as minutes from now, that fits hour and minute; null if none does."""
+        date = F.date_add(F.lit("1970-01-01").cast("date"), (first + k).cast("int"))
+        fits = F.lit(hours and minutes)
+        for value, have in ((month, F.month(date)), (day, F.dayofmonth(date)), (weekday, F.dayofweek(date) - 1)):
             if value is not None:
-                out = out & (have == value)
-        return out
-
-    return (now_ms + F.coalesce(F.array_min(F.filter(steps, fits)), F.lit(1)).cast("long") * 60_000).cast("long")
+                fits = fits & (have == value)
+        low = F.when(k == 0, now + 1 - first * 1440).otherwise(0)
+        if hour is not None:
+            low = F.greatest(low, F.lit(hour * 60))
+        at = low if minute is None else low + F.pmod(minute - low, F.lit(60))
+        steps = (first + k) * 1440 + at - now
+        return F.when(fits & (at < (1440 if hour is None else hour * 60 + 60)) & (steps < 30 * 24 * 60), steps)
+
+    found = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(30)), step))
+    return (now_ms + F.coalesce(found, F.lit(1)).cast("long") * 60_000).cast("long")
 
 
 def ring(df: DataFrame, capacity: int, policy: str, order: Sequence[str], key_by: Sequence[str] = ()) -> DataFrame:

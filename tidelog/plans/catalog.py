@@ -759,6 +759,15 @@ def schedule_cron(spark, sf_dir):
     return c.select("c_custkey", retention.next_cron(F.lit(1704067200000) + F.col("c_custkey") * 3777777, minute=15, hour=4, weekday=1).alias("cron"))
 
 
+@query(
+    """WITH d AS (SELECT c_custkey, 1704067200000 + c_custkey * 3777777 AS now FROM customer), c AS (SELECT c_custkey, now, now + (((now // 60000 + 1) // 1440 + k) * 1440 + 255 - now // 60000) * 60000 AS ms FROM d, range(0, 31) r(k))
+  SELECT c_custkey, CAST(coalesce(min(ms) FILTER (ms > now AND ms < now + 2592000000 AND dayofweek(make_timestamp(ms * 1000)) = 1), min(now) + 60000) AS BIGINT) AS cron FROM c GROUP BY c_custkey"""
+)
+def schedule_cron_all(spark, sf_dir):
+    """Mondays at 04:15, from a starting time of each customer."""
+    return table(spark, sf_dir, "customer").select("c_custkey", retention.next_cron(F.lit(1704067200000) + F.col("c_custkey") * 3777777, minute=15, hour=4, weekday=1).alias("cron"))
+
+
 @query(_ev("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts_ms DESC, event_id DESC) AS n FROM logs) WHERE n <= 64"))
 def ring_drop_oldest(spark, sf_dir):
     return retention.ring(events(spark, sf_dir), 64, "drop_oldest", ["ts_ms", "event_id"], ["event_type"]).select("event_id")
