@@ -306,3 +306,24 @@ def test_cron_over_whole_table(spark, sf_dir):
     out = catalog.QUERIES["schedule_cron_all"](spark, sf_dir)
     assert out.count() == catalog.table(spark, sf_dir, "customer").count() > 60
     assert "43199" not in out._jdf.queryExecution().toString()
+
+
+def test_clean_up_in_many_tasks(spark):
+    """Against brute force, with ties, null times and ages; no group of files is one task."""
+    rows = [(f"f{k:04}.log", None if k % 97 == 0 else k * 7919 % 900 * 40_000, None if k % 89 == 0 else k % 50, None if k % 83 == 0 else k % 45) for k in range(2000)]
+    files = spark.createDataFrame(rows, "name string, mtime long, size long, age long")
+    want: dict[str, str | None] = {}
+    for group in (True, False, None):
+        n = total = 0
+        mine = [r for r in rows if (None if r[3] is None else r[3] > 30) is group]
+        for name, _, size, _ in sorted(mine, key=lambda r: (r[1] is not None, r[1] or 0, r[0]), reverse=True):
+            n, total = n + 1, total + (size or 0)
+            want[name] = "age" if group else "max_files" if n > 700 else "max_total_size" if total > 9_000 else None
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = retention.clean_up(files, "*.log", 30, 700, 9_000).select("name", "deleted", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r.name: r.deleted for r in got} == want and len(got) == len(rows)
+    assert {"max_files", "max_total_size", "age", None} == set(want.values())
+    assert len({r.task for r in got if r.deleted != "age"}) > 2

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Rotation intervals in seconds; a month has 30 days and a year 365.
 INTERVALS = {"minutely": 60, "hourly": 3_600, "daily": 86_400, "weekly": 604_800, "monthly": 2_592_000, "yearly": 31_536_000}
 
+#: Files are ranked inside time buckets of this length.
+BUCKET_MS = 60_000
+
 
 def default_naming(interval: str | None) -> str:
     return "date" if interval in ("daily", "weekly", "monthly", "yearly") else "timestamp"
@@ -99,16 +102,27 @@ def retain(files: DataFrame, max_age: int | None, keep: int | None) -> DataFrame
 
 
 def clean_up(files: DataFrame, pattern: str | None = None, max_age: int | None = None, max_files: int | None = None, max_total_size: int | None = None) -> DataFrame:
-    """Add ``deleted`` (null: stays) to the files that match: age, max_files or max_total_size, in this order, oldest first."""
+    """Add ``deleted`` (null: stays) to the files that match: age, max_files or max_total_size, in this order, oldest first.
+
+    Files are ranked and summed inside time buckets; each bucket starts where the newer ones' counts and sizes end. Only the
+    table of buckets, at most two rows for each minute that has files, is summed up in one task.
+    """
     out = files.where(glob(F.col("name"), pattern)) if pattern else files
+    columns = out.columns
     old = F.col("age") > max_age if max_age is not None else F.lit(False)
-    out = out.withColumn("_old", old)
-    newest = Window.partitionBy("_old").orderBy(F.desc("mtime"), F.desc("name"))
+    out = out.withColumns({"_old": old, "_bucket": F.floor(F.col("mtime") / BUCKET_MS)})
+    buckets = out.groupBy("_old", "_bucket").agg(F.count(F.lit(1)).alias("_files"), F.sum("size").alias("_size"))
+    newer = Window.partitionBy("_old").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = buckets.select(F.col("_old").alias("_of_old"), F.col("_bucket").alias("_of"), F.sum("_files").over(newer).alias("_files"), F.sum("_size").over(newer).alias("_size"))
+    newest = Window.partitionBy("_old", "_bucket").orderBy(F.desc("mtime"), F.desc("name"))
     out = out.withColumns({"_n": F.row_number().over(newest), "_sum": F.sum("size").over(newest.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
-    many = F.col("_n") > max_files if max_files is not None else F.lit(False)
-    large = F.col("_sum") > max_total_size if max_total_size is not None else F.lit(False)
+    out = out.join(starts, F.col("_old").eqNullSafe(F.col("_of_old")) & F.col("_bucket").eqNullSafe(F.col("_of")))
+    n = F.col("_n") + F.coalesce("_files", F.lit(0))
+    total = F.coalesce(F.col("_sum") + F.col("_size"), "_sum", "_size")
+    many = n > max_files if max_files is not None else F.lit(False)
+    large = total > max_total_size if max_total_size is not None else F.lit(False)
     reason = F.when(F.col("_old"), F.lit("age")).when(many, F.lit("max_files")).when(large, F.lit("max_total_size"))
-    return out.withColumn("deleted", reason).drop("_old", "_n", "_sum")
+    return out.withColumn("deleted", reason).select(*columns, "deleted")
 
 
 def to_compress(files: DataFrame, pattern: str | None, min_age: int) -> DataFrame:

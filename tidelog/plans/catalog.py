@@ -718,10 +718,15 @@ def rotation_names(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", name("timestamp").alias("a"), name("date").alias("b"), name("custom", "{base}-{date}_{HH}{ext}").alias("c"))
 
 
+def _all_files(spark, sf_dir):
+    """Order rows as files of a log folder."""
+    f = table(spark, sf_dir, "orders")
+    return f.select(F.format_string("app-%d.log", "o_orderkey").alias("name"), scalars.epoch_ms(F.col("o_orderdate")).alias("mtime"), F.col("o_totalprice").cast("long").alias("size"), (F.col("o_orderkey") % 40).alias("age"), "o_orderkey")
+
+
 def _files(spark, sf_dir):
-    """Order rows as files of a log folder; a folder's files are few."""
-    f = table(spark, sf_dir, "orders").where("o_orderkey <= 2000")
-    return f.select(F.format_string("app-%d.log", "o_orderkey").alias("name"), scalars.epoch_ms(F.col("o_orderdate")).alias("mtime"), F.col("o_totalprice").cast("long").alias("size"), (F.col("o_orderkey") % 40).alias("age"))
+    """The files of the queries whose SQL names a range of orders; those named ``_all`` cover every order."""
+    return _all_files(spark, sf_dir).where("o_orderkey <= 2000")
 
 
 _FILES = "f AS (SELECT printf('app-%d.log', o_orderkey) AS name, epoch_us(o_orderdate) // 1000 AS mtime, CAST(trunc(o_totalprice) AS BIGINT) AS size, o_orderkey % 40 AS age FROM orders WHERE o_orderkey <= 2000)"
@@ -742,6 +747,24 @@ def compression_candidates(spark, sf_dir):
     return retention.to_compress(_files(spark, sf_dir), "*7.log", 10).select("name")
 
 
+_ALL_FILES = "f AS (SELECT printf('app-%d.log', o_orderkey) AS name, epoch_us(o_orderdate) // 1000 AS mtime, CAST(trunc(o_totalprice) AS BIGINT) AS size, o_orderkey % 40 AS age FROM orders)"
+
+
+@query(f"WITH {_ALL_FILES} SELECT name FROM (SELECT name, row_number() OVER (ORDER BY mtime DESC, name DESC) AS n FROM f WHERE age <= 30) WHERE n <= 100")
+def retention_age_count_all(spark, sf_dir):
+    return retention.retain(_all_files(spark, sf_dir), 30, 100).select("name")
+
+
+@query(f"WITH {_ALL_FILES} SELECT name, CASE WHEN old THEN 'age' WHEN n > 800 THEN 'max_files' WHEN s > 100000000 THEN 'max_total_size' END AS deleted FROM (SELECT name, age > 30 AS old, row_number() OVER (PARTITION BY age > 30 ORDER BY mtime DESC, name DESC) AS n, sum(size) OVER (PARTITION BY age > 30 ORDER BY mtime DESC, name DESC ROWS UNBOUNDED PRECEDING) AS s FROM f WHERE ends_with(name, '.log'))")
+def cleanup_all(spark, sf_dir):
+    return retention.clean_up(_all_files(spark, sf_dir), "*.log", 30, 800, 100_000_000).select("name", "deleted")
+
+
+@query(f"WITH {_ALL_FILES} SELECT name FROM f WHERE age >= 10 AND ends_with(name, '7.log')")
+def compression_candidates_all(spark, sf_dir):
+    return retention.to_compress(_all_files(spark, sf_dir), "*7.log", 10).select("name")
+
+
 @query(
     """SELECT event_id, ts_ms + 5000 AS once, CAST(ts_ms + CASE WHEN s < 9000 THEN 9000 - s ELSE 86400 - s + 9000 END * 1000 AS BIGINT) AS daily FROM (SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, (epoch_us(ts) // 1000000) % 86400 AS s FROM events)"""
 )
