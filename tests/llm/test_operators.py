@@ -178,6 +178,38 @@ def test_html_boilerplate_and_odd_pages(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+LONG = "words that go on and on, " * 120
+NESTED = {
+    "article": ("<body><nav><a href=/>Home</a></nav><div>Site line</div><article><h1>Title</h1><p>Lead</p><div class=body><p>{long}</p></div><div class=end>The end</div></article><div class=footer>foot</div></body>", ["Title", "Lead", "{long}", "The end"]),
+    "divs": ("<body><div class=page><h1>Title</h1><div class=body><div class=a>{long}</div><div class=b>Second</div></div><div class=end>The end</div></div><div><a href=/1>One more</a> <a href=/2>and more</a></div></body>", ["Title", "{long}", "Second", "The end"]),
+    "main": ("<body><div>Site line</div><main><h1>Title</h1><article><section>{long}</section><section>Second</section></article></main></body>", ["Title", "{long}", "Second"]),
+    "links": ("<body><table><tr><td><a href=/1>One</a> <a href=/2>Two</a> <a href=/3>Three</a><td><p>{long}</p><div>The end</div></table></body>", ["{long}", "The end"]),
+}
+
+
+@pytest.mark.parametrize("name", NESTED)
+def test_html_nested_parts(name):
+    from tidelog.llm.html_extraction import read_page
+
+    html, want = NESTED[name]
+    page = read_page(html.replace("{long}", LONG))
+    text = "\n".join(want).replace("{long}", LONG.strip())
+    assert page.main_text([]) == text
+    assert page.main_text([p for p, _ in page.votes()]) == text
+
+
+def test_html_host_path_with_a_part_only(spark):
+    """The host's path holds all of most pages, and only a stub or a part of two."""
+    from tidelog.llm.html_extraction import extract
+
+    usual = f"<body><div class=body><p>{LONG}</p></div></body>"
+    odd = {100: f"<body><div class=body>Stub</div><article><h1>Title</h1>{LONG}</article></body>", 101: f"<body><article><h1>Title</h1></article><div class=other><p>{LONG}</p><div class=body>Part</div></div></body>"}
+    rows = [(k, f"https://h.example/{k}", odd.get(k, usual)) for k in [*range(20), *odd]]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == LONG.strip() for k in range(20))
+    assert got[100] == f"Title\n{LONG.strip()}" and got[101] == f"Title\n{LONG.strip()}\nPart"
+
+
 @pytest.mark.parametrize(("names", "away"), [("ad", True), ("ad-container", True), ("site-footer", True), ("commentList", True), ("comments-wrapper", True), ("has-sidebar", False), ("content-with-sidebar", False), ("sidebar-layout", False), ("post content", False), ("header-ad", True), ("shadow", False), ("", False)])
 def test_names_of_parts(names, away):
     from tidelog.llm.html_extraction import _away

@@ -1,11 +1,14 @@
 """Operator 3. Main text of web pages, by paths that a host's pages agree on.
 
 1. Each page is read once into its containers (body, main, article, section, div, table cells), and each container is
-   scored by its text outside links and outside parts that are never main text. The best few vote for their *path*: the
-   tags and classes from the body down, with digits generalised (``div.post-#``).
+   scored by its text outside links and outside parts that are never main text. From the best one the page's *pick* goes
+   outwards as long as what a parent adds (a title, a lead, an ending) isn't mostly links; an article or main ends this.
+   It and the best few inside it vote for their *path*: the tags and classes from the body down, with digits generalised
+   (``div.post-#``).
 2. Spark sums the votes by host and path and ranks the paths of each host.
-3. Each page is read again with its host's paths: the first that the page has, with text in it, is the main text. A page
-   with none of them falls back to its own best container. The hosts' paths are written first, so that Spark knows their
+3. Each page is read again with its host's paths. The first of them, where it holds all of the page's own pick, is the main
+   text; else all parts with the pick's path are if that is one of the host's, else the pick alone. Other parts than the pick
+   count only if they aren't mostly links. The hosts' paths are written first, so that Spark knows their
    size before it plans the join: below its limit it sends them to all tasks and no page moves; above, it deals pages by
    host and splits a host with very many pages.
 
@@ -38,6 +41,7 @@ DROPPED = frozenset("head script style noscript template iframe svg canvas objec
 RAW = frozenset(["script", "style", "textarea", "title", "noscript", "iframe", "template"])
 CONTAINERS = frozenset("body main article section div td center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody thead tr th figure figcaption header address details summary fieldset hr br html".split())
+WHOLE = frozenset(["article", "main"])
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Words in class and id names, and roles, of parts that are not main text.
 AWAY = frozenset(
@@ -86,6 +90,7 @@ class Page:
     def __init__(self, html: str | None, by_name: bool = True):
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
+        self.tags: list[str] = ["html"]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters outside links
         self._read(html or "", by_name)
 
@@ -179,6 +184,7 @@ class Page:
                 container = len(self.paths)
                 self.paths.append(path)
                 self.parents.append(top.container)
+                self.tags.append(tag)
             words = {w.lower() for w in _NAME_PARTS.findall(names)}
             stack.append(_Open(tag, path, top.dropped or by is not None, container, by, bool(CONTENT & words) and not (LAYOUT | AROUND | {"wrapper", "container"}) & words))
         if at < len(html) and not stack[-1].dropped:
@@ -194,26 +200,65 @@ class Page:
             own[self.parents[k]] += 0.9 * max(0.0, own[k])
         return own
 
+    def sums(self) -> tuple[list[int], list[int]]:
+        """Each container's characters, and those outside links, with all inside it."""
+        total, free = [0] * len(self.paths), [0] * len(self.paths)
+        for container, text, outside in self.blocks:
+            total[container] += len(text)
+            free[container] += outside
+        for k in range(len(total) - 1, 0, -1):
+            total[self.parents[k]] += total[k]
+            free[self.parents[k]] += free[k]
+        return total, free
+
+    def pick(self, scores: list[float]) -> int:
+        """The best container, or the outermost around it that adds text which isn't mostly links; none around an article
+        or main but another of these. -1 if no container has a score."""
+        best = max(range(len(scores)), key=lambda k: (scores[k], -k))
+        if scores[best] <= 0:
+            return -1
+        total, free = self.sums()
+        whole = self.tags[best] in WHOLE
+        k = self.parents[best]
+        while k >= 0:
+            if not whole or self.tags[k] in WHOLE:
+                added = total[k] - total[best]
+                if added and 2 * (free[k] - free[best]) >= added:
+                    best = k
+            whole = whole or self.tags[k] in WHOLE
+            k = self.parents[k]
+        return best
+
     def votes(self) -> list[tuple[str, float]]:
-        """The best containers' paths, with shares of the page's vote."""
-        best = sorted(((s, p) for s, p in zip(self.scores(), self.paths, strict=True) if s > 0 and p), key=lambda x: (-x[0], x[1]))[:VOTES]
+        """The paths of the pick and of the best containers in it, with shares of the page's vote."""
+        scores = self.scores()
+        pick = self.pick(scores)
+        if pick >= 0:
+            scores[pick] = max(scores) / 0.9
+            scores = [s if inside else 0.0 for s, inside in zip(scores, self.under({pick}), strict=True)]
+        best = sorted(((s, p) for s, p in zip(scores, self.paths, strict=True) if s > 0 and p), key=lambda x: (-x[0], x[1]))[:VOTES]
         total = sum(s * s for s, _ in best)
         return [(p, s * s / total) for s, p in best]
 
-    def text_under(self, chosen: set[int]) -> str:
+    def under(self, chosen: set[int]) -> list[bool]:
+        """Of each container, whether it is one of those chosen or inside of one."""
         under = [False] * len(self.paths)
         for k in range(len(under)):
             under[k] = k in chosen or (k > 0 and under[self.parents[k]])
-        return "\n".join(t for c, t, _ in self.blocks if under[c])
+        return under
 
     def main_text(self, winners: Sequence[str]) -> str:
-        for path in winners:
-            chosen = {k for k, p in enumerate(self.paths) if p == path}
-            if chosen and (text := self.text_under(chosen)):
-                return text
-        scores = self.scores()
-        best = max(range(len(scores)), key=lambda k: (scores[k], -k))
-        return self.text_under({best if scores[best] > 0 else 0})
+        pick = self.pick(self.scores())
+        own = self.under({max(pick, 0)})
+        total, free = self.sums()
+        for n, path in enumerate(winners):
+            if n and pick >= 0 and path != self.paths[pick]:
+                continue
+            under = self.under({k for k, p in enumerate(self.paths) if p == path and (pick < 0 or k == pick or 2 * free[k] >= total[k])})
+            if any(under) and (pick < 0 or all(under[c] for c, _, _ in self.blocks if own[c])):
+                if text := "\n".join(t for c, t, _ in self.blocks if under[c]):
+                    return text
+        return "\n".join(t for c, t, _ in self.blocks if own[c])
 
 
 def read_page(html: str | None) -> Page:
