@@ -307,6 +307,18 @@ def test_deobfuscation(spark, sf_dir):
     assert counts.sum() > 0 and letter_counts(docs.limit(0)).sum() == 0
 
 
+def test_deobfuscation_at_edges_and_of_doubled_letters(spark, sf_dir):
+    from tidelog.llm.toxicity import Decoder, language_model, letter_counts
+
+    words = ["idiot", "stupid", "scum", "clown", "ass", "worthless"]
+    decoder = Decoder(language_model(letter_counts(table(spark, sf_dir, "documents")), words))
+    forms = {"stuupid": "stupid", "iddiot": "idiot", "|diot": "idiot", "(lown": "clown", "{lown": "clown", "<lown": "clown", "idio+": "idiot", "as$": "as ass", "a$$": "as ass", "455": "ass", "@$$": "ass", "455!": "ass", "worthless": "worthless", "(word": "word", "word)": "word", "word!": "word", "123": "", "2019": "", "10:30": ""}
+    assert {raw: decoder[raw] for raw in forms} == forms
+    for text, word in {"i d i o t.": "idiot", "i d i o t!": "idiot", 'you "i d i o t" there': "idiot", "(s c u m)": "scum", "s t u p i d!!! and": "stupid", "stuupid good": "good", "such 4 5 5!": "ass"}.items():
+        assert word in decoder.restore(text), text
+    assert decoder.restore("1 2 3 *** !!! 123") == set()
+
+
 # --- 6
 
 

@@ -4,8 +4,9 @@
    corpus. Contexts are letters a-z, a word's edge, and one class for all other letters.
 2. ``Decoder`` restores tokens. A token is a lattice: each character stands for itself, for the letters that it looks
    like (leetspeak), or for nothing (a separator, a repetition); runs of three or more one-character tokens are one
-   lattice whose spaces may vanish. Viterbi finds the cheapest reading under channel costs and language model. Plain words
-   have one path and skip the search; a worker remembers tokens, so each costs one search.
+   lattice whose spaces may vanish. Viterbi finds the cheapest reading under channel costs and language model. Words of
+   letters alone, no two equal ones in a row, have one path and skip the search, and so do tokens without letters that hold
+   less than two look-alikes; a worker remembers tokens, so each costs one search.
 3. A logistic model over marks of the restored text - words, and beginnings that several of its words share - is fitted
    on a bounded sample of labelled documents, over the marks that tell toxic documents best. Its words also enter the
    language model, which then decodes the whole corpus.
@@ -20,6 +21,7 @@ language, source and id are never inputs of a score. Other columns are left out.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -64,7 +66,11 @@ _FOLD[192:] = OTHER_CODE  # the first byte of a character beyond ASCII
 _SKIPPED = (np.arange(256) >= 128) & (np.arange(256) < 192)
 
 _PLAIN = re.compile(r"[^\W\d_]+")
-_SPELT = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D](?:[\x20\x09-\x0D]+[^\x20\x09-\x0D](?![^\x20\x09-\x0D])){2,}")
+_THRICE = re.compile(r"(.)\1\1")
+#: One-character tokens in a row; the first may have punctuation before it, the last after it.
+_SPELT = re.compile(r"(?<![^\x20\x09-\x0D])[^\w\s]*[^\x20\x09-\x0D](?:[\x20\x09-\x0D]+[^\x20\x09-\x0D](?![^\x20\x09-\x0D]))+[\x20\x09-\x0D]+[^\x20\x09-\x0D][^\w\s]*(?![^\x20\x09-\x0D])")
+#: Marks at a token's edges that can only be dropped.
+_EDGES = ".,;:?\"')[]}>%&*-_=~^/\\`"
 
 
 def code(c: str) -> int:
@@ -117,10 +123,14 @@ def language_model(counts: np.ndarray, known_words: list[str], weight: float = 0
     return -np.log(p)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each character of a token (lower case) its readings (letters, a space or nothing) and their costs."""
+def lattice(token: str, whole: bool = False) -> list[list[tuple[str, float]]]:
+    """For each character of a token (lower case) its readings (letters, a space or nothing) and their costs.
+
+    In a token without letters, or if ``whole``, look-alikes are read, but for repetitions and marks around digits alone.
+    """
     letters = [k for k, c in enumerate(token) if c.isalpha()]
     first, last = (letters[0], letters[-1]) if letters else (len(token), -1)
+    digits = [] if letters else [k for k, c in enumerate(token) if c.isdigit()]
     out = []
     run = 0
     for k, c in enumerate(token):
@@ -135,6 +145,11 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             drop = SEPARATOR if not like else INNER if first < k < last else LEAD if k < first else TRAIL_DIGIT if c.isdigit() else TRAIL
             if c == "*" and not first < k < last:
                 like = ""
+            if like and (whole or not letters):
+                outside = digits and not digits[0] <= k <= digits[-1]
+                drops = [("", LEAD if k < digits[0] else TRAIL)] if outside else [("", TWICE)] if run >= 2 else []
+                out.append(drops + [(x, LIKE) for x in like])
+                continue
             out.append([("", drop if run == 1 or c.isdigit() else MORE)] + [(x, WILD if c == "*" else LIKE) for x in like])
     return out
 
@@ -155,20 +170,26 @@ class Decoder(dict):
         return out
 
     def decode(self, token: str) -> str:
-        core = token.strip(".,;:?\"'()[]{}<>|#$%&*!-_=+~^/\\`")
-        if not any(c.isalpha() for c in token):
-            return ""
-        plain = _PLAIN.fullmatch(core)
-        if plain and not any(core[k] == core[k + 1] == core[k + 2] for k in range(len(core) - 2)) and not set(token) & {"$", "@", "!", "+"} - {*token[len(token.rstrip("!$+")) :]}:
+        core = token.strip(_EDGES)
+        if _PLAIN.fullmatch(core) and not any(a == b for a, b in zip(core, core[1:], strict=False)):
             return core
-        return self.search(token)
+        if not any(c.isalpha() for c in token) and len(set(core) & LOOKS_LIKE.keys()) < 2:
+            return ""
+        out = self.search(token)
+        core = core.rstrip("!")
+        if core[-1:] in ("$", "+") and core[0].isalpha() and (other := self.search(core, True)) not in ("", out):
+            return f"{out} {other}"  # a mark at the end, or a letter: both
+        return out
+
+    def search(self, token: str, whole: bool = False) -> str:
+        """Viterbi over the lattice; a state is the last two codes, so their number is bounded by the options.
 
-    def search(self, token: str) -> str:
-        """Viterbi over the lattice; a state is the last two codes, so their number is bounded by the options."""
+        A token without letters, or with all look-alikes read, is a word only if it costs less than letters at random.
+        """
         costs = self.costs
         # state: cost, and the reading so far as a linked list
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE_CODE, EDGE_CODE): (0.0, None)}
-        for options in lattice(token):
+        for options in lattice(token, whole):
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in states.items():
                 for letters, own in options:
@@ -183,11 +204,13 @@ class Decoder(dict):
                     if state not in after or c < after[state][0]:
                         after[state] = (c, p)
             states = after
-        _, path = min(((c + costs[a][b][EDGE_CODE], p) for (a, b), (c, p) in states.items()), key=lambda x: x[0])
+        cost, path = min(((c + costs[a][b][EDGE_CODE], p) for (a, b), (c, p) in states.items()), key=lambda x: x[0])
         read = []
         while path is not None:
             path, letters = path
             read.append(letters)
+        if (whole or not any(c.isalpha() for c in token)) and cost >= (len(read) + 1) * math.log(CODES):
+            return ""
         return "".join(reversed(read)).strip()
 
     def restore(self, text: str | None) -> set[str]:
@@ -201,9 +224,11 @@ class Decoder(dict):
             for part in (run, run[1:], run[:-1]):  # a one-letter word may stand before or after
                 if len(part) > 2:
                     found.update(self[" ".join(part)].split())
-        tokens = set(map(self.__getitem__, set(text.split())))
-        for t in tokens:
+        for token in set(text.split()):
+            t = self[token]
             found.update(t.split()) if " " in t else found.add(t)
+            if t != token and t != (core := token.strip(_EDGES)) and _PLAIN.fullmatch(core) and not _THRICE.search(core):
+                found.add(core)  # a word with doubled letters counts as it stands, too
         found.discard("")
         return found
 
