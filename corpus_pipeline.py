@@ -34,7 +34,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     from tidelog.llm.quality_classifier import fit_documents, score_documents
 
     model = fit_documents(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return score_documents(docs, model, docs.columns).where("predicted = 1").select(docs.columns)
+    return score_documents(docs, model, [F.col(c).alias(f"in_{c}") for c in docs.columns]).where("predicted = 1").select([F.col(f"in_{c}").alias(c) for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

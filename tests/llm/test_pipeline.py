@@ -55,3 +55,16 @@ def test_stages_on_odd_documents(spark, sf_dir):
             out = stage(spark, d, sf_dir)
             assert name == "packing" or out.columns == d.columns
             assert out.count() <= 40
+
+
+def test_stages_on_clashing_columns(spark, sf_dir):
+    """Extra columns named as the stages name their own come through as they are."""
+    docs = table(spark, sf_dir, "documents")
+    extra = {c: F.col("doc_id") * 10 + k for k, c in enumerate(["score", "predicted", "kept", "label", "quality", "node", "token", "length", "in_text"])}
+    clash = docs.withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, clash, sf_dir)
+        assert out.columns == clash.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == r.doc_id * 10 + k for r in rows for k, c in enumerate(extra)), name
+    assert corpus_pipeline.packing(spark, clash, sf_dir).columns == corpus_pipeline.packing(spark, docs, sf_dir).columns
