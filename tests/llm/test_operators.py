@@ -329,49 +329,153 @@ def brute_nearest(vectors, k, every):
     return {q: sorted((float(np.sqrt(((v - usable[q]) ** 2).sum())), i) for i, v in usable.items() if i != q)[:k] for q in usable if q % every == 0}
 
 
-def test_nearest(spark, sf_dir):
-    vectors = [(r.vec_id, r.embedding) for r in table(spark, sf_dir, "embeddings").collect()]
-    want = brute_nearest(vectors, 10, 100)
-    got = defaultdict(list)
-    for r in Q.op6_nearest(spark, sf_dir).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.score, r.vec_id))
-        assert r["rank"] == len(got[r.query_id])
-    assert got.keys() == want.keys()
-    assert all([i for _, i in got[q]] == [i for _, i in want[q]] and np.allclose([s for s, _ in got[q]], [s for s, _ in want[q]], atol=1e-12) for q in want)
-
-
-def test_nearest_recall_with_hashing(spark):
-    """The smallest table that takes more than one cell."""
+def recall_of(vectors, got, k, every):
+    """Share of the true k nearest that were found; checks order and scores of what was."""
+    want, own = brute_nearest(vectors, k, every), dict(vectors)
+    found = defaultdict(list)
+    for r in got.orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.score, r.vec_id))
+        assert r["rank"] == len(found[r.query_id]) <= k
+    assert found.keys() == want.keys()
+    hits = 0
+    for q, near in want.items():
+        assert len(found[q]) == len(near) and found[q] == sorted(found[q]) and len({i for _, i in found[q]} - {q}) == len(near)
+        exact = [float(np.sqrt(((np.array(own[i], dtype=float) - np.array(own[q], dtype=float)) ** 2).sum())) for _, i in found[q]]
+        assert np.allclose([s for s, _ in found[q]], exact, rtol=0, atol=1e-12)
+        hits += len({i for _, i in near} & {i for _, i in found[q]})
+    return hits / sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_nearest(spark, sf):
+    """By hashing at every size: nothing switches to an exact search."""
+    vectors = [(r.vec_id, r.embedding) for r in table(spark, f"/root/testdata/{sf}", "embeddings").collect()]
+    assert recall_of(vectors, Q.op6_nearest(spark, f"/root/testdata/{sf}"), 10, 100) >= 0.9
+
+
+def clustered(n, d=64, clusters=200, spread=0.3, seed=0):
+    rng = np.random.default_rng(seed)
+    return rng.standard_normal((clusters, d))[rng.integers(0, clusters, n)] + spread * rng.standard_normal((n, d))
+
+
+def vector_table(spark, x, path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.float32)), x.shape[1]).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": lists}), f"{path}/vectors.parquet", row_group_size=20_000)
+    return spark.read.parquet(f"{path}/vectors.parquet")
+
+
+def points_met(index, x, queries):
+    """Distances that a query's probes ask for, on average."""
+    met = 0
+    for t in range(len(index.directions)):
+        found, counts = np.unique(index.cells(x, t), return_counts=True)
+        for cells in index.probes(queries, t):
+            assert len(np.unique(cells)) == len(cells)
+            at = np.minimum(np.searchsorted(found, cells), len(found) - 1)
+            met += counts[at][found[at] == cells].sum()
+    return met / len(queries)
+
+
+@pytest.mark.parametrize(("n", "every", "most"), [(10_000, 100, 0.05), (50_000, 200, 0.025), (200_000, 1000, 0.02)])
+def test_nearest_among_clusters(spark, tmp_path, monkeypatch, n, every, most):
+    """Tables far larger than the fitted sample: recall, and a share of the table that falls with its size."""
+    from tidelog.llm import nearest as N
+
+    used = []
+    monkeypatch.setattr(N, "fit", lambda *a, real=N.fit: used.append(real(*a)) or used[-1])
+    x = clustered(n).astype(np.float32).astype(float)
+    got = N.nearest(vector_table(spark, x, tmp_path), 10, every).toPandas()
+    queries = np.arange(0, n, every)
+    hits = 0
+    for low in range(0, len(queries), 500):
+        q = queries[low : low + 500]
+        squares = (x[q] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[q] @ x.T
+        squares[np.arange(len(q)), q] = np.inf
+        top = np.argpartition(squares, 10, 1)[:, :10]
+        found = got[got.query_id.isin(q)].groupby("query_id").vec_id.agg(set)
+        hits += sum(len(found[i] & set(t.tolist())) for i, t in zip(q.tolist(), top, strict=True))
+    assert len(got) == 10 * len(queries) and hits / len(got) >= 0.9
+    assert points_met(used[0], x, x[queries[:100]]) < most * n
+
+
+def test_nearest_in_dense_and_sparse_regions(spark, tmp_path):
+    """Tight clusters, loose ones, and points far from everything, which take wider indexes and at last an exact search."""
     from tidelog.llm.nearest import nearest
 
-    vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
-    want = brute_nearest([(r.vec_id, r.embedding) for r in vectors.collect()], 10, 100)
-    got = defaultdict(set)
-    for r in nearest(vectors, 10, 100, small=100).collect():
-        got[r.query_id].add(r.vec_id)
-    hits = sum(len({i for _, i in want[q]} & got[q]) for q in want)
-    assert hits / sum(map(len, want.values())) >= 0.9
-
-
-@pytest.mark.parametrize("small", [0, 1000])
-def test_nearest_odd_rows(spark, small):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([clustered(2_000, 32, 20, 0.02, 2), clustered(2_000, 32, 20, 0.6, 3), 20 * rng.standard_normal((60, 32))])
+    rng.shuffle(x)
+    vectors = vector_table(spark, x, tmp_path)
+    assert recall_of([(r.vec_id, r.embedding) for r in vectors.collect()], nearest(vectors, 10, 25), 10, 25) >= 0.95
+
+
+def test_nearest_copies_and_hot_cells(spark, monkeypatch):
+    """A vector that a third of all rows share, and cells larger than a part."""
+    from tidelog.llm import nearest as N
+
+    monkeypatch.setattr(N, "PART_POINTS", 64)
+    monkeypatch.setattr(N, "PART_QUERIES", 16)
+    rng = np.random.default_rng(4)
+    rows = [(k, [1.0, 2.0, 3.0] if k % 3 == 0 else (rng.standard_normal(3) * (0.01 if k % 3 == 1 else 1)).tolist()) for k in range(1_500)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = N.nearest(vectors, 10, 10)
+    assert recall_of(rows, got, 10, 10) >= 0.9
+    ids = {r.query_id: [x.vec_id for x in got.where(f"query_id = {r.query_id}").orderBy("rank").collect()] for r in got.where("query_id IN (0, 300)").select("query_id").distinct().collect()}
+    assert ids == {0: list(range(3, 33, 3)), 300: list(range(0, 30, 3))}  # ties: the least ids
+
+
+def test_probes_come_in_order_of_their_chance():
+    """Against all cells around a query."""
+    from itertools import product
+
+    from tidelog.llm.nearest import _normal, hash_functions
+
+    rng = np.random.default_rng(8)
+    index = hash_functions(5, 1, 3, 1.5, 1.0, 0.9)
+    x = rng.standard_normal((20, 5))
+    for q, cells in zip(x, index.probes(x, 0), strict=True):
+        at = index.places(q[None], 0)[0]
+        chances = {}
+        for cell in product(*[range(int(np.floor(a)) - 6, int(np.floor(a)) + 7) for a in at]):
+            low = np.array(cell)
+            number = int((low * index.codes[0]).sum())
+            chances[number] = float(np.prod(_normal((low + 1 - at) * index.width / index.near) - _normal((low - at) * index.width / index.near)))
+        order = [chances[int(c)] for c in cells]
+        assert order == sorted(order, reverse=True) and sum(order) >= 0.9 - 1e-6 and sum(order[:-1]) < 0.9
+        assert np.allclose(order, sorted(chances.values(), reverse=True)[: len(order)])
+
+
+def test_part_search_is_exact():
+    """A part's blocks and listed pairs against all its pairs."""
+    from tidelog.llm import nearest as N
+
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((700, 4))
+    names, cells = rng.permutation(700), np.where(rng.random(700) < 0.5, 0, rng.integers(1, 40, 700))
+    asked = rng.standard_normal((30, 4))
+    visits = [np.unique(np.append(rng.integers(0, 60, 12), [0] if q % 2 else [])).astype(np.int64) for q in range(30)]
+    q, p, distance = N.search_part(names, cells, x, asked, visits, 5)
+    for k in range(30):
+        want = sorted((float(np.sqrt(((x[i] - asked[k]) ** 2).sum())), int(names[i])) for i in range(700) if cells[i] in visits[k])[:6]
+        assert [(float(d), int(names[i])) for d, i in zip(distance[q == k], p[q == k], strict=True)] == want
+
+
+def test_nearest_odd_rows(spark):
     from tidelog.llm.nearest import nearest
 
     rows = [(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(1, 60)] + [(0, [0.0, 1.0, 0.0]), (100, None), (101, []), (102, [0.0, 0.0, 0.0]), (103, [None, 1.0, 1.0]), (104, [float("nan"), 1.0, 1.0]), (105, [float("inf"), 1.0, 1.0]), (106, [1.0]), (None, [1.0, 1.0, 1.0])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash")).withColumn("point", F.lit(1))
-    got = defaultdict(list)
-    for r in nearest(vectors, 10, 10, small=small).orderBy("query_id", "rank").collect():
-        got[r.query_id].append(r.vec_id)
-    want = brute_nearest(rows, 10, 10)
-    assert got.keys() == want.keys()
-    for q, ids in got.items():
-        assert len(ids) == 10
-        if not small:
-            continue
-        assert ids == [i for _, i in want[q]]
+    extra = {c: F.lit("clash") for c in ("v", "point", "id", "query", "cell", "part", "score", "rank")}
+    for kind in ("float", "double"):
+        vectors = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumns(extra)
+        assert recall_of(rows, nearest(vectors, 10, 10), 10, 10) >= 0.9
     assert nearest(vectors.limit(0)).count() == 0
     few = vectors.where("vec_id IN (0, 1, 2)")
-    assert nearest(few, 10, 10).count() == 2
+    assert nearest(few, 10, 10).count() == 2 and nearest(vectors.where("vec_id = 0"), 10, 10).count() == 0
+    twice = spark.createDataFrame([(0, [5.0]), (0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [4.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in nearest(twice, 10, 10).orderBy("rank").collect()] == [(1, 1.0), (2, 3.0)]
 
 
 # --- 8

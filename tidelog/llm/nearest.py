@@ -1,23 +1,29 @@
 """Operator 6. Approximate nearest neighbours by multiprobe p-stable hashing.
 
 1. Equal vectors are one *point* with its least ids (as many as a query may return), so copies cost nothing further.
-2. ``fit`` looks at a bounded sample of points for the distance of near neighbours and sets the hash functions: in each
-   of ``tables`` tables a point falls into the cell of ``directions`` random projections, ``floor((a.x + b) / width)``.
-3. A query perturbs its cell in each table. The chance that a neighbour at the fitted distance lies in a perturbed cell
-   is a product of normal probabilities, from how near the query is to each border; cells are visited in order of that
-   chance until the chances sum up to ``success``. With independent tables, a neighbour is missed by all of them with
-   (1 - success)**tables.
-4. Points and the cells that queries visit are dealt to parts by cell; a cell of very many points is split over several.
-   A part computes exact distances from its queries to the points of their cells and keeps each query's best. Spark merges
-   the tables' and parts' candidates, with exact distances in double precision.
-5. Queries with fewer than k candidates then visit every part, so that whatever is there is found.
-
-Tables of at most ``SMALL`` points have one cell. Work grows with the queries and the cells they visit, not with their
-product with all rows.
+2. A bounded sample of points and, for a few of them, their true neighbours among *all* points give the distance ``near``
+   within which most queries have their k neighbours. ``fit`` then chooses the hash functions: in each of ``tables`` tables a
+   point falls into the cell of some random projections, ``floor((a.x + b) / width)``. Of the widths, numbers of projections
+   and chances that find enough of the true neighbours, it takes those that cost a query least, so cells get finer as the
+   table grows.
+3. A query perturbs its cell in each table. The chance that a neighbour at distance ``near`` lies in a perturbed cell is a
+   product of normal probabilities, from how near the query is to each border. Cells are visited in order of that chance
+   until the chances sum up to ``success``. A neighbour is missed by all tables with (1 - success)**tables.
+4. Points, and the cells that queries visit, are dealt to parts by cell. A cell of very many points or queries is split
+   over several parts. A part computes distances from its queries to the points of their cells and keeps each query's
+   best; Spark merges the tables' and parts' candidates, ranked by exact distances in double precision.
+5. Queries that found fewer than k neighbours, or whose k-th is much farther than ``near``, go on with an index for a
+   greater distance, doubled at least each time, over the points that these few queries' cells hold. When hashing for that
+   distance would save nothing, there is one cell: an exact search for whatever is left.
+
+Work grows with the queries and the points in the cells they visit. How many these are depends on the data: where
+neighbours are much nearer than other points, a share that falls with the table's size; where they are not (random
+directions), most of the table, with this method as with any.
 
 Defined cases. Vectors that are null, empty, zero, of another length than most of the sample, or that hold a null or
 non-finite component take no part, as queries or candidates. Null ids take no part. Of rows of one id, the vector that
-sorts first counts. Ties go to the smaller id. An empty table gives no rows.
+sorts first counts. Ties go to the smaller id. An empty table gives no rows. Very long vectors only make tasks larger.
+Other columns of the input, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -28,62 +34,85 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from tidelog.llm._common import materialize
+from tidelog.llm._common import materialize, sieve
 
-#: Points that the index is fitted on, at most.
-SAMPLE_POINTS = 2_000
+#: Points that the index is fitted on, and those of them whose true neighbours are looked up, at most.
+SAMPLE_POINTS, SAMPLE_QUERIES = 2_000, 40
 
-#: Tables, projections of each, and the chance with which each of them finds a neighbour.
-TABLES, DIRECTIONS, SUCCESS = 4, 4, 0.62
+#: Tables; the chances, to find a neighbour at the fitted distance in a table, that ``fit`` chooses from; and the share of
+#: known neighbours that it must find.
+TABLES, SUCCESSES, RECALL = 2, (0.65, 0.75, 0.85, 0.92), 0.97
 
-#: Points up to which one cell holds all; points that a part holds, about; steps that a probe goes in a direction.
-SMALL, PART_POINTS, STEPS = 2_000, 8_192, 4
+#: What ``fit`` chooses from: projections of a table, and a cell's width in units of the distance of near neighbours.
+DIRECTIONS, WIDTHS = (4, 6, 8, 12, 16), (2.5, 4.0, 5.5, 8.0)
+
+#: Probes of a query that ``fit`` goes up to, and what one costs, counted in distances.
+MOST_PROBES, PROBE_COST = 4_096, 4
+
+#: Points, and visits of queries, that a part holds, about.
+PART_POINTS, PART_QUERIES = 8_192, 2_048
+
+#: A query is done if its k-th neighbour is at most so many times as far as the index was fitted for.
+SLACK = 1.25
 
 
 @dataclass
 class Index:
     directions: np.ndarray  # tables x k x dimensions
-    shifts: np.ndarray  # tables x k
+    shifts: np.ndarray  # tables x k, in cells
+    codes: np.ndarray  # tables x k: odd numbers that turn a cell's coordinates into one integer
     width: float
     near: float
     success: float
 
-    def cells(self, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of points in units of cells, and the numbers of their cells."""
-        at = (x @ self.directions[table].T + self.shifts[table]) / self.width
-        return at, self.number(np.floor(at).astype(np.int64))
+    def places(self, x: np.ndarray, table: int) -> np.ndarray:
+        """Where points lie, in units of cells."""
+        return x @ self.directions[table].T / self.width + self.shifts[table]
 
-    def number(self, cell: np.ndarray) -> np.ndarray:
-        """One integer for the coordinates of a cell (last axis): 16 bits each, so far out that none meet."""
-        out = np.zeros(cell.shape[:-1], dtype=np.int64)
-        for k in range(cell.shape[-1]):
-            out = out * 65536 + (cell[..., k] + 32768) % 65536
-        return out
+    def cells(self, x: np.ndarray, table: int) -> np.ndarray:
+        """The numbers of the points' cells in a table: sums of coded coordinates, modulo 2**64."""
+        return (np.floor(self.places(x, table)).astype(np.int64) * self.codes[table]).sum(1) + table
 
-    def probes(self, x: np.ndarray, table: int) -> list[np.ndarray]:
-        """For each query the cells to visit, likeliest first, until their chances reach ``success``."""
-        if not self.directions.shape[1]:
-            return [np.zeros(1, dtype=np.int64)] * len(x)
-        at, _ = self.cells(x, table)
-        own = np.floor(at)
-        steps = np.arange(-STEPS, STEPS + 1)
-        scale = self.width / self.near
-        borders = own[:, :, None] + np.arange(-STEPS, STEPS + 2) - at[:, :, None]
-        below = _normal(borders * scale)
-        chance = below[..., 1:] - below[..., :-1]  # queries x k x steps
+    def probes(self, x: np.ndarray, table: int, most: int | None = None) -> list[np.ndarray] | None:
+        """For each query the cells to visit, likeliest first, until their chances reach ``success``; None if a query
+        needs more than ``most``."""
+        at = self.places(x, table)
+        own = np.floor(at).astype(np.int64)
+        home = (own * self.codes[table]).sum(1) + table
         k = own.shape[1]
-        grid = np.stack(np.meshgrid(*[steps] * k, indexing="ij"), -1).reshape(-1, k)
+        if not k:
+            return [np.array([h]) for h in home]
+        reach = max(1, math.ceil(4.5 * self.near / self.width))
+        steps = np.arange(-reach, reach + 1)
+        below = _normal((own[:, :, None] + np.arange(-reach, reach + 2) - at[:, :, None]) * (self.width / self.near))
+        logs = -np.log(np.maximum(below[..., 1:] - below[..., :-1], 1e-300))  # queries x k x steps
         out = []
         for q in range(len(x)):
-            joint = chance[q, 0]
-            for i in range(1, k):
-                joint = (joint[:, None] * chance[q, i][None, :]).ravel()
-            order = np.argsort(-joint, kind="stable")
-            n = int(np.searchsorted(np.cumsum(joint[order]), self.success)) + 1
-            out.append(self.number(own[q].astype(np.int64) + grid[order[:n]]))
+            least = logs[q].min(1)
+            cost = logs[q] - least[:, None]
+            target = self.success * math.exp(min(700.0, least.sum()))
+            second = np.sort(cost, 1)[:, 1]
+            bound = 2.0
+            while True:
+                costs, cells = np.zeros(1), home[q : q + 1]
+                for i in np.argsort(-second).tolist():  # those with no near border first: they add least
+                    fit = cost[i] <= bound
+                    joint = (costs[:, None] + cost[i, fit]).ravel()
+                    cells = (cells[:, None] + steps[fit] * self.codes[table, i]).ravel()[joint <= bound]
+                    costs = joint[joint <= bound]
+                chances = np.exp(-costs)
+                if chances.sum() >= target or bound > 200:
+                    break
+                if most and len(costs) > most:
+                    return None
+                bound += 1.0
+            order = np.argsort(costs, kind="stable")
+            out.append(cells[order[: int(np.searchsorted(np.cumsum(chances[order]), target)) + 1]])
         return out
 
 
@@ -92,82 +121,226 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.vectorize(math.erfc, otypes=[float])(-x / math.sqrt(2))
 
 
-def fit(sample: np.ndarray, tables: int = TABLES, directions: int = DIRECTIONS, success: float = SUCCESS, seed: int = 20240501) -> Index:
-    """Hash functions for points like ``sample``; ``directions`` = 0: one cell."""
+def hash_functions(dimensions: int, tables: int, directions: int, width: float, near: float, success: float, seed: int = 20240501) -> Index:
     rng = np.random.default_rng(seed)
+    a = rng.standard_normal((tables, directions, dimensions))
+    return Index(a, rng.uniform(0, 1, (tables, directions)), rng.integers(-(2**62), 2**62, (tables, directions)) * 2 + 1, width, near, success)
+
+
+def trial(index: Index, sample: np.ndarray, queries: np.ndarray, known: list[np.ndarray], n: int) -> tuple[float, float]:
+    """The share of the ``known`` neighbours of ``queries`` that the index finds, and what a query costs on average, in
+    distances: points met among ``n`` like those of ``sample``, and probes. Infinite if a query needs too many probes."""
+    met = probed = 0
+    missed = [np.ones(len(v), dtype=bool) for v in known]
+    for t in range(len(index.directions)):
+        visits = index.probes(queries, t, MOST_PROBES)
+        if visits is None:
+            return 0.0, math.inf
+        found, counts = np.unique(index.cells(sample, t), return_counts=True)
+        for q, cells in enumerate(visits):
+            at = np.minimum(np.searchsorted(found, cells), len(found) - 1)
+            met += int(counts[at][found[at] == cells].sum())
+            probed += len(cells)
+            if known and len(known[q]):
+                missed[q] &= ~np.isin(index.cells(known[q], t), cells)
+    hits = [1 - m.mean() for m in missed if len(m)]
+    return float(np.mean(hits)) if hits else 1.0, (met * n / len(sample) + PROBE_COST * probed) / len(queries)
+
+
+def fit(sample: np.ndarray, queries: np.ndarray, near: float, n: int, tables: int = TABLES, known: list[np.ndarray] | None = None, wanted: float = RECALL) -> Index:
+    """The cheapest hash functions for ``n`` points like those of ``sample`` that find the ``known`` neighbours of
+    ``queries``, or else neighbours at the distance ``near``.
+
+    Without known neighbours, one table with one cell is a choice, too: it costs all ``n``.
+    """
     d = sample.shape[1]
-    near = 1.0
-    if len(sample) > 1:
-        squares = (sample**2).sum(1)
-        nearest = []
-        for low in range(0, len(sample), 256):
-            part = sample[low : low + 256]
-            gaps = squares[low : low + 256, None] + squares[None] - 2 * part @ sample.T
-            gaps[np.arange(len(part)), np.arange(low, low + len(part))] = np.inf
-            nearest.append(gaps.min(1))
-        near = float(np.sqrt(np.maximum(np.quantile(np.concatenate(nearest), 0.75), 1e-12)))
-    tables = tables if directions else 1
-    return Index(rng.standard_normal((tables, directions, d)), rng.uniform(0, near, (tables, directions)), near, near, success)
+    best, least = None, (True, math.inf)
+    if not known:
+        best, least = hash_functions(d, 1, 0, near, near, 1.0), (False, n)
+    for k in DIRECTIONS:
+        for w in WIDTHS:
+            for success in SUCCESSES if known else SUCCESSES[-1:]:
+                index = hash_functions(d, tables, k, w * near, near, success)
+                recall, cost = trial(index, sample, queries, known or [], n)
+                if (recall < wanted, cost) < least:
+                    best, least = index, (recall < wanted, cost)
+                if recall >= wanted or cost >= least[1] and not least[0]:
+                    break  # a greater chance only costs more
+    return best
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, v): the rows that take part, one for each id; v in double precision, without negative zeros."""
+    """(id, v): the rows that take part, without negative zeros; v is float if it was, else double."""
+    kind = vectors.schema[vector].dataType
+    element = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double") + F.lit(0.0)).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast(element) + F.lit(0.0).cast(element)).alias("v"))
+    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
+
+
+def once_each(rows: DataFrame) -> DataFrame:
+    """``usable`` rows, one for each id. Only ids are shuffled, and the rows of the ids that repeat."""
+    repeated = materialize(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated")
+    if repeated.isEmpty():
+        return rows
     first = F.row_number().over(Window.partitionBy("id").orderBy("v"))
-    return rows.withColumn("n", first).where("n = 1").drop("n")
+    chosen = rows.join(repeated, "id", "left_semi").withColumn("n", first).where("n = 1").drop("n")
+    return rows.join(repeated, "id", "left_anti").union(chosen)
 
 
-def points(rows: DataFrame, k: int) -> DataFrame:
-    """(point, v, ids): the distinct vectors of ``usable`` rows with their k + 1 least ids; point is the least."""
-    rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))  # Spark keeps the first of each group before it shuffles
-    few = rows.withColumn("n", rank).where(F.col("n") <= k + 1)
-    return few.groupBy("v").agg(F.min("id").alias("point"), F.sort_array(F.collect_list("id")).alias("ids")).select("point", "v", "ids")
+def copies(rows: DataFrame, k: int) -> DataFrame:
+    """(point, ids): of each vector that several ids have, the least id and the k + 1 least ones. Vectors are told apart by
+    two 64-bit hashes here, so that no vector moves."""
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("id"))  # Spark keeps the first of each group before it shuffles
+    few = rows.select(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"), "id").withColumn("n", rank).where(F.col("n") <= k + 1)
+    return few.groupBy("a", "b").agg(F.min("id").alias("point"), F.sort_array(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1).select("point", "ids")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def _part_search(k: int):
-    """Exact distances inside parts. Rows are sorted by part, points before queries."""
+def true_neighbours(points: DataFrame, names: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k nearest points to each of ``queries`` (the points ``names``), nearest first: exact over all points, in one pass
+    that keeps k a task."""
+    shipped = points.sparkSession.sparkContext.broadcast((names, queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked = shipped.value
+        best = np.full((len(asked), k), np.inf)
+        held = np.zeros((len(asked), k, asked.shape[1]))
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                part = batch.slice(low, 4096)
+                x = _matrix(part.column(1))
+                squares = _squares(asked, x)
+                squares[own[:, None] == part.column(0).to_numpy()[None]] = np.inf
+                both = np.concatenate([best, squares], 1)
+                at = np.argpartition(both, k - 1, 1)[:, :k]
+                best = np.take_along_axis(both, at, 1)
+                old = np.take_along_axis(held, np.minimum(at, k - 1)[:, :, None], 1)
+                held = np.where((at < k)[:, :, None], old, x[np.maximum(at - k, 0)])
+        q, nth = np.nonzero(np.isfinite(best))
+        flat = held[q, nth]
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1, dtype=np.int32) * asked.shape[1]), pa.array(flat.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(best[q, nth], pa.float64()), vectors], ["query", "square", "v"])
+
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("square", "v"))
+    found = points.select("point", "v").mapInArrow(run, "query long, square double, v array<double>").withColumn("n", rank).where(F.col("n") <= k)
+    rows = found.orderBy("query", "n").toArrow()
+    at = rows.column("query").to_numpy()
+    vectors = _matrix(rows.column("v").combine_chunks()) if len(at) else np.zeros((0, queries.shape[1]))
+    return [vectors[at == q] for q in range(len(queries))]
+
+
+def near_distance(distances: list[float]) -> float:
+    """Within which most queries have their neighbours; where distances differ widely, the nearer ones' come first, as later
+    rounds take the others."""
+    if not distances:
+        return 1.0
+    return max(min(float(np.quantile(distances, 0.9)), 2 * float(np.quantile(distances, 0.25))), 1e-12)
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, by one matrix product; exact up to rounding in the order of the vectors' own squares."""
+    return (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * (a @ b.T)
+
+
+#: Pairs of a cell from which on its distances come from a matrix product; pairs that are held at once.
+BLOCK_PAIRS, HELD_PAIRS = 4_096, 400_000
+
+
+class _Best:
+    """The k + 1 nearest candidates of each query met so far."""
+
+    def __init__(self, asked: np.ndarray, x: np.ndarray, names: np.ndarray, k: int):
+        self.asked, self.x, self.names, self.k = asked, x, names, k
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, q: np.ndarray, p: np.ndarray) -> None:
+        for low in range(0, len(q), 16_384):
+            a, b = q[low : low + 16_384], p[low : low + 16_384]
+            self.held.append((a, b, np.sqrt(((self.x[b] - self.asked[a]) ** 2).sum(1))))
+        self.n += len(q)
+        if self.n > HELD_PAIRS:
+            self.reduce()
+
+    def reduce(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, np.zeros(0)
+        q, p, distance = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.lexsort((self.names[p], distance, q))
+        q, p, distance = q[order], p[order], distance[order]
+        point = self.names[p]
+        new = np.append(True, (q[1:] != q[:-1]) | (point[1:] != point[:-1]))  # a point that two tables found
+        q, p, distance = q[new], p[new], distance[new]
+        starts = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+        few = rank <= self.k
+        self.held = [(q[few], p[few], distance[few])]
+        self.n = int(few.sum())
+        return self.held[0]
+
+
+def search_part(names: np.ndarray, cells: np.ndarray, x: np.ndarray, asked: np.ndarray, visits: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of query, place of point, distance): of each query the k + 1 nearest points in the cells that it visits.
+
+    Small cells' pairs are listed and measured together; large cells take one matrix product for all their queries.
+    """
+    order = np.argsort(cells, kind="stable")
+    found, starts = np.unique(cells[order], return_index=True)
+    sizes = np.diff(np.append(starts, len(cells)))
+    query = np.repeat(np.arange(len(visits)), [len(v) for v in visits])
+    visit = np.concatenate(visits)
+    hit = np.minimum(np.searchsorted(found, visit), len(found) - 1)
+    there = found[hit] == visit
+    query, hit = query[there], hit[there]
+    best = _Best(asked, x, names, k)
+    visitors = np.bincount(hit, minlength=len(found))
+    large = (sizes * visitors >= BLOCK_PAIRS)[hit]
+    small_q, small_c = query[~large], hit[~large]
+    ends = np.cumsum(sizes[small_c])
+    low = 0
+    while low < len(small_q):  # so many visits at once that their pairs are about HELD_PAIRS
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + HELD_PAIRS, side="right")))
+        n = sizes[small_c[low:high]]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        best.add(np.repeat(small_q[low:high], n), order[np.repeat(starts[small_c[low:high]], n) + inside])
+        low = high
+    query, hit = query[large], hit[large]
+    by_cell = np.argsort(hit, kind="stable")
+    for group in np.split(by_cell, np.flatnonzero(np.diff(hit[by_cell])) + 1) if len(by_cell) else []:
+        c = hit[group[0]]
+        at = order[starts[c] : starts[c] + sizes[c]]
+        step = max(1, 1_000_000 // len(at))
+        for low in range(0, len(group), step):
+            own = query[group[low : low + step]]
+            squares = _squares(asked[own], x[at])
+            if len(at) > k + 1:
+                slack = 1e-12 * ((asked[own] ** 2).sum(1) + (x[at] ** 2).sum(1).max())
+                keep = squares <= (np.partition(squares, k, 1)[:, k] + slack)[:, None]
+            else:
+                keep = np.ones(squares.shape, dtype=bool)
+            a, b = np.nonzero(keep)
+            best.add(own[a], at[b])
+    return best.reduce()
+
+
+def _search(k: int):
+    """``search_part`` over rows sorted by part, with a part's points (query -1) before its queries."""
 
     def search(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         rows = pa.Table.from_batches(held)
-        kinds = rows.column("query").to_numpy()
-        n = int((kinds < 0).sum())
-        if not n or n == len(kinds):
+        n = int((rows.column("query").to_numpy() < 0).sum())
+        if not n or n == rows.num_rows:
             return None
-        x = _matrix(rows.column("v").slice(0, n).combine_chunks())
-        cells = rows.column("cell").slice(0, n).to_numpy()
-        names = rows.column("point").slice(0, n).to_numpy()
-        order = np.argsort(cells, kind="stable")
-        found, starts = np.unique(cells[order], return_index=True)
-        ends = np.append(starts[1:], n)
-        out: tuple[list, list, list] = ([], [], [])
-        queries = rows.slice(n)
-        vs = _matrix(queries.column("v").combine_chunks())
-        for q, v, visit in zip(queries.column("query").to_pylist(), vs, queries.column("visit").to_pylist(), strict=True):
-            if visit is None:
-                at = np.arange(n)
-            else:
-                hit = np.searchsorted(found, visit := np.array(visit))
-                ok = hit < len(found)
-                hit = hit[ok][found[hit[ok]] == visit[ok]]
-                if not len(hit):
-                    continue
-                at = np.concatenate([order[starts[h] : ends[h]] for h in hit])
-            distance = np.sqrt(((x[at] - v) ** 2).sum(1))
-            best = np.lexsort((names[at], distance))
-            seen: dict[int, float] = {}
-            for b in best.tolist():
-                seen.setdefault(int(names[at[b]]), float(distance[b]))
-                if len(seen) > k:
-                    break
-            out[0].extend([q] * len(seen))
-            out[1].extend(seen)
-            out[2].extend(seen.values())
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query", "point", "score"])
+        mine, queries = rows.slice(0, n), rows.slice(n)
+        visits = [np.array(v, dtype=np.int64) for v in queries.column("visit").to_pylist()]
+        names = mine.column("point").to_numpy()
+        q, p, distance = search_part(names, mine.column("cell").to_numpy(), _matrix(mine.column("v").combine_chunks()), _matrix(queries.column("v").combine_chunks()), visits, k)
+        return pa.RecordBatch.from_arrays([pa.array(queries.column("query").to_numpy()[q]), pa.array(names[p]), pa.array(distance)], ["query", "point", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -190,77 +363,109 @@ def _part_search(k: int):
     return run
 
 
-def _searched(dealt: DataFrame, visits: DataFrame, k: int) -> DataFrame:
-    """Candidates (query, point, score). ``dealt``: part, cell, point, v; ``visits``: part, query, v, visit (null: all)."""
-    both = dealt.select("part", F.lit(-1).cast("long").alias("query"), "point", "cell", "v", F.lit(None).cast("array<long>").alias("visit")).union(
-        visits.select("part", "query", F.lit(None).cast("long"), F.lit(None).cast("long"), "v", "visit")
-    )
-    return both.repartition("part").sortWithinPartitions("part", "query").mapInArrow(_part_search(k), "query long, point long, score double")
+def candidates(points: DataFrame, asked: DataFrame, index: Index, k: int, n: int, pruned: bool) -> DataFrame:
+    """(query, point, score): of each query and part the k + 1 nearest points in the cells that the query visits.
 
-
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES, directions: int = DIRECTIONS, success: float = SUCCESS, small: int = SMALL) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest found of each row whose id is divisible by ``every``."""
-    spark = vectors.sparkSession
-    distinct = materialize(points(usable(vectors, key, vector), k), "points")
-    rows = distinct.orderBy(F.xxhash64("point")).limit(SAMPLE_POINTS).select("v").collect()
-    if not rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths = [len(r["v"]) for r in rows]
-    d = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    distinct = distinct.where(F.size("v") == d)
-    n = distinct.count()
-    index = fit(np.array([r["v"] for r in rows if len(r["v"]) == d]), tables, 0 if n <= small else directions, success)
-    shipped = spark.sparkContext.broadcast(index)
-    parts = max(1, math.ceil(n * len(index.directions) / PART_POINTS))
-    limit = PART_POINTS
+    ``points``: point, v; ``asked``: query, v. ``pruned``: leave out beforehand most points whose cells nobody visits.
+    """
+    shipped = points.sparkSession.sparkContext.broadcast(index)
+    tables = len(index.directions)
 
     def into_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(1))
-                cells = np.stack([own.cells(x, t)[1] * len(own.directions) + t for t in range(len(own.directions))], 1)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * cells.shape[1]), pa.array(cells.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], ["point", "v", "cells"])
+                cells = np.stack([shipped.value.cells(x, t) for t in range(tables)], 1)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, flat], [*batch.schema.names, "cells"])
 
     def into_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
         for batch in batches:
             for low in range(0, batch.num_rows, 128):
                 part = batch.slice(low, 128)
                 x = _matrix(part.column(1))
-                by_table = [own.probes(x, t) for t in range(len(own.directions))]
-                lists = [np.concatenate([by_table[t][q] * len(own.directions) + t for t in range(len(by_table))]) for q in range(len(x))]
+                by_table = [shipped.value.probes(x, t) for t in range(tables)]
+                lists = [np.concatenate(own) for own in zip(*by_table, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.list_(pa.int64()))], ["query", "cells"])
 
-    placed = distinct.select("point", "v").mapInArrow(into_cells, "point long, v array<double>, cells array<long>").select("point", "v", F.explode("cells").alias("cell"))
-    placed = materialize(placed, "cells")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("splits"))
-    part_of = lambda split: F.pmod(F.xxhash64("cell", split), F.lit(parts)).cast("int")
-    split = F.pmod(F.xxhash64("point"), F.col("splits")).cast("int")
-    big = materialize(sizes.where("splits > 1"), "big-cells")  # few: a cell counts if it alone fills a part
-    dealt = placed.join(big, "cell", "left").withColumn("splits", F.coalesce("splits", F.lit(1))).withColumn("part", part_of(split))
-    asked = materialize(usable(vectors.where(F.col(key) % every == 0), key, vector).where(F.size("v") == d).select(F.col("id").alias("query"), "v"), "queries")
-    probes = asked.mapInArrow(into_probes, "query long, cells array<long>").select("query", F.explode("cells").alias("cell")).join(sizes, "cell")
-    visits = probes.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).withColumn("part", part_of(F.col("split")))
-    visits = visits.groupBy("query", "part").agg(F.sort_array(F.collect_set("cell")).alias("visit")).join(asked, "query")
-    found = materialize(_searched(dealt, visits, k), "found")
-    answers = _merged(found, distinct, k)
-    answers = materialize(answers, "answers")
-    full = answers.where(F.col("rank") == k).select("query_id")
-    short = asked.join(full, asked["query"] == full["query_id"], "left_anti")
-    if len(index.directions[0]) and not short.isEmpty():
-        everywhere = short.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "visit": F.lit(None).cast("array<long>")})
-        again = _merged(_searched(dealt, everywhere, k), distinct, k)
-        answers = answers.join(short.select(F.col("query").alias("query_id")), "query_id", "left_anti").unionByName(again)
-    return answers
-
-
-def _merged(found: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
+    element = points.schema["v"].dataType.simpleString()
+    placed = points.select("point", "v").mapInArrow(into_cells, f"point long, v {element}, cells array<long>").select("point", "v", F.explode("cells").alias("cell"))
+    sizes = materialize(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("points")), "cells")
+    probes = asked.select("query", "v").mapInArrow(into_probes, "query long, cells array<long>").select("query", F.explode("cells").alias("cell"))
+    visits = materialize(probes.join(sizes, "cell").select("query", "cell"), "visits")
+    crowded = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("queries")).where(F.col("queries") > PART_QUERIES)
+    # few: a cell counts if it alone fills a part
+    big = materialize(sizes.where(F.col("points") > PART_POINTS).join(crowded, "cell", "full").select("cell", F.ceil(F.coalesce(F.col("points") / PART_POINTS, F.lit(1))).cast("int").alias("splits"), F.ceil(F.coalesce(F.col("queries") / PART_QUERIES, F.lit(1))).cast("int").alias("groups")), "big-cells")
+    parts = max(1, math.ceil(n * tables / PART_POINTS), math.ceil(visits.count() / (16 * PART_QUERIES)))
+
+    def dealt(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        """Rows with their parts: of a big cell, one's own split or group, with all groups or splits of the other side."""
+        some = rows.join(big, "cell", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("splits", "groups")})
+        some = some.withColumns({"_own": F.pmod(F.xxhash64(name), F.col(own)), "_other": F.explode(F.sequence(F.lit(0).cast("long"), F.col(other).cast("long") - 1))})
+        split, group = (F.col("_own"), F.col("_other")) if own == "splits" else (F.col("_other"), F.col("_own"))
+        return some.withColumn("part", F.pmod(F.xxhash64("cell", split, group), F.lit(parts)).cast("int")).drop("splits", "groups", "_own", "_other")
+
+    if pruned:
+        placed = sieve(placed.withColumn("_hash", F.xxhash64("cell")), visits.select(F.xxhash64("cell").alias("_hash")).distinct()).where("_maybe")
+    stored = dealt(placed, "point", "splits", "groups").select("part", F.lit(-1).cast("long").alias("query"), "point", "cell", "v", F.lit(None).cast("array<long>").alias("visit"))
+    going = dealt(visits, "query", "groups", "splits").groupBy("query", "part").agg(F.sort_array(F.collect_set("cell")).alias("visit")).join(asked, "query")
+    both = stored.union(going.select("part", "query", F.lit(None).cast("long"), F.lit(None).cast("long"), "v", "visit"))
+    return both.repartition("part").sortWithinPartitions("part", "query").mapInArrow(_search(k), "query long, point long, score double")
+
+
+def _merged(found: DataFrame, same: DataFrame, k: int) -> DataFrame:
     """The k best of all candidates, copies and all, without the query itself."""
     once = found.groupBy("query", "point").agg(F.min("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query").orderBy("score", "point"))
-    top = once.withColumn("n", best).where(F.col("n") <= k + 1)
-    ids = top.join(distinct.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query")
+    top = once.withColumn("n", best).where(F.col("n") <= k + 1).drop("n")
+    ids = top.join(same, "point", "left").select("query", "score", F.explode(F.coalesce("ids", F.array("point"))).alias("vec_id")).where("vec_id <> query")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
     return ids.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES) -> DataFrame:
+    """query_id, rank, vec_id and score of the k nearest found of each row whose id is divisible by ``every``."""
+    spark = vectors.sparkSession
+    rows = once_each(usable(vectors, key, vector))
+    points = materialize(rows.groupBy("v").agg(F.min("id").alias("point")).select("point", "v"), "points")
+    sample = points.orderBy(F.xxhash64("point")).limit(SAMPLE_POINTS).select("point", F.col("v").cast("array<double>").alias("v")).toArrow()
+    if not sample.num_rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = pa.compute.list_value_length(sample.column("v")).to_pylist()
+    d = max(set(lengths), key=lambda size: (lengths.count(size), size))
+    sample = sample.filter(pa.array([size == d for size in lengths]))
+    points = points.where(F.size("v") == d)
+    same = materialize(copies(rows.where(F.size("v") == d), k), "copies")
+    n = points.count()
+    x = _matrix(sample.column("v").combine_chunks())
+    queries = x[:SAMPLE_QUERIES]
+    known = true_neighbours(points, sample.column("point").to_numpy()[:SAMPLE_QUERIES], queries, k)
+    far = [np.sqrt(((v - q) ** 2).sum(1)) for q, v in zip(queries, known, strict=True)]
+    near = near_distance([float(f.max()) for f in far if len(f)])
+    known = [v[f <= near] for f, v in zip(far, known, strict=True)]
+    asked = materialize(once_each(usable(vectors.where(F.col(key) % every == 0), key, vector)).where(F.size("v") == d).select(F.col("id").alias("query"), "v"), "queries")
+    found, settled, first = None, [], True
+    while True:
+        index = fit(x, queries, near, n, tables, known if first and n > 1 else None)
+        new = candidates(points, asked, index, k, n, pruned=not first)
+        found = materialize(new if found is None else found.join(asked.select("query"), "query", "left_semi").union(new), "found")
+        answers = materialize(_merged(found, same, k), "answers")
+        last = not index.directions.shape[1]
+        enough = answers.where(F.col("rank") == k).withColumn("done", F.col("score") <= SLACK * near)
+        if last:
+            return _all_of([*settled, answers])
+        waiting = asked.select("query", "v").join(enough, asked["query"] == enough["query_id"], "left").where("NOT coalesce(done, false)").select("query", "v", "score")
+        asked = materialize(waiting, "waiting")
+        left = asked.agg(F.count(F.lit(1)).alias("n"), F.percentile("score", 0.1).alias("near"), F.count("score").alias("full")).first()
+        if not left["n"]:
+            return _all_of([*settled, answers])
+        settled.append(answers.join(asked.select(F.col("query").alias("query_id")), "query_id", "left_anti"))
+        near = max(2 * near, left["near"] if left["full"] == left["n"] else 0.0)
+        first = False
+
+
+def _all_of(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
