@@ -210,6 +210,59 @@ def test_html_host_path_with_a_part_only(spark):
     assert got[100] == f"Title\n{LONG.strip()}" and got[101] == f"Title\n{LONG.strip()}\nPart"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<style>/* <a don't */</style><div class=\"x\"><p>Hello <b>world</b> first</p><p>it's Second</p></div>", "Hello world first\nit's Second"),
+        ("<script>if (a <b && c > 'd) // <p \"</script><p>One</p><script>x = '</p>'</script><p>Two \"quoted\"</p>", 'One\nTwo "quoted"'),
+        ("<p>a <a don't>x</a> <b title=it's>it's</b> c</p><p data-x='a>b' data-y=\"<p>\">d</p>", "a x it's c\nd"),
+        ("<textarea><p>no</p></textarea><title>no</title><noscript><p>no</p></noscript><p>yes<!-- <p>no</p> > --> too</p>", "yes too"),
+        ("<SCRIPT>no</Script ><P>yes</P><script>no <p>no", "yes"),
+        ("<div class=hidden-gem><p>kept</p></div>", "kept"),
+        ("<p>a < b and 3 <4</p><p>x</p></p></div></article>", "a < b and 3 <4\nx"),
+    ],
+)
+def test_html_raw_elements_and_quotes(html, text):
+    from tidelog.llm.html_extraction import read_page
+
+    page = read_page(html)
+    assert page.main_text([]) == text and page.main_text([p for p, _ in page.votes()]) == text
+
+
+NESTS = ["<div>", "<div class=c{k}>", "<ul><li>x", "<table><tr><td>x", "<span class=ad>x", "<p>x</div>", "<section><article>x", "<a href='", "<script>x", "<a = ", "<!--"]
+
+
+@pytest.mark.parametrize("unit", NESTS)
+def test_html_deep_pages_take_linear_time_and_memory(unit):
+    import time
+    import tracemalloc
+
+    from tidelog.llm.html_extraction import read_page
+
+    html = "".join(unit.replace("{k}", str(k)) for k in range(50_000)) + "<p>the end"
+    began = time.perf_counter()
+    page = read_page(html)
+    page.main_text([p for p, _ in page.votes()])
+    assert time.perf_counter() - began < 15
+    tracemalloc.start()
+    read_page(html[: len(html) // 5])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40_000_000
+
+
+def test_html_long_page_and_null_ids(spark):
+    from tidelog.llm.html_extraction import extract
+
+    long = "<body><nav>menu</nav><article>" + "".join(f"<p>paragraph {k} &amp; more</p>" for k in range(30_000)) + "</article></body>"
+    rows = [(None, None, long), (None, "https://h.example", long), (1, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("text", "n_chars", "_html", "_host", "path", "vote", "paths", "host")})
+    got = extract(pages).collect()
+    want = "\n".join(f"paragraph {k} & more" for k in range(30_000))
+    assert sorted((r.page_id is None, r.text) for r in got) == [(False, ""), (True, want), (True, want)]
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
 @pytest.mark.parametrize(("names", "away"), [("ad", True), ("ad-container", True), ("site-footer", True), ("commentList", True), ("comments-wrapper", True), ("has-sidebar", False), ("content-with-sidebar", False), ("sidebar-layout", False), ("post content", False), ("header-ad", True), ("shadow", False), ("", False)])
 def test_names_of_parts(names, away):
     from tidelog.llm.html_extraction import _away

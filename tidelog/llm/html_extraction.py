@@ -17,13 +17,16 @@ references are decoded; blocks are joined by ``\\n`` in page order.
 
 Defined cases. A null or empty html, and a page without any main text, give the empty text. A null url belongs to the host
 ``''``, like one without a host. Tags that are never closed end with their parent; stray end tags are passed over; a page
-that breaks off ends there. Rows that repeat are extracted one by one. Ties between paths: the first in string order.
+that breaks off ends there. Rows that repeat are extracted one by one; ids and urls may be null. Ties between a
+page's containers: the outer or earlier one; between a host's paths: the first in string order. Very long and deeply nested pages cost time and memory in proportion to their length. Other columns of
+the input, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from heapq import nsmallest
 from html import unescape
 
 import pyarrow as pa
@@ -57,8 +60,14 @@ CONTENT = frozenset("content article post entry story hentry".split())
 LAYOUT = frozenset("layout page columns cols grid".split())
 AROUND = frozenset("with has no".split())
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion responses".split())
+#: Words that tell about a part only as the last one of its name: a ``hidden-gem`` isn't hidden.
+LAST_ONLY = frozenset("hidden skip links tags search rail foot".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+#: A comment; a tag with its attributes, where quotes count only after ``=``; a tag that breaks off; a declaration.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    re.S,
+)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _DIGITS = re.compile(r"\d+")
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -72,30 +81,68 @@ def _away(names: str) -> str | None:
         words = [w.lower() for w in _NAME_PARTS.findall(name)]
         if words and words[-1] in AWAY and not AROUND.intersection(words[:-1]):
             return words[-1]
-        if words and words[0] in AWAY and not LAYOUT.intersection(words):
+        if words and words[0] in AWAY and words[0] not in LAST_ONLY and not LAYOUT.intersection(words):
             return words[0]
     return None
 
 
 class _Open:
-    __slots__ = ("tag", "path", "dropped", "container", "by", "content")
+    """An open tag. ``inner``: in an article, a main or a part named as content; ``comments``: in readers' comments."""
+
+    __slots__ = ("tag", "dropped", "container", "inner", "comments")
 
-    def __init__(self, tag: str, path: str, dropped: bool, container: int, by: str | None, content: bool = False):
-        self.tag, self.path, self.dropped, self.container, self.by, self.content = tag, path, dropped, container, by, content
+    def __init__(self, tag: str, dropped: bool, container: int, inner: bool, comments: bool):
+        self.tag, self.dropped, self.container, self.inner, self.comments = tag, dropped, container, inner, comments
 
 
 class Page:
-    """A page's blocks, each with the container that it is in, and the containers with their parents and paths."""
+    """A page's blocks, each with the container that it is in, and the containers with their parents and paths.
+
+    A path is a number, found by its parent's number and its last step; as a string it is made only where it is wanted. So
+    time and memory grow with the page's length, however deep it nests.
+    """
 
     def __init__(self, html: str | None, by_name: bool = True):
-        self.paths: list[str] = [""]
+        self.paths: list[int] = [0]
         self.parents: list[int] = [-1]
         self.tags: list[str] = ["html"]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters outside links
+        self._numbers: dict[tuple[int, str], int] = {}
+        self._steps: list[tuple[int, str]] = [(0, "")]
         self._read(html or "", by_name)
 
+    def path(self, number: int) -> str:
+        """A path's steps, parted by ``>``."""
+        steps = []
+        while number:
+            number, step = self._steps[number]
+            steps.append(step)
+        return ">".join(reversed(steps))
+
+    def number(self, path: str) -> int:
+        """The number of a path; -1 if no container of this page has it."""
+        at = 0
+        for step in path.split(">"):
+            at = self._numbers.get((at, step), -1)
+            if at < 0:
+                break
+        return at
+
+    def _add(self, tag: str, step: str, parent: int) -> int:
+        above = self.paths[parent]
+        number = self._numbers.get((above, step))
+        if number is None:
+            number = self._numbers[above, step] = len(self._steps)
+            self._steps.append((above, step))
+        self.paths.append(number)
+        self.parents.append(parent)
+        self.tags.append(tag)
+        return len(self.paths) - 1
+
     def _read(self, html: str, by_name: bool) -> None:
-        stack = [_Open("html", "", False, 0, None)]
+        stack = [_Open("html", False, 0, False, False)]
+        opened: dict[str, int] = {}  # how many of a tag are open
+        endless: set[str] = set()  # tags that end nowhere in the rest of the page
         parts: list[str] = []
         linked = depth_of_link = 0
         at = 0
@@ -109,9 +156,18 @@ class Page:
                 parts.clear()
             linked = 0
 
-        for m in _TAG.finditer(html):
-            if m.start() < at:
-                continue
+        def leave() -> None:
+            opened[stack.pop().tag] -= 1
+
+        def end_of(tag: str) -> int:
+            """Where the next end tag of ``tag`` ends; -1 if there is none."""
+            if tag not in endless:
+                if end := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at):
+                    return end.end()
+                endless.add(tag)
+            return -1
+
+        while m := _TAG.search(html, at):  # from where the last tag, or what it left out, ended
             if m.start() > at and not stack[-1].dropped:
                 piece = html[at : m.start()]
                 parts.append(piece)
@@ -125,20 +181,19 @@ class Page:
             if closing:
                 if tag == "a":
                     depth_of_link = max(0, depth_of_link - 1)
-                elif tag in BLOCKS or tag in DROPPED:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag == tag:
-                            if not stack[-1].dropped:
-                                flush()
-                            del stack[k:]
-                            break
+                elif opened.get(tag):
+                    if not stack[-1].dropped:
+                        flush()
+                    while stack[-1].tag != tag:
+                        leave()
+                    leave()
                 continue
             if tag == "a":
                 depth_of_link += 1
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                end = end_of(tag)
+                at = end if end >= 0 else len(html)
                 continue
             if tag in VOID or tag not in BLOCKS and tag not in DROPPED and not (attrs and "=" in attrs or "hidden" in attrs):
                 if tag in ("br", "hr") and not stack[-1].dropped:
@@ -148,7 +203,7 @@ class Page:
             if attrs:
                 own = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(attrs)}
             names = f"{own.get('class', '')} {own.get('id', '')}"
-            inner = any(s.tag in ("article", "main") or s.content for s in stack)
+            inner = stack[-1].inner
             by = None
             if tag in DROPPED or "hidden" in own or own.get("aria-hidden") == "true" or own.get("role") in ROLES or _HIDDEN_STYLE.search(own.get("style", "")):
                 by = tag
@@ -162,31 +217,26 @@ class Page:
                 continue  # an inline tag
             if tag not in BLOCKS and tag not in DROPPED:
                 # an inline tag that is not main text: left out up to its end, if that comes before other tags
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                if end and not stack[-1].dropped:
-                    at = end.end()
+                if not stack[-1].dropped and (end := end_of(tag)) >= 0:
+                    at = end
                 continue
             if not stack[-1].dropped:
                 flush()
             if tag in ("p", "li", "tr", "td", "dt", "dd") or tag in BLOCKS and stack[-1].tag == "p":
                 while stack[-1].tag == "p" or stack[-1].tag == tag and tag != "div":
-                    stack.pop()
-            top = stack[-1]
-            if top.dropped and not by and tag in ("article", "main") and not any(s.by in COMMENTS for s in stack):
+                    leave()
+            if stack[-1].dropped and not by and tag in ("article", "main") and not stack[-1].comments:
                 while stack[-1].dropped:  # an end tag is missing above
-                    stack.pop()
-                top = stack[-1]
-            container, path = top.container, top.path
+                    leave()
+            top = stack[-1]
+            container = top.container
             if tag in CONTAINERS and not (by or top.dropped):
-                first = (own.get("class") or own.get("id") or "").split()
-                step = f"{tag}.{_DIGITS.sub('#', '.'.join(sorted(first)))}" if first else tag
-                path = f"{path}>{step}" if path else step
-                container = len(self.paths)
-                self.paths.append(path)
-                self.parents.append(top.container)
-                self.tags.append(tag)
+                first = (own.get("class") or own.get("id") or "").replace(">", " ").split()
+                container = self._add(tag, f"{tag}.{_DIGITS.sub('#', '.'.join(sorted(first)))}" if first else tag, top.container)
             words = {w.lower() for w in _NAME_PARTS.findall(names)}
-            stack.append(_Open(tag, path, top.dropped or by is not None, container, by, bool(CONTENT & words) and not (LAYOUT | AROUND | {"wrapper", "container"}) & words))
+            content = bool(CONTENT & words) and not (LAYOUT | AROUND | {"wrapper", "container"}) & words
+            opened[tag] = opened.get(tag, 0) + 1
+            stack.append(_Open(tag, top.dropped or by is not None, container, top.inner or tag in WHOLE or content, top.comments or by in COMMENTS))
         if at < len(html) and not stack[-1].dropped:
             parts.append(html[at:])
         flush()
@@ -236,7 +286,8 @@ class Page:
         if pick >= 0:
             scores[pick] = max(scores) / 0.9
             scores = [s if inside else 0.0 for s, inside in zip(scores, self.under({pick}), strict=True)]
-        best = sorted(((s, p) for s, p in zip(scores, self.paths, strict=True) if s > 0 and p), key=lambda x: (-x[0], x[1]))[:VOTES]
+        most = nsmallest(VOTES, ((-s, k) for k, s in enumerate(scores) if s > 0 and self.paths[k]))
+        best = [(-s, self.path(self.paths[k])) for s, k in most]
         total = sum(s * s for s, _ in best)
         return [(p, s * s / total) for s, p in best]
 
@@ -251,7 +302,7 @@ class Page:
         pick = self.pick(self.scores())
         own = self.under({max(pick, 0)})
         total, free = self.sums()
-        for n, path in enumerate(winners):
+        for n, path in enumerate(map(self.number, winners)):
             if n and pick >= 0 and path != self.paths[pick]:
                 continue
             under = self.under({k for k, p in enumerate(self.paths) if p == path and (pick < 0 or k == pick or 2 * free[k] >= total[k])})
