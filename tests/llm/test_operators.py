@@ -744,6 +744,47 @@ def test_byte_bpe_odd_rows(odd, empty, encoding):
     assert encode_documents(odd, path, public_tokenizers.PATTERN).where("doc_id = 12").first().ids == encoding.encode_ordinary(ODD[12])
 
 
+@pytest.mark.parametrize("kind", ["letters", "one", "words", "han"])
+def test_byte_bpe_long_matches(encoding, kind):
+    """Matches of up to a megabyte, in seconds and in bounded memory."""
+    import time
+    import tracemalloc
+
+    from tidelog.llm.byte_bpe import SegmentTreeBpe, load_ranks
+
+    rng = np.random.default_rng(6)
+    text = {"letters": "".join(map(chr, rng.integers(97, 123, 1_000_000))), "one": "a" * 200_000, "words": "".join(rng.choice(["the", "ing", "straße", "tion"], 50_000)), "han": "".join(map(chr, rng.integers(0x4E00, 0x5E00, 60_000)))}[kind]
+    own = SegmentTreeBpe(load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    began = time.perf_counter()
+    ids = np.frombuffer(own.encode_many([text.encode()])[0], dtype="<u4").tolist()
+    assert time.perf_counter() - began < 60
+    assert own.decode(ids) == text.encode()
+    assert ids == encoding._encode_single_piece(text)
+    tracemalloc.start()
+    own.encode_many([text[:20_000].encode()])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4_000_000
+
+
+def test_one_by_one_as_in_lock_step(encoding):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from tidelog.llm.byte_bpe import SegmentTreeBpe, load_ranks
+
+    own = SegmentTreeBpe(load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(alphabet=st.sampled_from("abcdeinrst é漢"), min_size=2, max_size=80))
+    def same(text):
+        piece = text.encode()
+        width = max(2, 1 << (len(piece) - 1).bit_length())
+        assert own._merge_one(piece, width) == own._merge([piece], width)[0]
+
+    same()
+
+
 def test_segment_tree_on_random_strings(encoding):
     from hypothesis import given, settings
     from hypothesis import strategies as st
