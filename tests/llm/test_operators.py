@@ -670,6 +670,66 @@ def test_near_dedup_large_group(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == Counter(brute_components(rows, 3, 85))
 
 
+def test_near_dedup_blocks_by_shingles(spark, monkeypatch):
+    """Long texts: a block's sets are bounded, too."""
+    from tidelog.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 2_000)
+    rng = np.random.default_rng(11)
+    base = [f"b{k}" for k in range(1_500)]
+    rows = [(k, edited(rng, base, int(rng.integers(0, 60)))) for k in range(40)] + [(50, "one two three four"), (51, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketches = near_dedup.sketch(docs, 3, 128).where("node IS NOT NULL").select("node", "n_shingles", "registers")
+    bands, per = near_dedup.banding(0.85)
+    blocks = near_dedup.candidate_blocks(sketches, bands, per, 0.85).groupBy("bucket", "i", "j").agg(F.sum("n_shingles").alias("n")).collect()
+    assert blocks and len({(r.i, r.j) for r in blocks}) > 1
+    assert max(r.n for r in blocks) < 20_000  # all 40 together have 60,000
+    out = near_dedup.near_duplicates(docs, 3, 85).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == Counter(brute_components(rows, 3, 85))
+
+
+def test_components(spark):
+    """Paths, stars, cycles and a large random graph against union and find."""
+    from tidelog.llm.near_dedup import components
+
+    rng = np.random.default_rng(12)
+    names = [hashlib.md5(str(k).encode()).digest() for k in range(3_000)]  # noqa: S324
+    pairs = [(k, k + 1) for k in range(400)] + [(500, 500 + k) for k in range(1, 300)] + [(900 + k, 900 + (k + 1) % 50) for k in range(50)] + [(1000, 1000)]
+    pairs += [tuple(map(int, rng.integers(1500, 3000, 2))) for _ in range(900)]
+    root = list(range(3_000))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    links = spark.createDataFrame([(names[a], names[b]) for a, b in pairs], "a binary, b binary")
+    got = {bytes(r.node): bytes(r.label) for r in components(links).collect()}
+    ends = {x for p in pairs if p[0] != p[1] for x in p}
+    assert got.keys() == {names[x] for x in ends}
+    groups = defaultdict(set)
+    for x in ends:
+        groups[find(x)].add(got[names[x]])
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+    assert components(links.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 5_000])
+def test_sieve(spark, monkeypatch, n):
+    """Whatever its size, no row that has a partner is lost."""
+    from tidelog.llm import _common
+
+    rows = spark.range(20_000).withColumn("_hash", F.xxhash64("id"))
+    for bits in ((20, 27), (7, 8)):
+        monkeypatch.setattr(_common, "SIEVE_BITS_LOG2", bits)
+        out = _common.sieve(rows, rows.where(F.col("id") < n).select("_hash"))
+        assert out.count() == 20_000 and out.where(F.col("id") < n).where("_maybe").count() == n
+        if bits[0] == 20:
+            assert out.where(F.col("id") >= n).where("_maybe").count() < 1_000
+
+
 def test_near_dedup_odd_rows(spark, odd, empty):
     from tidelog.llm.near_dedup import banding, drop_near_duplicates, near_duplicates, registers, shingle_set
 

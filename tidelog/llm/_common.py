@@ -116,18 +116,21 @@ def map_texts(df: DataFrame, text_col: str, keep: Sequence[Column | str], schema
     return source.mapInArrow(run, out)
 
 
-#: Bits of a sieve: at most 2**24 / 64 rows of two numbers are sent to all tasks, whatever the tables.
-SIEVE_BITS_LOG2 = 24
+#: The least and the most bits of a sieve, as powers of two; between them it has 16 to 32 bits for each hash. 2**27 bits are
+#: two million rows of two numbers.
+SIEVE_BITS_LOG2 = (20, 27)
 
 
 def sieve(rows: DataFrame, hashes: DataFrame) -> DataFrame:
     """Add ``_maybe`` to ``rows``: false where the row's ``_hash`` is surely none of ``hashes`` (a column ``_hash`` too).
 
-    A bit set of fixed size, built by Spark (``bit_or`` by word) and joined by broadcast: its size is bounded by its number
-    of words. Rows that pass need an exact join; the others, mostly nearly all, needn't be shuffled for it. Beyond some
-    millions of hashes more rows pass; results stay the same.
+    A bit set built by Spark (``bit_or`` by word) and joined by broadcast. Its size follows the number of hashes, so that a
+    few hundredths of the other rows pass, up to a bound; beyond some ten million hashes more do. Rows that pass need an exact
+    join, so results stay the same; the others needn't be shuffled for it.
     """
-    bit = F.pmod(F.col("_hash"), F.lit(1 << SIEVE_BITS_LOG2))
+    low, high = SIEVE_BITS_LOG2
+    bits = min(high, max(low, 4 + hashes.count().bit_length()))
+    bit = F.pmod(F.col("_hash"), F.lit(1 << bits))
     word, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
     words = hashes.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
     marked = rows.withColumn("_word", word).join(F.broadcast(words), "_word", "left")

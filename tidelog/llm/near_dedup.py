@@ -7,13 +7,15 @@ a 128-bit digest of the set), so exact copies cost nothing further. Per node:
    (``registers``): mergeable by maximum, equal in two sets about as often as the sets are similar.
 2. Bands. ``rows`` registers make a band; nodes that agree on a band meet in a bucket. ``banding`` takes as many bands as
    leave a pair at the threshold unmet with a chance of ``MISS`` at most.
-3. Estimates. A bucket is compared in pairs of blocks of ``BLOCK`` nodes at most, so that no task gets a whole large one.
+3. Estimates. A bucket is compared in pairs of blocks, of ``BLOCK`` nodes and ``BLOCK_SHINGLES`` shingles about, so that no
+   task gets a whole large one.
    A pair goes on if sizes allow the threshold, if the joint likelihood of its registers is greatest at a similarity
    near it or above, and if this is the first band on which the two agree.
 4. Verification. The nodes of such pairs are fetched from their texts, as full sets, and each block pair is verified:
    pairs by falling estimate, those already joined in the block left out. What leaves a block are stars of joined nodes,
    never all pairs.
-5. Components of the verified links, by the least neighbour's label and pointer jumping, written at each step.
+5. Components of the verified links: groups join their least neighbours, and links within a group go, until none is left;
+   written at each step.
 
 Work grows with the square of a bucket only in step 3, at some nanoseconds a pair; no candidates are dropped.
 
@@ -21,7 +23,9 @@ Defined cases. Without words (or text) a document's set is empty; it is linked w
 fewer words than a shingle has, the whole sequence is its one shingle. Rows of one doc_id are separate documents; a group's
 id is the least doc_id in it (null ids are passed over; a group of nothing else has a null id, and none of its rows is
 marked as kept). ``drop_near_duplicates`` keeps a row of each group, also of such a group.
-Word hashes have 64 bits and shingles are told apart by their hashes. Other columns of the input are left out.
+Word hashes have 64 bits and shingles are told apart by their hashes. Very long texts have large sets, held whole; blocks of
+them hold fewer. Ties don't matter: links are exact. Other columns of the input, whatever their names, are left out;
+``drop_near_duplicates`` keeps them.
 """
 
 from __future__ import annotations
@@ -47,8 +51,8 @@ SHIFT = 3.6 / LOG_BASE
 #: Registers at most, chance to miss a pair at the threshold, standard errors below it that an estimate may lie.
 MOST_REGISTERS, MISS, ERRORS = 128, 1e-4, 4.2
 
-#: Nodes of a bucket that are compared with one another at once.
-BLOCK = 256
+#: Nodes of a bucket, and shingles of these nodes, in one block. Two blocks are compared at once.
+BLOCK, BLOCK_SHINGLES = 256, 4_000_000
 
 #: Word hashes that a worker remembers at most.
 MOST_WORDS = 300_000
@@ -236,10 +240,10 @@ def candidate_blocks(nodes: DataFrame, bands: int, rows: int, threshold: float)
 
     ``nodes``: node, n_shingles, registers; one row a node.
     """
-    banded = nodes.select("node", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("registers", 1 + b * rows, rows)) for b in range(bands)])).alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    met = banded.join(shared, "bucket").withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")})
+    banded = nodes.select("node", "n_shingles", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("registers", 1 + b * rows, rows)) for b in range(bands)])).alias("band", "bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    met = banded.drop("n_shingles").join(shared, "bucket").withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")})
     paired = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("bucket", "band", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     ready = paired.join(nodes, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
@@ -289,25 +293,27 @@ def verified_links(blocks: DataFrame, sets: DataFrame, bands: int, percent: int)
     return ready.mapInArrow(_by_group(["bucket", "i", "j"], ["band", "node", "side", "n_shingles", "registers", "shingles"], verify), "a binary, b binary")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label) for each end of ``links`` (a, b): nodes have equal labels if and only if links connect them.
 
-    Each round takes the least label among a node's neighbours and then its label's label; both halve distances, so a
-    few rounds do. Each round is written, which cuts the lineage.
+    Each round every group of nodes joins the least group that a link leads to, and then the one that this has joined;
+    links are carried over to the groups, and those within a group go. A group stays as it is only if all its neighbours are
+    greater, and these join others, so the links run out, mostly within a few rounds. Each round is written, which cuts the
+    lineage.
     """
-    both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("next"))
-        lower = materialize(lower, "lower")
-        jump = lower.select(F.col("node").alias("at"), F.col("next").alias("jumped"))
-        labels = materialize(lower.join(jump, F.col("next") == F.col("at"), "left").select("node", F.col("label").alias("was"), F.coalesce("jumped", "next").alias("label")), "labels")
-        done = labels.where("was <> label").isEmpty()
-        labels = labels.select("node", "label")
-        if done:
-            return labels
-    raise RuntimeError("components did not settle")
+    both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
+    links = materialize(both, "links")
+    labels = materialize(links.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "labels")
+    while not links.isEmpty():
+        hooks = materialize(links.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("to")), "hooks")
+        further = hooks.select(F.col("a").alias("to"), F.col("to").alias("top"))
+        joined = materialize(hooks.join(further, "to").select(F.col("a").alias("group"), "top"), "joined")
+        moved = labels.join(joined, F.col("label") == F.col("group"), "left").select("node", F.coalesce("top", "label").alias("label"))
+        labels = materialize(moved, "labels")
+        left = links.join(joined, F.col("a") == F.col("group")).select(F.col("top").alias("a"), "b")
+        right = left.join(joined, F.col("b") == F.col("group")).select("a", F.col("top").alias("b"))
+        links = materialize(right.where("a <> b").distinct(), "links")
+    return labels
 
 
 def grouped(docs: DataFrame, words: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -350,13 +356,11 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tex
     stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.hash"))
     rows = materialize(grouped(docs, words, percent, text, key).select("doc_id", "text_hash", stays.alias("stays")), "decisions")
     keys = rows.groupBy("doc_id", "text_hash").agg(F.min("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1")
-    keys = materialize(keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), "stays"), "keys")
+    keys = materialize(keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), F.col("stays").alias("_stays")), "keys")
     hashed = docs.withColumns({"_text_hash": F.xxhash64(text), "_hash": F.xxhash64(F.col(key), F.xxhash64(text))})
     marked = sieve(hashed, keys.select(F.xxhash64("_id", "_text").alias("_hash")))
     kept = marked.where("NOT _maybe").select(docs.columns)
-    doubtful = marked.where("_maybe")
     same = (F.col("_text_hash") == F.col("_text")) & F.col(key).eqNullSafe(F.col("_id"))
-    untouched = doubtful.join(keys, same, "left_anti").select(docs.columns)
     nth = F.row_number().over(Window.partitionBy("_text_hash", key).orderBy(*[c for c, kind in docs.dtypes if not kind.startswith("map")]))
-    repeated = doubtful.join(keys.where("stays"), same, "left_semi").withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
-    return kept.union(untouched).union(repeated)
+    decided = marked.where("_maybe").join(keys, same, "left").withColumn("_nth", nth)
+    return kept.union(decided.where("_stays IS NULL OR _stays AND _nth = 1").select(docs.columns))
