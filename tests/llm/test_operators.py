@@ -87,6 +87,20 @@ def test_gapless_rank_over_blocks(spark, monkeypatch):
         assert sorted(own) == list(range(len(own)))
 
 
+def test_scratch_is_removed(spark, sf_dir, tmp_path):
+    from tidelog.llm import _common
+
+    docs = table(spark, sf_dir, "documents")
+    with _common.scratch(spark):
+        Q.op1_sharding(spark, sf_dir).write.parquet(f"{tmp_path}/out")
+        kept = list(_common._written[-1])
+        assert kept and all(spark.read.parquet(p).count() for p in kept)
+    assert not _common._written and spark.read.parquet(f"{tmp_path}/out").count() == docs.count()
+    for path in kept:
+        with pytest.raises(Exception):  # noqa: B017
+            spark.read.parquet(path)
+
+
 # --- 2
 
 
@@ -131,6 +145,21 @@ def test_rule_learning():
     assert learn(x, np.zeros(3000, dtype=bool)) == [] and describe([]) == "keep all"
 
 
+def test_verdict_as_in_python(spark, sf_dir):
+    """The CASE WHEN against the rules, applied to the same statistics one by one."""
+    from tidelog.llm.quality_rules import Condition, judge, learn_rules, measures
+
+    docs = table(spark, sf_dir, "documents")
+    learned = learn_rules(docs, table(spark, sf_dir, "labels"))
+    made = [(Condition("n_words", False, 120.0), Condition("distinct_share", True, 0.5)), (Condition("word_length", True, 6.0),), (Condition("upper_share", True, 0.05), Condition("digit_share", False, 0.01))]
+    for rules in (learned, made, []):
+        judged = judge(docs, rules, ["doc_id"]).select("doc_id", "base_failed", "kept", *[c.alias(n) for n, c in measures().items()]).collect()
+        for r in judged:
+            rejected = any(all(r[c.measure] > c.cut if c.above else r[c.measure] <= c.cut for c in rule) for rule in rules)
+            assert r.kept == (not r.base_failed and not rejected)
+    assert any(not r.kept and not r.base_failed for r in judge(docs, made, ["doc_id"]).collect())
+
+
 def test_quality_rules_odd_rows(odd, empty, labels):
     from tidelog.llm.quality_rules import judge, learn_rules
 
@@ -360,6 +389,37 @@ def test_deobfuscation(spark, sf_dir):
     assert counts.sum() > 0 and letter_counts(docs.limit(0)).sum() == 0
 
 
+def test_viterbi_against_all_readings(spark, sf_dir):
+    """The search's reading of short tokens has the least cost of all the lattice's readings."""
+    from itertools import product
+
+    from tidelog.llm.toxicity import EDGE_CODE, Decoder, code, language_model, lattice, letter_counts
+
+    model = language_model(letter_counts(table(spark, sf_dir, "documents")), ["idiot", "scum", "trash"])
+    decoder, rng = Decoder(model), np.random.default_rng(13)
+    tokens = ["1d10t", "s.c.m", "t r 4", "$$s", "a*b", "aaa", "!|1", "b00", "(lo", "é1é"] + ["".join(rng.choice(list("ab1!$.* 0eé"), 5)).strip() for _ in range(150)]
+    for token in filter(None, tokens):
+        for whole in (False, True):
+            readings = {}
+            for path in product(*lattice(token, whole)):
+                cost, a, b, text = 0.0, EDGE_CODE, EDGE_CODE, ""
+                for letters, own in path:
+                    cost += own
+                    if letters:
+                        d = EDGE_CODE if letters == " " else code(letters)
+                        if not d == b == EDGE_CODE:
+                            cost, a, b, text = cost + model[a, b, d], b, d, text + letters
+                cost += model[a, b, EDGE_CODE]
+                readings[text] = min(cost, readings.get(text, np.inf))
+            least = min(readings.values())
+            got = decoder.search(token, whole)
+            if not got and (whole or not any(c.isalpha() for c in token)):
+                best = min(readings, key=readings.get)
+                assert least >= (len(best) + 1) * np.log(28) - 1e-9 or not best.strip()
+            else:
+                assert min(c for t, c in readings.items() if t.strip() == got) == pytest.approx(least)
+
+
 def test_deobfuscation_at_edges_and_of_doubled_letters(spark, sf_dir):
     from tidelog.llm.toxicity import Decoder, language_model, letter_counts
 

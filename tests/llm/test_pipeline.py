@@ -49,12 +49,24 @@ def test_run(spark, sf_dir):
 
 
 def test_stages_on_odd_documents(spark, sf_dir):
-    docs = spark.createDataFrame([(None, None, "en", "s", 0), (1, "", "en", "s", 0), (2, "x " * 9000, None, None, None), (2, "x " * 9000, None, None, None)], table(spark, sf_dir, "documents").schema)
-    for d in (docs, docs.limit(0)):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, d, sf_dir)
-            assert name == "packing" or out.columns == d.columns
-            assert out.count() <= 40
+    """Nulls, empty and very long texts, ties and repeated rows, each with its result; and an empty table."""
+    good = [r for r in table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi").orderBy("doc_id").limit(3).collect()]
+    long = "x " * 9000
+    rows = [(None, None, "en", "s", 0), (-1, "", "en", "s", 0), (-2, long, None, None, None), (-2, long, None, None, None), (10**9, long, "en", "s", 1), *[tuple(r) for r in good], tuple(good[0])]
+    docs = spark.createDataFrame(rows, table(spark, sf_dir, "documents").schema)
+    ids = lambda d: sorted((r.doc_id for r in d.collect()), key=lambda i: -9 if i is None else i)
+    stages = dict(corpus_pipeline.STAGES)
+    everything = {r[0] for r in rows}
+    classified = stages["quality_classifier"](spark, docs, sf_dir)
+    assert classified.columns == docs.columns and set(ids(classified)) <= everything
+    ruled = ids(stages["quality_rules"](spark, docs, sf_dir))
+    assert not {None, -1, -2, 10**9} & set(ruled) and set(ruled) <= {r.doc_id for r in good}  # without 50 words, or repeated throughout
+    assert ids(stages["near_dedup"](spark, docs, sf_dir)) == sorted([None, -1, -2, *[r.doc_id for r in good]], key=lambda i: -9 if i is None else i)
+    packed = stages["packing"](spark, docs, sf_dir).collect()
+    assert {r.doc_id for r in packed} == everything and all(0 < r.length <= 2048 for r in packed)
+    assert sorted(r.length for r in packed if r.doc_id in (None, -1)) == [1, 1]  # an empty text is its end id alone
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
 def test_stages_on_clashing_columns(spark, sf_dir):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,12 +44,32 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_written: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the tables that ``materialize`` writes inside: ``with scratch(spark): op(..).write.parquet(out)``.
+
+    What an operator returns reads such tables, so it must have been written by then. Without this they stay.
+    """
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs no upstream work, and rows keep their file and place.
     """
     path = f"{shared_dir(df.sparkSession)}/tidelog-{label}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -112,10 +134,22 @@ def map_texts(df: DataFrame, text_col: str, keep: Sequence[Column | str], schema
                     arrays = [batch.column(k).slice(low + i, j - i).cast(arrow.field(k).type) for k in range(len(kept))]
                     arrays += [pa.array(made[n], type=arrow.field(n).type) for n in names]
                     yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+            del batch, column
+            release()
 
     return source.mapInArrow(run, out)
 
 
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give back what a task has freed. A worker serves many tasks, and its allocators would keep the most that any needed."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):  # not every C library has it
+        _libc.malloc_trim(0)
+
+
 #: The least and the most bits of a sieve, as powers of two; between them it has 16 to 32 bits for each hash. 2**27 bits are
 #: two million rows of two numbers.
 SIEVE_BITS_LOG2 = (20, 27)

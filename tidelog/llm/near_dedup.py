@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm._common import claim, map_texts, materialize, sieve
+from tidelog.llm._common import claim, map_texts, materialize, release, sieve
 
 #: Base of the registers' scale: with it a byte spans sets of 1 to some millions of elements.
 BASE = 1.085
@@ -216,6 +216,8 @@ def _by_group(keys: list[str], columns: list[str], fn: Callable[[dict[str, list]
                 for c in held:
                     held[c] += rows[c][low:high]
                 low = high
+            del rows, ids
+            release()
         if at is not None and (out := fn(held)) is not None:
             yield out
 

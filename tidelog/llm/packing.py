@@ -11,7 +11,8 @@ what is left over comes first, as the document's first piece. Three passes follo
 
 Defined cases. A null or empty text is a document of the end id alone. A document of exactly a whole number of sequences
 has no shorter first piece. Repeated rows (also of one doc_id) are packed as rows of their own. Equal lengths take slots
-in the order of the written piece table. Special tokens' strings inside texts count as the tokenizer has them by default.
+in the order of the written piece table. Special tokens' strings inside texts count as the tokenizer has them by default. Very long texts are encoded whole, and cut.
+Other columns, whatever their names, are left out. An empty table gives no pieces.
 """
 
 from __future__ import annotations

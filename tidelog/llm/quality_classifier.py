@@ -10,7 +10,7 @@ Scores are computed next to the scan: one pass, no exchange.
 
 Defined cases. A null or empty text has the statistics of no words and gets a score like any other. Null labels and
 labels of no document are not used. If the sample lacks a class, every score is the share of label 1 in it, smoothed
-(1/2 without any label). Repeated rows get repeated scores. A constant statistic adds nothing. Labels, language, source
+(1/2 without any label). Repeated rows get repeated scores; very long texts are read whole. A constant statistic adds nothing. Labels, language, source
 and id are never inputs of a score. Other columns are left out.
 """
 
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from tidelog.llm._common import bounded_sample, map_texts
 from tidelog.llm.text_stats import SCHEMA, text_statistics
 
-#: Labelled rows that the model is fitted on, at most.
+#: Labels that the model is fitted on, at most, those of the least hashes of doc_id. As a doc_id may have several rows, twice
+#: as many documents may come of them, no more.
 SAMPLE_ROWS = 20_000
 
 #: Weight of the pooled covariance in each class's, and of the mean variance in that mixture.
@@ -136,7 +137,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, usable: Column, sample_row
     """The model of the usable labels (``usable`` is about the column doc_id)."""
     sample = labelled_sample(docs, labels, label, sample_rows, usable)
     stats = map_texts(sample, "text", ["doc_id", "label"], SCHEMA, text_statistics)
-    frame = stats.orderBy(*stats.columns).limit(2 * sample_rows).toPandas()  # a doc_id may have several rows
+    frame = stats.orderBy(F.xxhash64("doc_id"), *stats.columns).limit(2 * sample_rows).toPandas()  # a doc_id may have several rows
     return fit(transform({c: frame[c].to_numpy() for c in stats.columns}), (frame["label"].to_numpy() > 0).astype(int))
 
 

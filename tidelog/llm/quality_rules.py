@@ -8,7 +8,7 @@ that it covers go, and the next rule is learned. What no rule covers is kept. ``
 
 Defined cases. A null or empty text has no words and fails the base rule. Labels that are null or belong to no document
 are not used; with labels of one class only, or none, there are no rules and the base rule alone decides. Repeated rows
-are judged row by row. Ties between conditions go to the earlier statistic and the lower threshold. NaN never occurs:
+are judged row by row; very long texts are read whole. Ties between conditions go to the earlier statistic and the lower threshold. NaN never occurs:
 ratios have a denominator of at least 1. Other columns of the input are kept, unless they have the name of a statistic.
 """
 
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from tidelog.llm._common import bounded_sample, map_texts
 from tidelog.llm.text_stats import SCHEMA, text_statistics
 
-#: Labelled rows that rules are learned from, at most.
+#: Labels that rules are learned from, at most, those of the least hashes of doc_id. As a doc_id may have several rows, twice
+#: as many documents may come of them, no more.
 SAMPLE_ROWS = 20_000
 
 #: Thresholds that are tried for each statistic when a rule grows.
@@ -169,7 +170,7 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     marked = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")  # bounded by sample_rows
     by_name = measures()
     rows = statistics(marked, ["doc_id", "quality"]).where(~base_failed()).select("doc_id", "quality", *[by_name[n].alias(f"m_{n}") for n in by_name])
-    frame = rows.orderBy("doc_id", *[f"m_{n}" for n in by_name]).limit(2 * sample_rows).toPandas()  # a doc_id may have several rows
+    frame = rows.orderBy(F.xxhash64("doc_id"), "doc_id", *[f"m_{n}" for n in by_name]).limit(2 * sample_rows).toPandas()  # a doc_id may have several rows
     bad = frame["quality"].to_numpy() == 0
     return learn({n: frame[f"m_{n}"].to_numpy(dtype=float) for n in by_name}, bad)
 

@@ -12,7 +12,7 @@ tokens are those of its pre-tokens (a run of spaces with the characters after it
    These rarer ones join the table by pre-token: none of them is frequent, so the join has no hot key.
 
 Defined cases. A null or empty text has no tokens. Repeated rows and doc_ids are counted row by row. ``▁`` in a text is a
-space to the library. Other columns are left out.
+space to the library. Very long texts are counted whole. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
