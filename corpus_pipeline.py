@@ -9,6 +9,12 @@ stage's ``docs``. All but the last return the columns of ``documents``. A stage
    document of the least id stays. Rows of one id and text are one document.
 4. packing (operator 8): what is left is cut and packed into sequences of 2048 tokens at most.
 
+Defined cases. A null or empty text is a document without words: the classifier scores it like any other, the base rule
+rejects it; near_dedup would keep it and packing would give it its end id. Null ids and null values in other columns go along.
+Very long texts are read whole. Of rows that repeat, or tie in all that a stage looks at, the first two stages keep all or
+none; near_dedup keeps one. Empty tables give empty tables. Extra columns, whatever their names, come through the first three
+stages as they are. Labels that are null or of no document aren't used.
+
 The classifier and the rules are fitted on labels of the documents that the stage is given, a bounded sample; their
 decisions cover every document. SQL can't express the stages, so there is no ORACLE_SQL; the tests hold each stage against
 a brute-force version.
