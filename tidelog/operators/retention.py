@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.chains import key_of, sums_before, window_starts, windows_of
+
 #: Rotation intervals in seconds; a month has 30 days and a year 365.
 INTERVALS = {"minutely": 60, "hourly": 3_600, "daily": 86_400, "weekly": 604_800, "monthly": 2_592_000, "yearly": 31_536_000}
 
@@ -80,17 +82,15 @@ def should_compress(path: Column, size: Column, mode: str, extension: str = ".gz
 def size_index(df: DataFrame, size: str, limit: int, order: Sequence[str], key_by: Sequence[str] = ()) -> DataFrame:
     """Add ``file_index``: a record starts a new file if the current one has reached ``limit`` before it is written.
 
-    Without keys this is a fold over all records in order, one task; with ``key_by`` each key has its own files.
+    ``key_by``: each key has its own files. A file starts where the bytes written before are at least ``limit`` beyond the last
+    one's: a chain of windows over these sums.
     """
-    from tidelog.operators.sampling import fold
-
-    def step(state: list, n: float) -> tuple[int]:
-        if state[0] >= limit:
-            state[0], state[1] = 0, state[1] + 1
-        state[0] += n or 0
-        return (state[1],)
-
-    return fold(df, size, key_by, order, "file_index long", lambda: [0, 0], step)
+    rows = df.withColumns({"_key": key_of(key_by), "_amount": F.coalesce(F.col(size).cast("long"), F.lit(0))})
+    summed = sums_before(rows, "_amount", order, BUCKET_MS, "_written")
+    starts = window_starts(summed.select("_key", "_written"), "_written", limit)
+    numbered = starts.withColumn("_number", F.row_number().over(Window.partitionBy("_key").orderBy("start")).cast("long"))
+    placed = windows_of(summed, "_written", numbered, limit, "_number")
+    return placed.withColumn("file_index", F.coalesce("_number", F.lit(0))).select(*df.columns, "file_index")
 
 
 def retain(files: DataFrame, max_age: int | None, keep: int | None) -> DataFrame:
@@ -131,6 +131,19 @@ def to_compress(files: DataFrame, pattern: str | None, min_age: int) -> DataFram
     return files.where(~packed & (F.col("age") >= min_age) & (glob(F.col("name"), pattern) if pattern else F.lit(True)))
 
 
+def savings(packed: DataFrame, before: str, after: str) -> DataFrame:
+    """One row about a compression run: files, bytes saved, and the share that is saved in percent."""
+    from tidelog.functions.scalars import savings_percent
+
+    was, now = F.coalesce(F.sum(before), F.lit(0)), F.coalesce(F.sum(after), F.lit(0))
+    return packed.agg(F.count(F.lit(1)).alias("files"), (was - now).cast("long").alias("bytes_saved"), savings_percent(was, now).alias("percent"))
+
+
+def archived_column(path: Column, archive: str) -> Column:
+    """``archived`` for a column of paths."""
+    return F.concat(F.lit(archive.rstrip("/") + "/"), F.element_at(F.split(path, "/"), -1))
+
+
 def glob(name: Column, pattern: str) -> Column:
     """``*.ext``, or an exact name."""
     return F.endswith(name, F.lit(pattern[1:])) if pattern.startswith("*") else name == pattern

@@ -1,9 +1,8 @@
 """Samplers over records in arrival order. Order is always (time, unique id), time is the records' own.
 
 ``key_by`` names the columns that a sampler has a state for. The record-at-a-time library has one state; here that is an
-empty ``key_by``. Probability sampling is a filter, and every-N ranks records, also without a key, in many tasks. The rate
-limit and the adaptive rate are folds: state machines of a few numbers that a sorted partition's Arrow batches stream
-through. Without a key a fold runs in one task, so name keys for them on large data.
+empty ``key_by``. Probability sampling is a filter, and every-N ranks records in many tasks. The rate limit and the adaptive
+rate are chains of windows (see ``chains``): many tasks share a key, and so also records without one.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.scalars import rate
+from tidelog.operators.chains import key_of, window_starts, windows_of
 
 TWO32 = 4_294_967_296
 
@@ -82,39 +82,6 @@ def flag_every_n(df: DataFrame, n: int, time: str, id_column: str, key_by: Seque
     return df.withColumn("accepted", place % n == 0)
 
 
-def fold(df: DataFrame, value: str, key_by: Sequence[str], order: Sequence[str], schema: str, start: Callable[[], object], step: Callable) -> DataFrame:
-    """Run a state machine over each key's records in order; ``step(state, value)`` gives the added columns of a record.
-
-    Rows are dealt by key and sorted; a partition's keys follow one another, so state is a few numbers, not a group.
-    """
-    from pyspark.sql.types import StructType
-
-    added = StructType.fromDDL(schema)
-    out = StructType([*df.schema.fields, *added.fields])
-    keyed = df.withColumn("_key", F.struct(*key_by) if key_by else F.struct(F.lit(0)))
-    keyed = (keyed.repartition(*key_by) if key_by else keyed.repartition(1)).sortWithinPartitions(*key_by, *order)
-    columns = df.columns
-    at = columns.index(value)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(out)
-        last, state = None, None
-        for batch in batches:
-            keys = batch.column(len(columns)).to_pylist()
-            made: list[tuple] = []
-            for key, x in zip(keys, batch.column(at).to_pylist(), strict=True):
-                if key != last or state is None:
-                    last, state = key, start()
-                made.append(step(state, x))
-            arrays = [batch.column(k).cast(arrow.field(k).type) for k in range(len(columns))]
-            arrays += [pa.array([m[i] for m in made], type=arrow.field(len(columns) + i).type) for i in range(len(added))]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
-
-    return keyed.mapInArrow(run, out)
-
-
 def rate_limit_step(most: int, window_ms: int) -> Callable:
     """A window starts with the first record after the last one's end; up to ``most`` of its records are accepted."""
 
@@ -129,8 +96,23 @@ def rate_limit_step(most: int, window_ms: int) -> Callable:
     return step
 
 
+def _keyed(df: DataFrame, time: str, id_column: str, key_by: Sequence[str]) -> DataFrame:
+    """With the columns that windows need; times before 1970, and null ones, count as 0."""
+    return df.withColumns({"_key": key_of(key_by), "_at": F.greatest(F.coalesce(F.col(time).cast("long"), F.lit(0)), F.lit(0)), "_id": F.col(id_column)})
+
+
 def flag_rate_limit(df: DataFrame, most: int, window_ms: int, time: str, id_column: str, key_by: Sequence[str] = ()) -> DataFrame:
-    return fold(df, time, key_by, _order(time, id_column), "accepted boolean", lambda: [0, 0], rate_limit_step(most, window_ms))
+    """Add ``accepted``: the first ``most`` records of each window.
+
+    Key, time and id go through the windows and give each one's last accepted record; whole records meet these in one join.
+    """
+    rows = _keyed(df, time, id_column, key_by)
+    records = rows.select("_key", "_at", "_id")
+    placed = windows_of(records, "_at", window_starts(records, "_at", window_ms), window_ms)
+    nth = F.row_number().over(Window.partitionBy("_key", "start").orderBy("_at", "_id"))  # Spark keeps the first of each before it shuffles
+    last = placed.withColumn("_n", nth).where(F.col("_n") <= most).groupBy("_key", "start").agg(F.max(F.struct("_at", "_id")).alias("_last"))
+    found = windows_of(rows, "_at", last, window_ms, "_last")
+    return found.withColumn("accepted", F.coalesce(F.struct("_at", "_id") <= F.col("_last"), F.lit(False))).select(*df.columns, "accepted")
 
 
 def adaptive_step(target: float, interval_ms: int, min_rate: float, max_rate: float) -> Callable:
@@ -148,9 +130,31 @@ def adaptive_step(target: float, interval_ms: int, min_rate: float, max_rate: fl
 
 
 def with_adaptive_rate(df: DataFrame, target: float, time: str, id_column: str, key_by: Sequence[str] = (), interval_ms: int = 1000, min_rate: float = 0.01, max_rate: float = 1.0) -> DataFrame:
-    """Add ``rate`` and ``accepted`` (the record's draw is below the rate)."""
-    rated = fold(df, time, key_by, _order(time, id_column), "rate double", lambda: [0, 0, 1.0], adaptive_step(target, interval_ms, min_rate, max_rate))
-    return rated.withColumn("accepted", draw(F.col(id_column)) < F.floor(F.col("rate") * TWO32))
+    """Add ``rate`` and ``accepted`` (the record's draw is below the rate).
+
+    Intervals are windows; their counts, a row for each key and interval, are what goes through one task a key.
+    """
+    rows = _keyed(df, time, id_column, key_by)
+    records = rows.select("_key", "_at")
+    placed = windows_of(records, "_at", window_starts(records, "_at", interval_ms), interval_ms)
+    counts = placed.groupBy("_key", "start").agg(F.count(F.lit(1)).alias("n"))
+    key = records.schema["_key"].dataType.simpleString()
+    step = adaptive_step(target, interval_ms, min_rate, max_rate)
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            out = []
+            for own, start, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if own != last or state is None:
+                    last, state = own, [0, 0, 1.0]
+                out.append(step(state, start)[0])
+                state[1] = n
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["_key", "start", "rate"])
+
+    rates = counts.repartition("_key").sortWithinPartitions("_key", "start").mapInArrow(rated, f"_key {key}, start long, rate double")
+    found = windows_of(rows, "_at", rates, interval_ms, "rate").select(*df.columns, "rate")
+    return found.withColumn("accepted", draw(F.col(id_column)) < F.floor(F.col("rate") * TWO32))
 
 
 @dataclass(frozen=True)
