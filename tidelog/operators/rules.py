@@ -208,8 +208,17 @@ class Rules:
         """Add a boolean ``_rule_<place>`` for each rule; each test is written once in the plan.
 
         A rule of ``once`` fires on its first record by (time, id): its place is found by an aggregate over the data,
-        one row for all such rules, which goes back into the expression.
+        one row for all such rules, which goes back into the expression. That runs what is upstream once more; write or
+        persist it first if it is costly. On a stream a state remembers which rules have fired.
         """
+        if df.isStreaming:
+            tested = df.withColumns({f"_rule_{k}": F.coalesce(r.predicate(df.columns), F.lit(False)) for k, r in enumerate(self.rules)}) if self.rules else df
+            once = [f"_rule_{k}" for k, r in enumerate(self.rules) if r.once]
+            if not once:
+                return tested
+            from tidelog.streaming.stateful import first_only
+
+            return first_only(tested, once, time, id_column)
         first = self._first_records(df, time, id_column)
         tests = {}
         for k, r in enumerate(self.rules):

@@ -5,9 +5,12 @@ Register with ``register(spark)``; then ``spark.readStream.format("tidelog_udp")
 
 from __future__ import annotations
 
+import codecs
 import gzip
 import json
+import select
 import socket
+import time
 import urllib.request
 import zlib
 from collections.abc import Iterator
@@ -17,15 +20,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 
 class _SocketReader(SimpleDataSourceStreamReader):
-    """Receives on the driver; a batch is what has come within ``wait_ms``. Batches are kept until they are committed, so
-    a batch that is asked for again is the same."""
+    """Receives on the driver, for sources of a moderate rate; a table or queue that executors read scales further. A batch
+    ends ``wait_ms`` after it began, or with ``max_bytes``, however steady the traffic is; all clients get their turn. Batches
+    are kept until they are committed, so a batch that is asked for again is the same."""
 
     def __init__(self, options: dict[str, str], kind: int):
         self.kind = kind
         self.host, self.port = options.get("host", "127.0.0.1"), int(options["port"])
         self.wait = int(options.get("wait_ms", "200")) / 1000
+        self.most = int(options.get("max_bytes", str(8 << 20)))
         self.sock: socket.socket | None = None
-        self.clients: list[socket.socket] = []
+        self.clients: dict[socket.socket, codecs.IncrementalDecoder] = {}
         self.kept: dict[int, str] = {}
 
     def initialOffset(self) -> dict:
@@ -36,31 +41,38 @@ class _SocketReader(SimpleDataSourceStreamReader):
             self.sock = socket.socket(socket.AF_INET, self.kind)
             self.sock.setsockopt(socket.SOL_SOCKET, socket.SO_REUSEADDR, 1)
             self.sock.bind((self.host, self.port))
+            self.sock.setblocking(False)
             if self.kind == socket.SOCK_STREAM:
                 self.sock.listen()
         return self.sock
 
     def _receive(self) -> list[str]:
-        sock, out = self._open(), []
-        sock.settimeout(self.wait)
-        try:
-            while True:
-                if self.kind == socket.SOCK_DGRAM:
-                    out.append(sock.recv(65_535).decode("utf-8", "replace"))
-                else:
+        sock, out, held = self._open(), [], 0
+        end = time.monotonic() + self.wait
+        while held < self.most and (left := end - time.monotonic()) > 0:
+            ready, _, _ = select.select([sock, *self.clients], [], [], left)
+            for s in ready:
+                if s is sock and self.kind == socket.SOCK_STREAM:
                     client, _ = sock.accept()
-                    client.settimeout(self.wait)
-                    self.clients.append(client)
-        except TimeoutError:
-            pass
-        for client in list(self.clients):
-            try:
-                while chunk := client.recv(4096):
-                    out.append(chunk.decode("utf-8", "replace"))
-                self.clients.remove(client)
-                client.close()
-            except TimeoutError:
-                pass
+                    client.setblocking(False)
+                    self.clients[client] = codecs.getincrementaldecoder("utf-8")("replace")
+                    continue
+                try:
+                    data = s.recv(65_535 if s is sock else 4096)
+                except (BlockingIOError, ConnectionResetError):
+                    continue
+                if s is sock:
+                    text = data.decode("utf-8", "replace")
+                else:  # a character may go on in the next chunk
+                    text = self.clients[s].decode(data, final=not data)
+                    if not data:
+                        del self.clients[s]
+                        s.close()
+                        if not text:
+                            continue
+                held += len(data)
+                if text or s is sock:
+                    out.append(text)
         return out
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:

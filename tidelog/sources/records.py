@@ -31,6 +31,20 @@ def record(call: str, message: str, custom: Mapping[str, tuple[int, str]] | None
     return out | {"level": level, "priority": PRIORITY[level]}
 
 
+def called(df: DataFrame, call: Column, custom: Mapping[str, tuple[int, str]] | None = None) -> DataFrame:
+    """Levels by the name of a call, a row each: as ``record`` for a table of calls. ``valid`` is false, and level and priority
+    are null, where no level has that name."""
+    of = {c: (n, PRIORITY[n], None, None) for c, n in CALLS.items()}
+    of |= {c: (next((n for n, q in PRIORITY.items() if q == p), "INFO"), p, c, color) for c, (p, color) in (custom or {}).items()}
+    kinds = ("string", "int", "string", "string")
+    known = F.create_map(*[x for c, made in of.items() for x in (F.lit(c), F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(made, kinds, _LEVEL_FIELDS, strict=True)]))])
+    found = F.try_element_at(known, F.coalesce(call, F.lit("")))
+    return df.withColumn("_level", found).withColumns({n: F.col(f"_level.{n}") for n in _LEVEL_FIELDS} | {"valid": F.col("_level").isNotNull()}).drop("_level")
+
+
+_LEVEL_FIELDS = ("level", "priority", "custom_level_name", "custom_level_color")
+
+
 def records(spark: SparkSession, rows: Iterable[Mapping[str, object]]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in LOG_SCHEMA.names) for r in rows], LOG_SCHEMA)
 

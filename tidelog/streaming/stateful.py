@@ -1,7 +1,8 @@
 """Stateful operators for streams: samplers and once-rules with a state for each key.
 
 They take rows in order of (time, id) within each micro-batch, so a stream whose batches follow in time gives what the
-batch operators give. State is a few numbers for each key, in RocksDB.
+batch operators give. State is a few numbers for each key, in RocksDB. A key's rows of one micro-batch are sorted in one
+task, so bound micro-batches by bytes, as ``windows.PRESETS`` do; only order, id and kept columns get there.
 """
 
 from __future__ import annotations
@@ -77,3 +78,43 @@ def once(df: DataFrame, key_by: Sequence[str], keep: Sequence[str], time: str =
         return (state[0] == 1,)
 
     return _stateful(df, key_by, "fired boolean", _Fold("n long", (0,), step, ["fired"], [time, id_column], keep), keep)
+
+
+class _FirstOnly(StatefulProcessor):
+    """Of the boolean columns ``tests``, each is true once in the whole stream: for its first row."""
+
+    def __init__(self, tests: Sequence[str], order: Sequence[str], columns: Sequence[str]):
+        self.tests, self.order, self.columns = list(tests), list(order), list(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", ", ".join(f"t{k} boolean" for k in range(len(self.tests))))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        fired = list(self.state.get()) if self.state.exists() else [False] * len(self.tests)
+        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        for k, test in enumerate(self.tests):
+            hit = frame[test].to_numpy(dtype=bool)
+            first = hit & (hit.cumsum() == 1) & (not fired[k])
+            fired[k] = bool(fired[k] or hit.any())
+            frame[test] = first
+        self.state.update(tuple(fired))
+        yield frame[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def first_only(df: DataFrame, tests: Sequence[str], time: str = "ts_ms", id_column: str = "event_id") -> DataFrame:
+    """Let each of the boolean columns ``tests`` be true only for its first row. Rows for which none is true pass by; the others
+    share one state, as one row may fire several."""
+    some = F.lit(False)
+    for t in tests:
+        some = some | F.col(t)
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # as tuples, rows lose names with a leading underscore
+    plain = [f"column_{k}" for k in range(len(df.columns))]
+    name = dict(zip(df.columns, plain, strict=True))
+    hit = df.where(some).toDF(*plain)
+    processor = _FirstOnly([name[t] for t in tests], [name[time], name[id_column]], plain)
+    fired = hit.withColumn("all_rows", F.lit(0)).groupBy("all_rows").transformWithStateInPandas(statefulProcessor=processor, outputStructType=hit.schema, outputMode="Append", timeMode="None")
+    return df.where(~some).union(fired.toDF(*df.columns))

@@ -6,16 +6,18 @@ Windows and watermarks are an extension: the record-at-a-time library works in p
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Presets as Spark settings; files for each trigger bound a micro-batch, the trigger is the flush interval.
+#: Presets as Spark settings. What a micro-batch takes is bounded by files or by bytes, so that also a key with
+#: most of the rows has a bounded number of them in a batch; the trigger is the flush interval.
 PRESETS = {
-    "low_latency": {"trigger": {"processingTime": "100 milliseconds"}, "maxFilesPerTrigger": 1},
-    "balanced": {"trigger": {"processingTime": "1 second"}, "maxFilesPerTrigger": 16},
-    "high_throughput": {"trigger": {"processingTime": "10 seconds"}, "maxFilesPerTrigger": 1000},
-    "drain": {"trigger": {"availableNow": True}, "maxFilesPerTrigger": 1000},
+    "low_latency": {"trigger": {"processingTime": "100 milliseconds"}, "batch": {"maxFilesPerTrigger": 1}},
+    "balanced": {"trigger": {"processingTime": "1 second"}, "batch": {"maxFilesPerTrigger": 16}},
+    "high_throughput": {"trigger": {"processingTime": "10 seconds"}, "batch": {"maxBytesPerTrigger": 1 << 30}},
+    "drain": {"trigger": {"availableNow": True}, "batch": {"maxBytesPerTrigger": 256 << 20}},
 }
 
 
@@ -40,7 +42,7 @@ def read_stream(spark: SparkSession, path: str, preset: str = "drain") -> DataFr
     """A table's files as a stream; ``path`` may be one file (then its folder is watched for that name)."""
     folder, _, name = path.rpartition("/")
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", PRESETS[preset]["maxFilesPerTrigger"])
+    stream = spark.readStream.schema(schema).options(**PRESETS[preset]["batch"])
     return stream.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") and not _is_folder(spark, path) else stream.parquet(path)
 
 
@@ -49,11 +51,23 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
+def start(df: DataFrame, path: str, checkpoint: str, preset: str = "balanced", mode: str = "append"):
+    """Write a stream as Parquet with a preset's trigger; the running query."""
+    writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode)
+    return writer.trigger(**PRESETS[preset]["trigger"]).start()
+
+
+def each_batch(df: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, preset: str = "balanced"):
+    """Call ``callback`` (rows, batch number) on the driver for each micro-batch; the running query. A batch may come again after
+    a failure, under its number."""
+    writer = df.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint)
+    return writer.trigger(**PRESETS[preset]["trigger"]).start()
+
+
 def drain(df: DataFrame, checkpoint: str, out: str, mode: str = "append") -> DataFrame:
     """Run a bounded stream to its end into Parquet under ``out``, and read that."""
     name = uuid.uuid4().hex
     path = f"{out.rstrip('/')}/{name}"
-    query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}").outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    start(df, path, f"{checkpoint.rstrip('/')}/{name}", "drain", mode).awaitTermination()
     spark = df.sparkSession
     return spark.read.schema(df.schema).parquet(path)
