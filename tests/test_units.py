@@ -279,8 +279,8 @@ def test_pipeline_is_narrow(spark, sf_dir):
 
 
 def test_windowed_stream(spark, sf_dir):
-    batch = {(r.window_start, r.level): (r.records, r.bytes) for r in windows.level_counts(adapters.events(spark.read.parquet(f"{sf_dir}/events.parquet")), "1 day").collect()}
-    closed = {(r.window_start, r.level): (r.records, r.bytes) for r in catalog.stream_windowed_levels(spark, sf_dir).collect()}
+    batch = {(r.day, r.level): (r.records, r.bytes) for r in catalog.windowed_levels(spark, sf_dir).collect()}
+    closed = {(r.day, r.level): (r.records, r.bytes) for r in catalog.stream_windowed_levels(spark, sf_dir).collect()}
     assert closed and closed.items() <= batch.items() and len(batch) - len(closed) <= 10
 
 
@@ -303,7 +303,7 @@ def test_cron_by_brute_force(spark, fields):
 
 
 def test_cron_over_whole_table(spark, sf_dir):
-    out = catalog.QUERIES["schedule_cron_all"](spark, sf_dir)
+    out = catalog.QUERIES["schedule_cron"](spark, sf_dir)
     assert out.count() == catalog.table(spark, sf_dir, "customer").count() > 60
     assert "43199" not in out._jdf.queryExecution().toString()
 
@@ -327,3 +327,247 @@ def test_clean_up_in_many_tasks(spark):
     assert {r.name: r.deleted for r in got} == want and len(got) == len(rows)
     assert {"max_files", "max_total_size", "age", None} == set(want.values())
     assert len({r.task for r in got if r.deleted != "age"}) > 2
+
+
+def chain_rows(seed, n=3_000):
+    """Records of a hot key, of some others, of a null key; ties and gaps in time."""
+    import random
+
+    rng = random.Random(seed)
+    keys = ["hot"] * 5 + ["a", "b", None]
+    return [(k, rng.choice(keys), rng.choice([0, 5_000, 10**6, 10**9]) + rng.randrange(rng.choice([50, 20_000, 3_000_000])), rng.choice([0, 1, 7, 90, None])) for k in range(n)]
+
+
+def in_order(rows):
+    by_key = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        by_key.setdefault(r[1], []).append(r)
+    return by_key
+
+
+@pytest.mark.parametrize(("width", "block", "key_by"), [(1_000, 1_000, ["k"]), (1_000, 50_000, ["k"]), (40, 100, ["k"]), (500_000, 1, ["k"]), (1_000, 10_000, [])])
+def test_chains_of_windows_by_brute_force(spark, monkeypatch, width, block, key_by):
+    from tidelog.operators import chains
+
+    monkeypatch.setattr(chains, "BLOCK_VALUES", block)
+    rows = chain_rows(1)
+    df = spark.createDataFrame(rows, "id long, k string, at long, size long").repartition(5)
+    groups = in_order(rows) if key_by else in_order([(r[0], None, *r[2:]) for r in rows])
+    limited, rated, numbered = {}, {}, {}
+    for own in groups.values():
+        state, adaptive, held, number = [0, 0], [0, 0, 1.0], 0, 0
+        limit, adapt = sampling.rate_limit_step(3, width), sampling.adaptive_step(20.0, width, 0.01, 1.0)
+        for i, _, at, size in own:
+            limited[i], rated[i] = limit(state, at)[0], adapt(adaptive, at)[0]
+            if held >= width:
+                held, number = 0, number + 1
+            held += size or 0
+            numbered[i] = number
+    got = {r.id: r.accepted for r in sampling.flag_rate_limit(df, 3, width, "at", "id", key_by).collect()}
+    assert got == limited
+    got = {r.id: r.rate for r in sampling.with_adaptive_rate(df, 20.0, "at", "id", key_by, interval_ms=width).collect()}
+    assert got == rated
+    got = {r.id: r.file_index for r in retention.size_index(df, "size", width, ["at", "id"], key_by).collect()}
+    assert got == numbered
+    assert sampling.flag_rate_limit(df.limit(0), 3, width, "at", "id", key_by).count() == 0
+
+
+def test_a_hot_key_is_dealt_to_many_tasks(spark, monkeypatch):
+    """What goes through one task a key is a row for each block, not its records."""
+    from tidelog.operators import chains
+
+    monkeypatch.setattr(chains, "BLOCK_VALUES", 10_000)
+    df = spark.range(200_000).select("id", F.lit("hot").alias("k"), (F.col("id") * 3).alias("at"), F.concat(F.lit("m"), "id").alias("message"))
+    starts = chains.window_starts(df.select(chains.key_of(["k"]).alias("_key"), "at"), "at", 1_000)
+    assert starts.count() == len(range(0, 600_000, 1_002)) - 1
+    flagged = sampling.flag_rate_limit(df, 2, 1_000, "at", "id", ["k"])
+    assert flagged.where("accepted").count() == 2 * len(range(0, 600_000, 1_002)) and flagged.columns == [*df.columns, "accepted"]
+    with pytest.raises(ValueError):
+        chains.window_starts(df, "at", 0)
+
+
+def test_null_messages_and_empty_patterns(spark):
+    rows = log_rows(spark, [("INFO", "m", "text"), ("ERROR", None, "other")]).withColumn("message", F.when(F.col("message") == "text", F.col("message")))
+    count = lambda f: f.apply(rows).count()
+    assert count(Filter().message("text")) == 1 and count(Filter().message("text", allow=False)) == 1
+    assert count(Filter().add("message_regex", "t.x")) == 1 and count(Filter().add("message_regex", "t.x", allow=False)) == 1
+    assert {r.allowed for r in Filter().message("text").flag(rows).collect()} == {True, False}
+    lines = [r.line for r in rows.select(formatting.default_line(rows.columns, show=()).alias("line")).collect()]
+    assert lines == ["[INFO] text", "[ERROR] "]
+    for f in (redaction.prefix, redaction.suffix, redaction.contains):
+        with pytest.raises(ValueError):
+            f(F.lit("x"), "", "y")
+
+
+def test_latency_average_is_exact(spark):
+    rows = spark.createDataFrame([(2**62,), (2**61 + 1,), (3,), (None,)], "ns long")
+    r = metrics.latency(rows, "ns").first()
+    assert r.latency_avg_ns == (2**62 + 2**61 + 4) // 4 and r.records == 4
+    assert metrics.latency(rows.limit(0), "ns").first().latency_avg_ns == 0
+
+
+def test_sink_paths_by_time_and_pattern(spark, tmp_path):
+    rows = adapters.events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    sinks.write(rows, sinks.Sink("m", "text", f"{tmp_path}/by/{{YYYY-MM}}/{{level}}"))
+    back = spark.read.text(f"{tmp_path}/by")
+    assert set(back.columns) == {"value", "part_YYYY_MM", "part_level"} and back.count() == rows.count()
+    assert back.select("part_YYYY_MM").distinct().count() == rows.select(F.date_format("ts", "yyyy-MM")).distinct().count()
+
+
+def test_once_rules_over_a_stream(spark, tmp_path):
+    """Two rules that share their first record; over two batches each fires once."""
+    from tidelog.operators import rules
+
+    schema = "event_id long, ts_ms long, priority int, module string, message string"
+    for k in range(2):
+        spark.createDataFrame([(k * 10 + i, k * 10 + i, 40 if i else 20, "m", "text") for i in range(5)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    book = rules.Rules([rules.Rule(1, level=rules.LevelMatch.at_least(40), once=True), rules.Rule(2, module="m", once=True), rules.Rule(3, level=rules.LevelMatch.at_least(40))])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = windows.drain(book.matched(stream), f"{tmp_path}/c", f"{tmp_path}/o").collect()
+    fired = [i for r in out for i in r.rule_ids]
+    assert len(out) == 10 and fired.count(1) == 1 and fired.count(2) == 1 and fired.count(3) == 8
+
+
+def free_port(kind):
+    with socket.socket(socket.AF_INET, kind) as s:
+        s.bind(("127.0.0.1", 0))
+        return s.getsockname()[1]
+
+
+@pytest.mark.parametrize("kind", ["tcp", "udp"])
+def test_socket_batches_end_under_steady_traffic(kind):
+    import time
+
+    from tidelog.sources.network import _SocketReader
+
+    tcp = kind == "tcp"
+    number = socket.SOCK_STREAM if tcp else socket.SOCK_DGRAM
+    port = free_port(number)
+    reader = _SocketReader({"port": str(port), "wait_ms": "300", "max_bytes": "100000"}, number)
+    reader._open()
+    stop = threading.Event()
+
+    def send():
+        with socket.socket(socket.AF_INET, number) as s:
+            s.connect(("127.0.0.1", port))
+            while not stop.is_set():
+                s.sendall("é".encode() * 50 + b"\n")
+                time.sleep(0.002)
+
+    senders = [threading.Thread(target=send) for _ in range(2)]
+    for t in senders:
+        t.start()
+    at, texts = reader.initialOffset(), []
+    for _ in range(3):
+        began = time.monotonic()
+        rows, after = reader.read(at)
+        assert time.monotonic() - began < 3
+        rows = list(rows)
+        assert [r for r in reader.readBetweenOffsets(at, after)] == rows
+        texts += [r[0] for r in rows]
+        reader.commit(after)
+        assert not reader.kept
+        at = after
+    stop.set()
+    for t in senders:
+        t.join(10)
+    assert texts and "\ufffd" not in "".join(texts)
+
+
+def test_tcp_characters_over_chunk_borders():
+    from tidelog.sources.network import _SocketReader
+
+    port = free_port(socket.SOCK_STREAM)
+    reader = _SocketReader({"port": str(port), "wait_ms": "500"}, socket.SOCK_STREAM)
+    reader._open()
+    text = "x" + "é漢" * 5_000
+    with socket.create_connection(("127.0.0.1", port)) as s:
+        s.sendall(text.encode())
+    rows, _ = reader.read(reader.initialOffset())
+    assert "".join(r[0] for r in rows) == text
+
+
+def test_tcp_source_and_sink(spark, tmp_path):
+    from tidelog.sources.network import register
+
+    register(spark)
+    with socket.create_server(("127.0.0.1", 0)) as server:
+        got: list[bytes] = []
+
+        def receive():
+            client, _ = server.accept()
+            with client:
+                while data := client.recv(4096):
+                    got.append(data)
+
+        t = threading.Thread(target=receive)
+        t.start()
+        rows = log_rows(spark, [("INFO", None, "a"), ("ERROR", None, "b")]).coalesce(1)
+        sinks.write(rows, sinks.Sink("net", "tcp", port=server.getsockname()[1]))
+        t.join(20)
+    assert b"".join(got).decode().count("\n") == 2
+    port = free_port(socket.SOCK_STREAM)
+    stream = spark.readStream.format("tidelog_tcp").option("port", port).option("wait_ms", 100).load()
+    running = windows.start(stream, f"{tmp_path}/out", f"{tmp_path}/check", "low_latency")
+    try:
+        import time
+
+        sent = False
+        for _ in range(300):
+            if not sent:
+                try:
+                    with socket.create_connection(("127.0.0.1", port), timeout=1) as s:
+                        s.sendall(b"one line\n")
+                    sent = True
+                except OSError:
+                    pass
+            time.sleep(0.2)
+            if sent and spark.read.schema("value string").parquet(f"{tmp_path}/out").count():
+                break
+        assert "".join(r.value for r in spark.read.parquet(f"{tmp_path}/out").collect()) == "one line\n"
+    finally:
+        running.stop()
+
+
+@pytest.mark.parametrize("coding", ["", "gzip", "deflate"])
+def test_http_source(spark, coding):
+    import gzip
+    import http.server
+    import json
+    import zlib
+
+    from tidelog.sources.network import register
+
+    register(spark)
+    seen = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append(self.headers.get("X-Key"))
+            body = json.dumps([{"a": 1}, {"a": 2}]).encode()
+            body = gzip.compress(body) if coding == "gzip" else zlib.compress(body) if coding == "deflate" else body
+            self.send_response(200)
+            if coding:
+                self.send_header("Content-Encoding", coding)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{server.server_address[1]}/logs"
+        rows = spark.read.format("tidelog_http").option("url", url).option("header.X-Key", "k").load().collect()
+        server.shutdown()
+    assert [json.loads(r.value)["a"] for r in rows] == [1, 2] and "k" in seen
+
+
+def test_callback_for_each_batch(spark, tmp_path):
+    schema = "event_id long, message string"
+    for k in range(3):
+        spark.createDataFrame([(k, "m")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    seen = []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    windows.each_batch(stream, lambda rows, n: seen.append((n, rows.count())), f"{tmp_path}/c", "drain").awaitTermination()
+    assert [n for n, _ in seen] == [0, 1, 2] and sum(c for _, c in seen) == 3

@@ -123,7 +123,7 @@ def default_line(columns: list[str], time_format: str = DEFAULT_TIME, show: tupl
         boxed("function" in show, _column("function", columns)),
         boxed("thread" in show, _column("thread_id", columns).cast("string"), "TID:"),
         F.when(F.lit("file" in show) & file.isNotNull(), F.concat(file, place, F.lit(" "))).otherwise(F.lit("")),
-        F.col("message"),
+        F.coalesce("message", F.lit("")),
         stack,
     )
 
@@ -176,4 +176,4 @@ def event_type(level: Column) -> Column:
 def syslog_line(facility: str, hostname: str, app: str) -> Column:
     """``<facility * 8 + severity>1 seconds host app - - - message``, at the record's own time."""
     pri = (severity(F.col("level")) + F.lit(FACILITIES[facility] * 8)).cast("string")
-    return F.concat(F.lit("<"), pri, F.lit(">1 "), F.floor(F.col("ts_ms") / 1000).cast("string"), F.lit(f" {hostname} {app} - - - "), F.col("message"))
+    return F.concat(F.lit("<"), pri, F.lit(">1 "), F.floor(F.col("ts_ms") / 1000).cast("string"), F.lit(f" {hostname} {app} - - - "), F.coalesce("message", F.lit("")))

@@ -82,10 +82,12 @@ def contains(message: Column, pattern: str, replacement: str) -> Column:
 
 
 def prefix(message: Column, pattern: str, replacement: str) -> Column:
+    _not_empty(pattern)
     return F.when(F.startswith(message, F.lit(pattern)), F.concat(F.lit(replacement), F.substr(message, F.lit(len(pattern) + 1)))).otherwise(message)
 
 
 def suffix(message: Column, pattern: str, replacement: str) -> Column:
+    _not_empty(pattern)
     cut = F.substr(message, F.lit(1), (F.length(message) - len(pattern)).cast("int"))
     return F.when(F.endswith(message, F.lit(pattern)), F.concat(cut, F.lit(replacement))).otherwise(message)
 
@@ -140,3 +142,20 @@ def redact_message(message: Column, patterns: Iterable[Pattern]) -> Column:
     for kind, pattern, replacement in patterns:
         message = KINDS[kind](message, pattern, replacement)
     return message
+
+
+def audit(message: Column, patterns: Iterable[Pattern]) -> Column:
+    """Which patterns (by place, from 0) changed a message, each judged on what the last one left; none for a null message."""
+    hits = []
+    for k, (kind, pattern, replacement) in enumerate(patterns):
+        after = KINDS[kind](message, pattern, replacement)
+        hits.append(F.when(after != message, F.lit(k)))
+        message = after
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
+
+
+def fields_redacted(context: Column, fields: Mapping[str, str], ignore_case: bool = True) -> Column:
+    """How many fields of a context are redacted by name."""
+    names = [f.lower() if ignore_case else f for f in fields]
+    listed = F.filter(F.map_keys(context), lambda k: (F.lower(k) if ignore_case else k).isin(names))
+    return F.greatest(F.coalesce(F.size(listed), F.lit(0)), F.lit(0))

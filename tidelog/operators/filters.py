@@ -23,7 +23,7 @@ class FilterRule:
 
     def predicate(self, strict: bool = False) -> Column:
         """``strict``: denials by module have no effect and regular expressions and custom rules are passed over, as in
-        the record-at-a-time library; otherwise they do what they say."""
+        the record-at-a-time library; otherwise they do what they say. A null message or module holds no text."""
         priority, module, message = F.col("priority"), F.col("module"), F.col("message")
         if self.kind == "level_min":
             return priority >= self.value
@@ -38,9 +38,9 @@ class FilterRule:
         elif self.kind == "module_match":
             held = F.coalesce(module == self.value, F.lit(False))
         elif self.kind == "message_contains":
-            held = F.contains(message, F.lit(self.value))
+            held = F.coalesce(F.contains(message, F.lit(self.value)), F.lit(False))
         elif self.kind == "message_regex":
-            held = F.rlike(message, F.lit(self.value))
+            held = F.coalesce(F.rlike(message, F.lit(self.value)), F.lit(False))
         elif self.kind == "custom":
             held = F.coalesce(self.value, F.lit(False))
         else:

@@ -54,9 +54,10 @@ def rates(df: DataFrame, error: Column, dropped: Column) -> DataFrame:
 
 
 def latency(df: DataFrame, ns: str, by: Sequence[str] = ()) -> DataFrame:
-    """The average is an integer over all records, timed or not."""
+    """The average is an integer over all records, timed or not, divided as integers. Under ANSI mode, Spark's default, a sum
+    beyond 2**63 ns is an error."""
     total, n = F.coalesce(F.sum(ns), F.lit(0)), F.count(F.lit(1))
-    return df.groupBy(*by).agg(n.alias("records"), total.alias("latency_sum_ns"), F.coalesce(F.min(ns), F.lit(0)).alias("latency_min_ns"), F.coalesce(F.max(ns), F.lit(0)).alias("latency_max_ns"), F.floor(total / n).cast("long").alias("latency_avg_ns"))
+    return df.groupBy(*by).agg(n.alias("records"), total.alias("latency_sum_ns"), F.coalesce(F.min(ns), F.lit(0)).alias("latency_min_ns"), F.coalesce(F.max(ns), F.lit(0)).alias("latency_max_ns"), F.coalesce(F.call_function("div", total, F.nullif(n, F.lit(0))), F.lit(0)).alias("latency_avg_ns"))
 
 
 def bucket(ns: Column) -> Column:
@@ -79,6 +80,18 @@ def per_sink(df: DataFrame, sink: str = "sink") -> DataFrame:
     return df.groupBy(sink).agg(n.alias("records_written"), F.sum(_bytes()).alias("bytes_written"), errors.alias("write_errors"), rate(errors, n).alias("error_rate"), rate(F.sum(_bytes()), n).alias("avg_bytes"))
 
 
+def throughput(df: DataFrame, sink: str = "sink") -> DataFrame:
+    """Bytes and records a second of each sink, over the time from its first record to its last."""
+    seconds = (F.max("ts_ms") - F.min("ts_ms")) / 1000.0
+    return df.groupBy(sink).agg(rate(F.count(F.lit(1)), seconds).alias("records_per_second"), rate(F.sum(_bytes()), seconds).alias("bytes_per_second"))
+
+
+def line_sizes(df: DataFrame, line: Column) -> DataFrame:
+    """One row: how many lines were rendered, their bytes, and their average size."""
+    n, size = F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(line).cast("long")), F.lit(0))
+    return df.agg(n.alias("lines"), size.alias("bytes"), rate(size, n).alias("avg_bytes"))
+
+
 def over_thresholds(snapshot: DataFrame, limits: Mapping[str, float]) -> DataFrame:
     """A flag for each limit that its column is strictly above."""
     return snapshot.withColumns({f"{c}_exceeded": F.col(c) > F.lit(v) for c, v in limits.items()})

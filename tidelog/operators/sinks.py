@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
@@ -17,8 +18,8 @@ from tidelog.operators.filters import SinkFilter
 
 @dataclass(frozen=True)
 class Sink:
-    """``kind``: console, text, json, pretty_json, raw, parquet, tcp, udp or syslog. ``path`` may hold ``{date}``,
-    ``{hour}``, ``{level}`` or ``{module}``: records go to a folder for each value of theirs."""
+    """``kind``: console, text, json, pretty_json, raw, parquet, tcp, udp or syslog. ``path`` may hold ``{date}``, ``{time}``,
+    ``{hour}``, ``{level}``, ``{module}`` or a date pattern such as ``{YYYY-MM}``: records go to a folder for each value of theirs."""
 
     name: str
     kind: str = "text"
@@ -48,7 +49,20 @@ class Sink:
         return formatting.colored(line, formatting.line_color(columns)) if self.color else line
 
 
-_PARTS = {"{date}": ("date", lambda: formatting.date_pattern(F.col("ts"), "YYYY-MM-DD")), "{hour}": ("hour", lambda: formatting.date_pattern(F.col("ts"), "HH")), "{level}": ("part_level", lambda: F.col("level")), "{module}": ("part_module", lambda: F.col("module"))}
+_TAG = re.compile(r"\{([^{}]+)\}")
+
+
+def _tag(name: str) -> Column:
+    """What a tag of a path stands for, at the record's own time; a name that isn't known is a date pattern."""
+    if name in ("level", "module"):
+        return F.col(name)
+    return formatting.date_pattern(F.col("ts"), {"date": "YYYY-MM-DD", "time": "HH-mm-ss", "hour": "HH"}.get(name, name))
+
+
+def path_of(pattern: str) -> Column:
+    """The path of a record's file by a pattern with tags."""
+    parts = [F.lit(t) if k % 2 == 0 else F.coalesce(_tag(t), F.lit("")) for k, t in enumerate(_TAG.split(pattern)) if t]
+    return F.concat(*parts)
 
 
 def under_root(root: str | None, path: str) -> str:
@@ -79,9 +93,9 @@ def write(df: DataFrame, sink: Sink, root: str | None = None) -> None:
         rows.select(sink.line(df.columns).alias("value")).write.format(f"tidelog_{sink.kind}").option("host", sink.host).option("port", sink.port).mode("append").save()
         return
     path = under_root(root, sink.path) if "{" not in sink.path else sink.path
-    parts = {name: make() for mark, (name, make) in _PARTS.items() if mark in path}
-    for mark in _PARTS:
-        path = path.replace(mark, "")
+    tags = list(dict.fromkeys(_TAG.findall(path)))
+    parts = {t if t in ("date", "time", "hour") else f"part_{re.sub('[^A-Za-z0-9]', '_', t)}": _tag(t) for t in tags}
+    path = _TAG.sub("", path)
     shown = rows.drop("rule_ids") if sink.kind == "parquet" else rows.select(sink.line(df.columns).alias("value"), *[c.alias(n) for n, c in parts.items()])
     if sink.kind == "parquet":
         shown = shown.withColumns(parts)

@@ -354,6 +354,22 @@ def redact_stats(spark, sf_dir):
     return d.groupBy("source").agg(n.alias("processed"), hit.alias("redacted"), scalars.rate(hit, n).alias("redaction_rate"))
 
 
+_AUDITED = (("contains", "token", "[T]"), ("prefix", "a", "[A]"), ("regex", r"\d", "#"))
+
+
+@query("SELECT doc_id, concat_ws(',', CASE WHEN contains(text, 'token') THEN '0' END, CASE WHEN starts_with(replace(text, 'token', '[T]'), 'a') THEN '1' END, CASE WHEN regexp_matches(text, '[0-9]') THEN '2' END) AS patterns FROM documents")
+def redact_audit(spark, sf_dir):
+    """Which patterns changed each message."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(redaction.audit(F.col("text"), _AUDITED), ",").alias("patterns"))
+
+
+@query(_ev("SELECT event_type, CAST(SUM(1 + CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS fields_redacted FROM logs GROUP BY event_type"))
+def redact_field_counts(spark, sf_dir):
+    """Fields that are redacted by name, in all contexts."""
+    e = enrich.bind(events(spark, sf_dir), {"Token": "x", "env": "prod"})
+    return e.groupBy("event_type").agg(F.sum(redaction.fields_redacted(F.col("context"), {"token": "full", "K": "hash"})).alias("fields_redacted"))
+
+
 @query(
     "SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN '****' ELSE left(c_name, 4) || repeat('*', length(c_name) - 4) END AS name, '[REDACTED]' AS address, '[HASH:' || substr(sha256(c_custkey::VARCHAR), 1, 16) || ']' AS user_id, c_mktsegment AS segment FROM customer"
 )
@@ -718,18 +734,13 @@ def rotation_names(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", name("timestamp").alias("a"), name("date").alias("b"), name("custom", "{base}-{date}_{HH}{ext}").alias("c"))
 
 
-def _all_files(spark, sf_dir):
+def _files(spark, sf_dir):
     """Order rows as files of a log folder."""
     f = table(spark, sf_dir, "orders")
     return f.select(F.format_string("app-%d.log", "o_orderkey").alias("name"), scalars.epoch_ms(F.col("o_orderdate")).alias("mtime"), F.col("o_totalprice").cast("long").alias("size"), (F.col("o_orderkey") % 40).alias("age"), "o_orderkey")
 
 
-def _files(spark, sf_dir):
-    """The files of the queries whose SQL names a range of orders; those named ``_all`` cover every order."""
-    return _all_files(spark, sf_dir).where("o_orderkey <= 2000")
-
-
-_FILES = "f AS (SELECT printf('app-%d.log', o_orderkey) AS name, epoch_us(o_orderdate) // 1000 AS mtime, CAST(trunc(o_totalprice) AS BIGINT) AS size, o_orderkey % 40 AS age FROM orders WHERE o_orderkey <= 2000)"
+_FILES = "f AS (SELECT printf('app-%d.log', o_orderkey) AS name, epoch_us(o_orderdate) // 1000 AS mtime, CAST(trunc(o_totalprice) AS BIGINT) AS size, o_orderkey % 40 AS age FROM orders)"
 
 
 @query(f"WITH {_FILES} SELECT name FROM (SELECT name, row_number() OVER (ORDER BY mtime DESC, name DESC) AS n FROM f WHERE age <= 30) WHERE n <= 100")
@@ -747,24 +758,6 @@ def compression_candidates(spark, sf_dir):
     return retention.to_compress(_files(spark, sf_dir), "*7.log", 10).select("name")
 
 
-_ALL_FILES = "f AS (SELECT printf('app-%d.log', o_orderkey) AS name, epoch_us(o_orderdate) // 1000 AS mtime, CAST(trunc(o_totalprice) AS BIGINT) AS size, o_orderkey % 40 AS age FROM orders)"
-
-
-@query(f"WITH {_ALL_FILES} SELECT name FROM (SELECT name, row_number() OVER (ORDER BY mtime DESC, name DESC) AS n FROM f WHERE age <= 30) WHERE n <= 100")
-def retention_age_count_all(spark, sf_dir):
-    return retention.retain(_all_files(spark, sf_dir), 30, 100).select("name")
-
-
-@query(f"WITH {_ALL_FILES} SELECT name, CASE WHEN old THEN 'age' WHEN n > 800 THEN 'max_files' WHEN s > 100000000 THEN 'max_total_size' END AS deleted FROM (SELECT name, age > 30 AS old, row_number() OVER (PARTITION BY age > 30 ORDER BY mtime DESC, name DESC) AS n, sum(size) OVER (PARTITION BY age > 30 ORDER BY mtime DESC, name DESC ROWS UNBOUNDED PRECEDING) AS s FROM f WHERE ends_with(name, '.log'))")
-def cleanup_all(spark, sf_dir):
-    return retention.clean_up(_all_files(spark, sf_dir), "*.log", 30, 800, 100_000_000).select("name", "deleted")
-
-
-@query(f"WITH {_ALL_FILES} SELECT name FROM f WHERE age >= 10 AND ends_with(name, '7.log')")
-def compression_candidates_all(spark, sf_dir):
-    return retention.to_compress(_all_files(spark, sf_dir), "*7.log", 10).select("name")
-
-
 @query(
     """SELECT event_id, ts_ms + 5000 AS once, CAST(ts_ms + CASE WHEN s < 9000 THEN 9000 - s ELSE 86400 - s + 9000 END * 1000 AS BIGINT) AS daily FROM (SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, (epoch_us(ts) // 1000000) % 86400 AS s FROM events)"""
 )
@@ -773,20 +766,11 @@ def schedule_next_run(spark, sf_dir):
     return e.select("event_id", retention.next_once(F.col("ts_ms"), 5_000).alias("once"), retention.next_daily(F.col("ts_ms"), 2, 30).alias("daily"))
 
 
-@query(
-    "WITH d AS (SELECT c_custkey, 1704067200000 + c_custkey * 3777777 AS now FROM customer) SELECT c_custkey, CAST(coalesce((SELECT min(now + k * 60000) FROM range(1, 43200) r(k) WHERE minute(make_timestamp((now + k * 60000) * 1000)) = 15 AND hour(make_timestamp((now + k * 60000) * 1000)) = 4 AND dayofweek(make_timestamp((now + k * 60000) * 1000)) = 1), now + 60000) AS BIGINT) AS cron FROM d WHERE c_custkey <= 60"
-)
-def schedule_cron(spark, sf_dir):
-    """Mondays at 04:15, from sixty starting times; schedules are few."""
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 60")
-    return c.select("c_custkey", retention.next_cron(F.lit(1704067200000) + F.col("c_custkey") * 3777777, minute=15, hour=4, weekday=1).alias("cron"))
-
-
 @query(
     """WITH d AS (SELECT c_custkey, 1704067200000 + c_custkey * 3777777 AS now FROM customer), c AS (SELECT c_custkey, now, now + (((now // 60000 + 1) // 1440 + k) * 1440 + 255 - now // 60000) * 60000 AS ms FROM d, range(0, 31) r(k))
   SELECT c_custkey, CAST(coalesce(min(ms) FILTER (ms > now AND ms < now + 2592000000 AND dayofweek(make_timestamp(ms * 1000)) = 1), min(now) + 60000) AS BIGINT) AS cron FROM c GROUP BY c_custkey"""
 )
-def schedule_cron_all(spark, sf_dir):
+def schedule_cron(spark, sf_dir):
     """Mondays at 04:15, from a starting time of each customer."""
     return table(spark, sf_dir, "customer").select("c_custkey", retention.next_cron(F.lit(1704067200000) + F.col("c_custkey") * 3777777, minute=15, hour=4, weekday=1).alias("cron"))
 
@@ -870,6 +854,129 @@ def sliding_levels(spark, sf_dir):
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("began"), "level", "records", "bytes")
 
 
+_CALL = "CASE event_type WHEN 'error' THEN 'err' WHEN 'view' THEN 'note' WHEN 'click' THEN 'AUDIT' WHEN 'purchase' THEN 'warn' ELSE 'shout' END"
+
+
+@query(
+    _ev(
+        f", c AS (SELECT event_id, {_CALL} AS call FROM logs) SELECT event_id, CASE call WHEN 'err' THEN 'ERROR' WHEN 'note' THEN 'NOTICE' WHEN 'AUDIT' THEN 'INFO' WHEN 'warn' THEN 'WARNING' END AS level, CAST(CASE call WHEN 'err' THEN 40 WHEN 'note' THEN 22 WHEN 'AUDIT' THEN 35 WHEN 'warn' THEN 30 END AS INTEGER) AS priority, CASE WHEN call = 'AUDIT' THEN call END AS custom_level_name, CASE WHEN call = 'AUDIT' THEN '35;1' END AS custom_level_color, call <> 'shout' AS valid FROM c"
+    )
+)
+def logged_calls(spark, sf_dir):
+    """Levels by the names of calls, a custom one and an unknown one among them."""
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    call = F.when(kind == "error", "err").when(kind == "view", "note").when(kind == "click", "AUDIT").when(kind == "purchase", "warn").otherwise("shout")
+    return records.called(e, call, {"AUDIT": (35, "35;1")}).select("event_id", "level", "priority", "custom_level_name", "custom_level_color", "valid")
+
+
+def _placed(spark, sf_dir):
+    """Records with a source location and a stack trace."""
+    e = events(spark, sf_dir)
+    n = F.col("user_id")
+    return e.withColumns({"filename": F.concat(F.lit("src/u"), (n % 7).cast("string"), F.lit(".py")), "line": (n * 3).cast("long"), "function": F.concat(F.lit("on_"), "event_type"), "stack_trace": F.array(F.lit("a"), F.col("event_type"))})
+
+
+@query(_ev(f"SELECT event_id, 'src/u' || (user_id % 7) || '.py' AS filename, CAST(NULL AS BIGINT) AS line, 'on_' || event_type AS function, '[' || {_TIME} || '] [' || level || '] [' || module || '] [on_' || event_type || '] src/u' || (user_id % 7) || '.py:' || user_id * 3 || ':0: ' || message AS shown FROM logs"))
+def source_locations(spark, sf_dir):
+    """Records carry file, line and function; a logger may leave the line out."""
+    e = _placed(spark, sf_dir).drop("stack_trace")
+    e = e.withColumn("shown", formatting.default_line(e.columns, show=("time", "module", "function", "file", "line")))
+    return enrich.source_location(e, line=False).select("event_id", "filename", "line", "function", "shown")
+
+
+@query(_ev("SELECT event_id, CASE WHEN level IN ('ERROR', 'CRITICAL') THEN 'a,' || event_type END AS stack FROM logs"))
+def stack_traces(spark, sf_dir):
+    return enrich.keep_stack_traces(_placed(spark, sf_dir)).select("event_id", F.array_join("stack_trace", ",").alias("stack"))
+
+
+@query(_ev("SELECT event_id, TRUE AS accepted, CAST(NULL AS VARCHAR) AS reject_reason FROM logs"))
+def sample_none(spark, sf_dir):
+    return sampling.Sampler().flag(events(spark, sf_dir)).select("event_id", "accepted", F.col("reject_reason").cast("string").alias("reject_reason"))
+
+
+@query(_ev("SELECT event_id FROM logs WHERE FALSE"))
+def logger_disabled(spark, sf_dir):
+    return level_gate(events(spark, sf_dir), "TRACE", enabled=False).select("event_id")
+
+
+@query(_ev("SELECT event_id, CAST(2 AS INTEGER) AS rule_id FROM logs WHERE priority >= 30 UNION ALL SELECT event_id, 4 FROM logs WHERE module = 'app.view'"))
+def rules_registry(spark, sf_dir):
+    """Rules added, replaced, taken out and switched off."""
+    book = rules.Rules()
+    book.add(rules.Rule(1, level=rules.LevelMatch.at_least(5)))
+    book.add(rules.Rule(2, level=rules.LevelMatch.at_least(55)))
+    book.add(rules.Rule(3))
+    book.add_or_update(rules.Rule(2, level=rules.LevelMatch.at_least(30)))
+    book.add_or_update(rules.Rule(4, module="app.view"))
+    book.remove(1)
+    book.enable(3, False)
+    return book.matched(events(spark, sf_dir)).select("event_id", F.explode("rule_ids").alias("rule_id"))
+
+
+@query(_ev("SELECT event_id, '/logs/' || strftime(ts, '%Y-%m-%d') || '/' || level || '/app_' || strftime(ts, '%H-%M-%S') || '.' || module || '.log' AS a, strftime(ts, '%Y/%m') || '/x' AS b FROM logs"))
+def sink_paths(spark, sf_dir):
+    """Paths with tags, and with a date pattern of one's own."""
+    return events(spark, sf_dir).select("event_id", sinks.path_of("/logs/{date}/{level}/app_{time}.{module}.log").alias("a"), sinks.path_of("{YYYY/MM}/x").alias("b"))
+
+
+@query(_ev(f"SELECT 'files' AS on, 'console' AS sink, 0 AS n FROM logs WHERE FALSE UNION ALL SELECT 'files', 'app', COUNT(*) FROM logs WHERE {_TAKES['app']} UNION ALL SELECT 'files', 'quiet', COUNT(*) FROM logs WHERE {_TAKES['quiet']} UNION ALL SELECT 'console', 'console', COUNT(*) FROM logs WHERE {_TAKES['console']}").replace(" AS on,", ' AS "on",'))
+def sink_switches(spark, sf_dir):
+    """Console and file sinks as switched off for all."""
+    e = events(spark, sf_dir)
+    some = lambda on, **kw: sinks.fan_out(e, sinks.active(_SINKS, **kw)).groupBy("sink").agg(F.count(F.lit(1)).alias("n")).select(F.lit(on).alias("on"), "sink", "n")
+    return some("files", console=False).union(some("console", files=False))
+
+
+@query("SELECT p_partkey, CAST(p_size * pow(2.0, p_partkey % 5) AS DOUBLE) AS delay FROM part")
+def retry_delays(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.retry_delay(F.col("p_size").cast("double"), F.lit(2.0), F.col("p_partkey") % 5).alias("delay"))
+
+
+@query(_ev("""SELECT event_id, '{"timestamp":' || ts_ms // 1000 || ',"level":"' || level || '","message":"' || message || '","module":"' || module || '"}' AS line, '[' || ts_ms // 1000 || '] [' || level || '] [' || module || '] ' || message AS text FROM logs"""))
+def format_unix(spark, sf_dir):
+    e = events(spark, sf_dir).drop("context")
+    return e.select("event_id", formatting.json_line(e.columns, "unix").alias("line"), formatting.default_line(e.columns, "unix").alias("text"))
+
+
+@query(
+    _ev(
+        f"""SELECT event_id, '{{"timestamp":"' || {_TIME} || '","level":"' || level || '","message":"' || message || '","module":"' || module || '","function":"on_' || event_type || '","filename":"src/u' || (user_id % 7) || '.py","line":' || user_id * 3 || ',"hostname":"host1","pid":7' || CASE WHEN level IN ('ERROR', 'CRITICAL') THEN ',"stack_trace":["a","' || event_type || '"]' ELSE '' END || ',"context":{{"env":"prod"}}' || CASE WHEN priority >= 30 THEN ',"rules":[{{"category":"error_analysis","title":"T","message":"Look \\"here\\"","url":"u"}},{{"category":"performance_tip","message":"Slow"}}]' ELSE '' END || '}}' AS line FROM logs"""
+    )
+)
+def format_json_full(spark, sf_dir):
+    """Every field that a JSON line may have: location, host and process, stack trace, context and rules."""
+    book = rules.Rules([rules.Rule(1, (rules.message("cause", 'Look "here"', title="T", url="u"), rules.message("perf", "Slow")), rules.LevelMatch.at_least(30))])
+    e = book.evaluate(enrich.keep_stack_traces(_placed(spark, sf_dir)).withColumn("context", enrich.literal_map({"env": "prod"})))
+    return e.select("event_id", formatting.json_line(e.columns, hostname="host1", pid=7).alias("line"))
+
+
+@query(_ev("SELECT COUNT(*) AS lines, CAST(SUM(strlen(message) + strlen(level) + 3) AS BIGINT) AS bytes, SUM(strlen(message) + strlen(level) + 3) / COUNT(*)::DOUBLE AS avg_bytes FROM logs"))
+def format_sizes(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return metrics.line_sizes(e, formatting.template("{level} | {message}", e.columns))
+
+
+@query(_ev(" SELECT sink, COUNT(*) / ((max(ts_ms) - min(ts_ms)) / 1000.0::DOUBLE) AS records_per_second, SUM(strlen(message)) / ((max(ts_ms) - min(ts_ms)) / 1000.0::DOUBLE) AS bytes_per_second FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS sink, * FROM logs WHERE {w}" for s, w in _TAKES.items()) + ") GROUP BY sink"))
+def sink_throughput(spark, sf_dir):
+    return metrics.throughput(sinks.fan_out(events(spark, sf_dir), _SINKS))
+
+
+@query("SELECT COUNT(*) AS files, CAST(SUM(p_size - p_size // 3) AS BIGINT) AS bytes_saved, (1 - SUM(p_size // 3) / SUM(p_size)::DOUBLE) * 100 AS percent FROM part WHERE NOT ends_with(p_name, '7') AND p_size >= 20")
+def compression_savings(spark, sf_dir):
+    """Bytes that a compression run saves, where files shrink to a third."""
+    p = table(spark, sf_dir, "part")
+    packed = p.where(retention.should_compress(F.col("p_name"), F.col("p_size"), "size", "7", 20))
+    return retention.savings(packed.withColumn("packed", F.floor(F.col("p_size") / 3)), "p_size", "packed")
+
+
+@query("SELECT o_orderkey, '/old/app-' || o_orderkey || '.log.gz' AS moved FROM orders")
+def archive_paths(spark, sf_dir):
+    """Where rotated and packed files go."""
+    path = F.format_string("/var/log/%s/app-%d.log.gz", "o_orderstatus", "o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", retention.archived_column(path, "/old/").alias("moved"))
+
+
 # --- the whole pipeline
 
 PIPELINE = LogPipeline(
@@ -913,6 +1020,14 @@ def stream_pipeline(spark, sf_dir):
     return _drained(spark, flow.apply(_stream(spark, sf_dir)).select("event_id", "level", "message"))
 
 
+@query(ORACLES["full_pipeline"])
+def stream_full_pipeline(spark, sf_dir):
+    """The whole pipeline over a stream, rules that fire once included."""
+    out = PIPELINE.apply(_stream(spark, sf_dir))
+    at = lambda k: F.try_element_at("context", F.lit(k))
+    return _drained(spark, out.select("event_id", "level", "message", at("env").alias("env"), at("k").alias("k"), F.greatest(F.coalesce(F.size("rule_messages"), F.lit(0)), F.lit(0)).alias("n_messages")))
+
+
 @query(ORACLES["sample_every_n_user"])
 def stream_every_n(spark, sf_dir):
     return _drained(spark, stateful.every_n(_stream(spark, sf_dir).select("event_id", "ts_ms", "user_id"), 3, ["user_id"], ["event_id"]))
@@ -940,10 +1055,11 @@ def windowed_levels(spark, sf_dir):
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "level", "records", "bytes")
 
 
-@query(None)
+@query(_ev("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, level, COUNT(*) AS records, CAST(SUM(strlen(message)) AS BIGINT) AS bytes FROM logs WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM logs) GROUP BY ALL"))
 def stream_windowed_levels(spark, sf_dir):
-    """Append mode gives the windows that the watermark has closed; tests compare with the batch."""
-    return _drained(spark, windows.level_counts(_stream(spark, sf_dir), "1 day"))
+    """Append mode gives the windows that the watermark, ten minutes behind the latest record, has closed."""
+    w = _drained(spark, windows.level_counts(_stream(spark, sf_dir), "1 day"))
+    return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "level", "records", "bytes")
 
 
 @query(
