@@ -11,12 +11,13 @@ A start depends on the one before it, but little has to go from task to task:
 3. With what enters it, each block lists its starts. Of all stretches of ``width`` a value has at most one start in its own,
    and else the last one is in the stretch before: one join by key and stretch gives each record its window.
 
-A block holds the distinct values of a key in ``max(width, BLOCK_VALUES)`` units. Null keys are a key; a null value counts
-as 0.
+A block's length follows from the densest stretch of the data, which a first pass finds: a block holds ``BLOCK_VALUES`` values,
+or one stretch's distinct ones if these are more. Null keys are a key; a null value counts as 0.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The least length of a block, in units of the values.
-BLOCK_VALUES = 1_000_000
+#: The values of a block, at most, unless one stretch has more; values up to which a block is worked out without arrays.
+BLOCK_VALUES, SMALL_BLOCK = 1_000_000, 64
 
 
 def key_of(key_by: Sequence[str]) -> Column:
@@ -33,21 +34,18 @@ def key_of(key_by: Sequence[str]) -> Column:
     return F.struct(*key_by) if key_by else F.struct(F.lit(0).alias("all"))
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
-    return np.split(flat, ends[:-1]) if len(ends) else []
-
-
 def _list_array(lists: list) -> pa.Array:
     return pa.array(lists, pa.list_(pa.int64()))
 
 
-def steps(values: np.ndarray, begin: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def steps(values: list[int], begin: int, width: int) -> tuple[list[int], list[int]]:
     """(upto, exit) of a block that begins at ``begin``: if the next window may start from x on, and x is at most ``upto``,
     the block's last window starts at ``exit``."""
-    following = np.searchsorted(values, values + width)
     n = len(values)
+    if n <= SMALL_BLOCK:  # most blocks of keys with few records
+        return _few_steps(values, begin, width)
+    values = np.asarray(values)
+    following = np.searchsorted(values, values + width)
     last = np.arange(n)
     jump = np.append(np.where(following < n, following, n), n)
     while (jump[:-1] < n).any():  # doubling: last holds the end of 1, 2, 4 .. windows
@@ -57,31 +55,45 @@ def steps(values: np.ndarray, begin: int, width: int) -> tuple[np.ndarray, np.nd
     first = min(n, int(np.searchsorted(values, begin + width)) + 1)
     exits = values[last[:first]]
     ends = np.append(np.flatnonzero(exits[1:] != exits[:-1]), first - 1)
-    return values[ends], exits[ends]
+    return values[ends].tolist(), exits[ends].tolist()
+
+
+def _few_steps(values: list[int], begin: int, width: int) -> tuple[list[int], list[int]]:
+    n = len(values)
+    exits = list(values)
+    for k in range(n - 2, -1, -1):
+        following = bisect_left(values, values[k] + width, k)
+        if following < n:
+            exits[k] = exits[following]
+    first = min(n, bisect_left(values, begin + width) + 1)
+    ends = [k for k in range(first) if k == first - 1 or exits[k] != exits[k + 1]]
+    return [values[k] for k in ends], [exits[k] for k in ends]
 
 
 def window_starts(values: DataFrame, value: str, width: int) -> DataFrame:
     """(_key, start) of all windows but those that start at 0. ``values``: _key, and a long."""
     if width < 1:
         raise ValueError("a window needs a width")
-    length = width * max(1, BLOCK_VALUES // width)
+    stretches = values.groupBy("_key", F.floor(F.col(value) / width)).agg(F.count(F.lit(1)).alias("n"))
+    densest = stretches.agg(F.max("n").alias("n")).first()["n"] or 1
+    length = width * max(1, BLOCK_VALUES // densest)
     blocks = values.select("_key", F.floor(F.col(value) / length).cast("long").alias("_block"), value).groupBy("_key", "_block").agg(F.sort_array(F.collect_set(value)).alias("values"))
     key = values.schema["_key"].dataType.simpleString()
 
     def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [steps(v, b * length, width) for v, b in zip(_lists(batch.column(2)), batch.column(1).to_pylist(), strict=True)]
+            made = [steps(v, b * length, width) for v, b in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _list_array([u for u, _ in made]), _list_array([e for _, e in made])], ["_key", "_block", "upto", "exit"])
 
     def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, start = None, 0
+        start = 0
         for batch in batches:
             out = []
-            for own, upto, exits in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if own != last:
-                    last, start = own, 0
+            for new, upto, exits in zip(batch.column(4).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if new:
+                    start = 0
                 out.append(start + width)
-                at = int(np.searchsorted(upto, start + width))
+                at = bisect_left(upto, start + width)
                 if at < len(upto):
                     start = exits[at]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["_key", "_block", "entry"])
@@ -89,16 +101,17 @@ def window_starts(values: DataFrame, value: str, width: int) -> DataFrame:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for v, entry in zip(_lists(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                starts, at = [], int(np.searchsorted(v, entry))
+            for v, entry in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                starts, at = [], bisect_left(v, entry)
                 while at < len(v):
-                    starts.append(int(v[at]))
-                    at = int(np.searchsorted(v, v[at] + width))
+                    starts.append(v[at])
+                    at = bisect_left(v, v[at] + width, at)
                 out.append(starts)
             yield pa.RecordBatch.from_arrays([batch.column(0), _list_array(out)], ["_key", "starts"])
 
     functions = blocks.mapInArrow(stepped, f"_key {key}, _block long, upto array<long>, exit array<long>")
-    entries = functions.repartition("_key").sortWithinPartitions("_key", "_block").mapInArrow(entered, f"_key {key}, _block long, entry long")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("_block")) == 1  # deals blocks by key, and sorts them
+    entries = functions.withColumn("_new", first).mapInArrow(entered, f"_key {key}, _block long, entry long")
     known = blocks.join(entries, ["_key", "_block"]).select("_key", "values", "entry")
     return known.mapInArrow(listed, f"_key {key}, starts array<long>").select("_key", F.explode("starts").alias("start"))
 

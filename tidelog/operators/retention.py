@@ -79,12 +79,23 @@ def should_compress(path: Column, size: Column, mode: str, extension: str = ".gz
     return fresh if mode == "always" else fresh & (size >= threshold)
 
 
-def size_index(df: DataFrame, size: str, limit: int, order: Sequence[str], key_by: Sequence[str] = ()) -> DataFrame:
+def size_index(df: DataFrame, size: str, limit: int, order: Sequence[str], key_by: Sequence[str] = (), hot_keys: bool = False) -> DataFrame:
     """Add ``file_index``: a record starts a new file if the current one has reached ``limit`` before it is written.
 
-    ``key_by``: each key has its own files. A file starts where the bytes written before are at least ``limit`` beyond the last
-    one's: a chain of windows over these sums.
+    ``key_by``: each key has its own files. With keys that all have moderately many records, one fold. Without keys, or with
+    ``hot_keys``, a file starts where the bytes written before are at least ``limit`` beyond the last one's: a chain of windows
+    over these sums, in many tasks.
     """
+    if key_by and not hot_keys:
+        from tidelog.operators.sampling import fold
+
+        def step(state: list, n: float) -> tuple[int]:
+            if state[0] >= limit:
+                state[0], state[1] = 0, state[1] + 1
+            state[0] += n
+            return (state[1],)
+
+        return fold(df, size, key_by, order, "file_index long", lambda: [0, 0], step)
     rows = df.withColumns({"_key": key_of(key_by), "_amount": F.coalesce(F.col(size).cast("long"), F.lit(0))})
     summed = sums_before(rows, "_amount", order, BUCKET_MS, "_written")
     starts = window_starts(summed.select("_key", "_written"), "_written", limit)

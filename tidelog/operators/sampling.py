@@ -2,7 +2,8 @@
 
 ``key_by`` names the columns that a sampler has a state for. The record-at-a-time library has one state; here that is an
 empty ``key_by``. Probability sampling is a filter, and every-N ranks records in many tasks. The rate limit and the adaptive
-rate are chains of windows (see ``chains``): many tasks share a key, and so also records without one.
+rate are folds of each key's records; without keys, or with ``hot_keys``, they are chains of windows (see ``chains``), which
+many tasks share, at several times the cost a record. Results are the same.
 """
 
 from __future__ import annotations
@@ -82,6 +83,40 @@ def flag_every_n(df: DataFrame, n: int, time: str, id_column: str, key_by: Seque
     return df.withColumn("accepted", place % n == 0)
 
 
+def fold(df: DataFrame, value: str, key_by: Sequence[str], order: Sequence[str], schema: str, start: Callable[[], object], step: Callable) -> DataFrame:
+    """Run a state machine over each key's records in order; ``step(state, value)`` gives the added columns of a record.
+
+    Rows are dealt by key and sorted; a partition's keys follow one another, so state is a few numbers, not a group. A null
+    value counts as 0. One shuffle, but all of a key's records go through one task.
+    """
+    from pyspark.sql.types import StructType
+
+    added = StructType.fromDDL(schema)
+    out = StructType([*df.schema.fields, *added.fields])
+    keyed = df.withColumn("_key", F.struct(*key_by))
+    keyed = keyed.repartition(*key_by).sortWithinPartitions(*key_by, *order)
+    columns = df.columns
+    at = columns.index(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out)
+        last, state = None, None
+        for batch in batches:
+            keys = batch.column(len(columns)).to_pylist()
+            made: list[tuple] = []
+            for key, x in zip(keys, batch.column(at).to_pylist(), strict=True):
+                if key != last or state is None:
+                    last, state = key, start()
+                made.append(step(state, x or 0))
+            arrays = [batch.column(k).cast(arrow.field(k).type) for k in range(len(columns))]
+            arrays += [pa.array([m[i] for m in made], type=arrow.field(len(columns) + i).type) for i in range(len(added))]
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    return keyed.mapInArrow(run, out)
+
+
 def rate_limit_step(most: int, window_ms: int) -> Callable:
     """A window starts with the first record after the last one's end; up to ``most`` of its records are accepted."""
 
@@ -101,11 +136,13 @@ def _keyed(df: DataFrame, time: str, id_column: str, key_by: Sequence[str]) -> D
     return df.withColumns({"_key": key_of(key_by), "_at": F.greatest(F.coalesce(F.col(time).cast("long"), F.lit(0)), F.lit(0)), "_id": F.col(id_column)})
 
 
-def flag_rate_limit(df: DataFrame, most: int, window_ms: int, time: str, id_column: str, key_by: Sequence[str] = ()) -> DataFrame:
+def flag_rate_limit(df: DataFrame, most: int, window_ms: int, time: str, id_column: str, key_by: Sequence[str] = (), hot_keys: bool = False) -> DataFrame:
     """Add ``accepted``: the first ``most`` records of each window.
 
-    Key, time and id go through the windows and give each one's last accepted record; whole records meet these in one join.
+    With keys that all have moderately many records, one fold. Without keys, or with ``hot_keys``, key, time and id go through the windows and give each one's last accepted record; whole records meet these in one join.
     """
+    if key_by and not hot_keys:
+        return fold(df, time, key_by, _order(time, id_column), "accepted boolean", lambda: [0, 0], rate_limit_step(most, window_ms))
     rows = _keyed(df, time, id_column, key_by)
     records = rows.select("_key", "_at", "_id")
     placed = windows_of(records, "_at", window_starts(records, "_at", window_ms), window_ms)
@@ -129,11 +166,15 @@ def adaptive_step(target: float, interval_ms: int, min_rate: float, max_rate: fl
     return step
 
 
-def with_adaptive_rate(df: DataFrame, target: float, time: str, id_column: str, key_by: Sequence[str] = (), interval_ms: int = 1000, min_rate: float = 0.01, max_rate: float = 1.0) -> DataFrame:
+def with_adaptive_rate(df: DataFrame, target: float, time: str, id_column: str, key_by: Sequence[str] = (), interval_ms: int = 1000, min_rate: float = 0.01, max_rate: float = 1.0, hot_keys: bool = False) -> DataFrame:
     """Add ``rate`` and ``accepted`` (the record's draw is below the rate).
 
-    Intervals are windows; their counts, a row for each key and interval, are what goes through one task a key.
+    With keys that all have moderately many records, one fold. Without keys, or with ``hot_keys``, intervals are windows, and
+    only their counts, a row for each key and interval, go through one task a key.
     """
+    if key_by and not hot_keys:
+        rated = fold(df, time, key_by, _order(time, id_column), "rate double", lambda: [0, 0, 1.0], adaptive_step(target, interval_ms, min_rate, max_rate))
+        return rated.withColumn("accepted", draw(F.col(id_column)) < F.floor(F.col("rate") * TWO32))
     rows = _keyed(df, time, id_column, key_by)
     records = rows.select("_key", "_at")
     placed = windows_of(records, "_at", window_starts(records, "_at", interval_ms), interval_ms)

@@ -261,7 +261,7 @@ def sample_rate_limit_user(spark, sf_dir):
 
 @query(_rate_limit_sql("event_type", 5, 3_600_000))
 def sample_rate_limit_type(spark, sf_dir):
-    return sampling.flag_rate_limit(events(spark, sf_dir), 5, 3_600_000, "ts_ms", "event_id", ["event_type"]).select("event_id", "accepted")
+    return sampling.flag_rate_limit(events(spark, sf_dir), 5, 3_600_000, "ts_ms", "event_id", ["event_type"], hot_keys=True).select("event_id", "accepted")
 
 
 _ADAPTIVE = f"""WITH RECURSIVE {EV}, o AS (SELECT user_id, event_id, ts_ms, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, event_id) AS rn FROM logs),
