@@ -46,7 +46,7 @@ def labels(spark):
 
 
 def test_queries_are_registered():
-    assert sorted(Q.queries(), key=lambda n: int(n[2:].split("_")[0])) == [f"op{n}_{x}" for n, x in enumerate(["sharding", "quality_rules", "html_extraction", "token_counts", "quality_classifier", "nearest", "toxicity", "packing", "near_dedup", "byte_bpe"], 1)]
+    assert sorted(Q.queries(), key=lambda n: int(n[2:].split("_")[0])) == [f"op{n}_{x}" for n, x in enumerate(["sharding", "quality_rules", "html_extraction", "token_counts", "quality_classifier", "nearest", "toxicity", "packing", "near_dedup", "byte_bpe", "whitening", "chat_format", "fill_middle"], 1)]
 
 
 # --- 1

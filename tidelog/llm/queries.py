@@ -87,6 +87,33 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidelog.llm.chat_format import digests, format_conversations
+
+    said = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(said).alias("text"))
+    return digests(format_conversations(turns.union(more)))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidelog.llm.fill_middle import fill_in_middle, restore
+
+    made = fill_in_middle(table(spark, sf_dir, "documents"), changed_percent=50, spm_percent=80, seed=42)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -106,6 +133,28 @@ OP9_SQL = r"""WITH RECURSIVE words AS (
   FROM sets LEFT JOIN nodes ON nodes.s = sets.s LEFT JOIN least ON least.id = nodes.id"""
 
 
+#: Turns are what the table says; the formatted length counts each turn's marks, and the escapes of a text.
+OP12_SQL = r"""WITH talks AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+  sized AS (SELECT *, CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9 ELSE length(role) + 1 END + 4 + 2 + 8 + length(replace(replace(replace(replace(text, '\', '\e'), '### ', '\A'), ': ', '\B'), '</turn>', '\C')) AS chars,
+    coalesce(role, '') || chr(10) || text || chr(10) AS told, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learnt,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS was FROM talks),
+  walked AS (SELECT *, coalesce(CASE role WHEN 'system' THEN was IS NULL AND place = 1 WHEN 'user' THEN was IS NULL OR was IN ('system', 'assistant') WHEN 'assistant' THEN was = 'user' END, false) AS taken FROM sized)
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(told, '' ORDER BY place)) AS turns_sha256, CAST(sum(length(learnt)) AS BIGINT) AS loss_chars, sha256(string_agg(learnt, '' ORDER BY place)) AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars, bool_and(taken) AND arg_max(role, place) <> 'system' AS valid,
+    CAST(coalesce(min(CASE WHEN NOT taken THEN place - 1 END), CASE WHEN arg_max(role, place) = 'system' THEN count(*) END) AS INTEGER) AS bad_turn
+  FROM walked GROUP BY conv_id"""
+
+#: Parts by their lengths in code points, not by lists of units.
+OP13_SQL = r"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h FROM documents),
+  cut AS (SELECT *, list_transform(regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), lambda x: length(x)) AS u, CAST('0x' || h[1:8] AS UBIGINT) AS h1, CAST('0x' || h[9:16] AS UBIGINT) AS h2, CAST('0x' || h[17:24] AS UBIGINT) AS h3, CAST('0x' || h[25:32] AS UBIGINT) AS h4 FROM texts),
+  drawn AS (SELECT *, len(u) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+  placed AS (SELECT *, coalesce(list_sum(u[1:CAST(least(h1 % (n + 1), h2 % (n + 1)) AS BIGINT)]), 0) AS p, coalesce(list_sum(u[1:CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS BIGINT)]), 0) AS q FROM drawn),
+  parted AS (SELECT *, substring(t, 1, CAST(p AS BIGINT)) AS pre, substring(t, CAST(p + 1 AS BIGINT), CAST(q - p AS BIGINT)) AS mid, substring(t, CAST(q + 1 AS BIGINT)) AS suf FROM placed)
+  SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(p AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(q - p AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM parted"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others can't be put into SQL that DuckDB runs over whole tables in fair time; tests hold each against a brute-force version."""
-    return {"op9_near_dedup": OP9_SQL}
+    return {"op9_near_dedup": OP9_SQL, "op12_chat_format": OP12_SQL, "op13_fill_middle": OP13_SQL}
