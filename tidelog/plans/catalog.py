@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import formatting, levels, redaction, scalars
 from tidelog.operators import enrich, metrics, retention, rules, sampling, sinks
+from tidelog.operators import spans as span_ops
 from tidelog.operators.filters import Filter, SinkFilter, level_gate
 from tidelog.plans.pipeline import LogPipeline
 from tidelog.sources import adapters, records
@@ -697,6 +698,57 @@ def span_durations(spark, sf_dir):
     return enrich.span_durations(events(spark, sf_dir), "user_id", "ts_ms", "event_id").select("event_id", "duration_ns")
 
 
+#: Clicks and views start a span, purchases and errors end one.
+_STEP = "CASE WHEN event_type IN ('click', 'view') THEN 1 WHEN event_type IN ('purchase', 'error') THEN -1 ELSE 0 END"
+#: Each user's records one after the other, with the stack of open spans.
+_STACKS = f""", seq AS (SELECT user_id, event_id, ts_ms, {_STEP} AS step, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, event_id) AS n FROM logs),
+  walk AS (SELECT user_id, n, event_id, ts_ms, step, CASE WHEN step = 1 THEN [event_id] ELSE CAST([] AS BIGINT[]) END AS open, CAST([] AS BIGINT[]) AS was FROM seq WHERE n = 1
+    UNION ALL SELECT s.user_id, s.n, s.event_id, s.ts_ms, s.step, CASE s.step WHEN 1 THEN list_append(w.open, s.event_id) WHEN -1 THEN w.open[1:len(w.open) - 1] ELSE w.open END, w.open
+    FROM walk w JOIN seq s ON s.user_id = w.user_id AND s.n = w.n + 1)"""
+
+
+def _steps():
+    kind = F.col("event_type")
+    return kind.isin("click", "view"), kind.isin("purchase", "error")
+
+
+@query(
+    f"WITH RECURSIVE {EV} {_STACKS}, ended AS (SELECT user_id, was[len(was)] AS span, ts_ms AS end_ms FROM walk WHERE step = -1 AND len(was) > 0)"
+    " SELECT w.user_id, w.event_id AS span, w.was[len(w.was)] AS parent_span, CAST(len(w.was) AS BIGINT) AS span_depth, w.ts_ms AS start_ms, e.end_ms, (e.end_ms - w.ts_ms) * 1000000 AS duration_ns, e.span IS NULL AS unended FROM walk w LEFT JOIN ended e ON e.user_id = w.user_id AND e.span = w.event_id WHERE w.step = 1"
+)
+def spans(spark, sf_dir):
+    """The spans of each user's records: parent, depth, duration, and whether they ended."""
+    return span_ops.spans(events(spark, sf_dir), *_steps(), ["user_id"], "ts_ms", "event_id")
+
+
+@query(
+    f"WITH RECURSIVE {EV} {_STACKS} SELECT w.user_id, w.event_id, CASE WHEN w.step = 1 THEN w.event_id ELSE w.was[len(w.was)] END AS span, CASE WHEN w.step = 1 THEN w.was[len(w.was)] END AS parent_span,"
+    " CASE WHEN w.step = 1 THEN CAST(len(w.was) AS BIGINT) WHEN len(w.was) > 0 THEN CAST(len(w.was) - 1 AS BIGINT) END AS span_depth, CASE WHEN w.step = -1 AND len(w.was) > 0 THEN (w.ts_ms - s.ts_ms) * 1000000 END AS duration_ns FROM walk w LEFT JOIN seq s ON s.event_id = w.was[len(w.was)]"
+)
+def span_records(spark, sf_dir):
+    """Each record with the span that is open: what a logger stamps on it."""
+    return span_ops.open_spans(events(spark, sf_dir), *_steps(), ["user_id"], "ts_ms", "event_id").select("user_id", "event_id", "span", "parent_span", "span_depth", "duration_ns")
+
+
+@query(
+    f"""WITH {EV}, s AS (SELECT event_id, ts_ms, {_STEP} AS step, SUM({_STEP}) OVER (ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS total FROM logs),
+  d AS (SELECT *, total - step - least(0, coalesce(MIN(total) OVER (ORDER BY ts_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS depth FROM s),
+  m AS (SELECT event_id, ts_ms, step, depth, lead(ts_ms) OVER l AS next_ms, lead(step) OVER l AS next_step FROM d WHERE step = 1 OR (step = -1 AND depth > 0) WINDOW l AS (PARTITION BY CASE step WHEN 1 THEN depth ELSE depth - 1 END ORDER BY ts_ms, event_id))
+  SELECT event_id AS span, CAST(depth AS BIGINT) AS span_depth, ts_ms AS start_ms, CASE WHEN next_step = -1 THEN next_ms END AS end_ms, CASE WHEN next_step = -1 THEN (next_ms - ts_ms) * 1000000 END AS duration_ns, next_step IS NULL AS unended FROM m WHERE step = 1"""
+)
+def spans_one_trace(spark, sf_dir):
+    """All records as one trace: a hot key, in many tasks."""
+    return span_ops.spans(events(spark, sf_dir), *_steps(), [], "ts_ms", "event_id").drop("parent_span")
+
+
+@query(
+    f"WITH RECURSIVE {EV} {_STACKS}, ended AS (SELECT was[len(was)] AS span, ts_ms AS end_ms FROM walk WHERE step = -1 AND len(was) > 0)"
+    " SELECT w.user_id, COUNT(*) AS spans, COUNT(*) FILTER (WHERE e.span IS NULL) AS unended, CAST(MAX(len(w.was)) AS BIGINT) AS deepest, CAST(coalesce(SUM((e.end_ms - w.ts_ms) * 1000000), 0) AS BIGINT) AS total_ns FROM walk w LEFT JOIN ended e ON e.span = w.event_id WHERE w.step = 1 GROUP BY w.user_id"
+)
+def span_totals(spark, sf_dir):
+    return span_ops.span_totals(spans(spark, sf_dir), ["user_id"])
+
+
 @query(_ev("SELECT event_id, 'http' AS module, priority >= 40 AS has_error, CASE WHEN priority >= 40 THEN 'app.error' END AS error_name, 'corr-1' AS correlation_id, TRUE AS has_context FROM logs"))
 def record_predicates(spark, sf_dir):
     e = enrich.with_trace(enrich.scoped(events(spark, sf_dir), "http"), correlation_id="corr-1")
