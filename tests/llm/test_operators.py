@@ -258,7 +258,7 @@ def test_html_raw_elements_and_quotes(html, text):
     assert page.main_text([]) == text and page.main_text([p for p, _ in page.votes()]) == text
 
 
-NESTS = ["<div>", "<div class=c{k}>", "<ul><li>x", "<table><tr><td>x", "<span class=ad>x", "<p>x</div>", "<section><article>x", "<a href='", "<script>x", "<a = ", "<!--"]
+NESTS = ["<div>", "<div class=c{k}>", "<ul><li>x", "<table><tr><td>x", "<span class=ad>x", "<p>x</div>", "<form><p>x", "<p><span class=ad>x", "<div><span class=ad>x</div>", "<section><article>x", "<a href='", "<script>x", "<a = ", "<!--"]
 
 
 @pytest.mark.parametrize("unit", NESTS)
@@ -292,6 +292,34 @@ def test_html_long_page_and_null_ids(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+PARA = "A paragraph of the article with some words in it, enough to be main text."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body><form action=x><div class=content><p>{PARA}</p></div></form></body>", [PARA]),
+        (f"<body><form action=x><p>{PARA}</p><p>Two</p><input name=q><button>Go</button><select><option>1</select></form></body>", [PARA, "Two"]),
+        (f"<body><form id=aspnet><nav><a href=/>Home</a></nav><div class=main><h1>T</h1><p>{PARA}</p></div><div class=footer>foot</div></form></body>", ["T", PARA]),
+        (f"<body><article><p>{PARA}</p></article><form><label>Your mail</label><input><p>Short</p></form></body>", [PARA]),
+        (f"<body><form><label>Search</label><input></form><form action=y><p>{PARA}</p></form></body>", [PARA]),
+        (f"<body><article><p>Intro <span class=share>Share this<p>{PARA}<p>More <span>of</span> it</article>", ["Intro", PARA, "More of it"]),
+        (f"<article><p>Before <span class=ad>buy <span>now</span> cheap stuff</span> after</p><p>{PARA}</p></article>", ["Before after", PARA]),
+        (f"<article><p>{PARA}</p><div>Text <span class=ad><div>Buy</div></span> goes on</div></article>", [PARA, "Text goes on"]),
+        (f"<article><div>Text <span class=ad>Buy</div><p>{PARA}</p><p>x <span>y</span></article>", ["Text", PARA, "x y"]),
+        (f"<article><p>{PARA}</p><div class=related-work><p>Others found this.</p></div><div class=notice-of-motion><p>It was moved.</p></div></article>", [PARA, "Others found this.", "It was moved."]),
+        (f"<article><p>{PARA}</p><div class=ad-container>Buy</div><div class=share-buttons>Share</div><div class='related-posts-block'>More</div></article>", [PARA]),
+        (f"<article><p>a <span class=ad>x<script>'<p>'</script> y<p>{PARA}</article>", ["a", PARA]),
+    ],
+)
+def test_html_forms_inline_tags_and_article_sections(html, want):
+    from tidelog.llm.html_extraction import read_page
+
+    page = read_page(html)
+    assert page.main_text(()) == "\n".join(want)
+    assert page.main_text([p for p, _ in page.votes()]) == "\n".join(want)
+
+
 @pytest.mark.parametrize(("names", "away"), [("ad", True), ("ad-container", True), ("site-footer", True), ("commentList", True), ("comments-wrapper", True), ("has-sidebar", False), ("content-with-sidebar", False), ("sidebar-layout", False), ("post content", False), ("header-ad", True), ("shadow", False), ("", False)])
 def test_names_of_parts(names, away):
     from tidelog.llm.html_extraction import _away

@@ -13,7 +13,7 @@
    host and splits a host with very many pages.
 
 Blocks are parted at block-level tags and line breaks. Inside a block, white space becomes one space; character
-references are decoded; blocks are joined by ``\\n`` in page order.
+references are decoded; blocks are joined by ``\\n`` in page order. A form is left out, unless it has as much text as the rest of its page.
 
 Defined cases. A null or empty html, and a page without any main text, give the empty text. A null url belongs to the host
 ``''``, like one without a host. Tags that are never closed end with their parent; stray end tags are passed over; a page
@@ -44,6 +44,7 @@ DROPPED = frozenset("head script style noscript template iframe svg canvas objec
 RAW = frozenset(["script", "style", "textarea", "title", "noscript", "iframe", "template"])
 CONTAINERS = frozenset("body main article section div td center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody thead tr th figure figcaption header address details summary fieldset hr br html".split())
+BORDERS = BLOCKS | frozenset("nav footer aside form dialog menu".split())
 WHOLE = frozenset(["article", "main"])
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Words in class and id names, and roles, of parts that are not main text.
@@ -63,6 +64,14 @@ COMMENTS = frozenset("comment comments commentlist disqus reply replies respond
 #: Words that tell about a part only as the last one of its name: a ``hidden-gem`` isn't hidden.
 LAST_ONLY = frozenset("hidden skip links tags search rail foot".split())
 
+#: Words that may follow the first one by which a name tells: they say what sort of part it is (``ad-container``), and not
+#: what it is about (``related-work``, ``notice-of-motion``).
+SORTS = frozenset(
+    """area bar block blocks body bottom box btn button buttons center column container content desktop dialog feed field form grid group head header heading icon icons image inline inner
+    item items label layer left level link list main message mobile module outer panel placeholder popover posts primary right row secondary section slot small space strip text title top unit
+    view wrap wrapper zone""".split()
+)
+
 #: A comment; a tag with its attributes, where quotes count only after ``=``; a tag that breaks off; a declaration.
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
@@ -76,23 +85,76 @@ _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 def _away(names: str) -> str | None:
     """The word by which a class or id attribute tells that the part is not main text: its last (``site-footer``), unless
-    the name is about a layout around such a part (``has-sidebar``), or its first (``ad-container``)."""
+    the name is about a layout around such a part (``has-sidebar``), or its first, where the others only say what sort of part it
+    is (``ad-container``)."""
     for name in names.split():
         words = [w.lower() for w in _NAME_PARTS.findall(name)]
         if words and words[-1] in AWAY and not AROUND.intersection(words[:-1]):
             return words[-1]
-        if words and words[0] in AWAY and words[0] not in LAST_ONLY and not LAYOUT.intersection(words):
+        if words and words[0] in AWAY and words[0] not in LAST_ONLY and all(w in SORTS or w in AWAY or len(w) == 1 for w in words[1:]):
             return words[0]
     return None
 
 
 class _Open:
-    """An open tag. ``inner``: in an article, a main or a part named as content; ``comments``: in readers' comments."""
-
-    __slots__ = ("tag", "dropped", "container", "inner", "comments")
-
-    def __init__(self, tag: str, dropped: bool, container: int, inner: bool, comments: bool):
-        self.tag, self.dropped, self.container, self.inner, self.comments = tag, dropped, container, inner, comments
+    """An open tag. ``inner``: in an article, a main or a part named as content; ``comments``: in readers' comments; ``form``: the number
+    of the form for which alone it is dropped."""
+
+    __slots__ = ("tag", "dropped", "container", "inner", "comments", "form")
+
+    def __init__(self, tag: str, dropped: bool, container: int, inner: bool, comments: bool, form: int | None = None):
+        self.tag, self.dropped, self.container, self.inner, self.comments, self.form = tag, dropped, container, inner, comments, form
+
+
+def _inline_ends(html: str) -> tuple[dict[int, int], dict[int, int]]:
+    """By the place of an inline tag: where its own end tag ends, counting those that nest; and where the next block begins or ends. An
+    inline tag that is open when a tag around it ends, or when a block begins in its paragraph, has no end of its own."""
+    ends: dict[int, int] = {}
+    borders: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}
+    waiting: list[int] = []
+    blocks: list[str] = ["html"]  # those of the stack that are blocks
+    at = 0
+
+    def leave() -> tuple[str, int]:
+        tag, place = stack.pop()
+        opened[tag] -= 1
+        if tag in BLOCKS:
+            blocks.pop()
+        return tag, place
+
+    while m := _TAG.search(html, at):
+        at = m.end()
+        tag = (m[2] or m[5] or "").lower()
+        if not tag or tag in VOID:
+            continue
+        block = tag in BORDERS
+        if block:
+            borders.update((place, m.start()) for place in waiting)
+            waiting.clear()
+        if m[1] or m[4]:
+            if opened.get(tag):
+                while stack[-1][0] != tag:
+                    leave()
+                _, place = leave()
+                if not block:
+                    ends[place] = at
+            continue
+        if tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            at = end.end() if end else len(html)
+            continue
+        if tag in BLOCKS and blocks[-1] == "p":
+            while leave()[0] != "p":
+                pass
+        stack.append((tag, m.start()))
+        opened[tag] = opened.get(tag, 0) + 1
+        if tag in BLOCKS:
+            blocks.append(tag)
+        if not block:
+            waiting.append(m.start())
+    return ends, borders
 
 
 class Page:
@@ -102,14 +164,15 @@ class Page:
     time and memory grow with the page's length, however deep it nests.
     """
 
-    def __init__(self, html: str | None, by_name: bool = True):
+    def __init__(self, html: str | None, by_name: bool = True, whole_forms: frozenset[int] = frozenset()):
         self.paths: list[int] = [0]
         self.parents: list[int] = [-1]
         self.tags: list[str] = ["html"]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters outside links
+        self.in_forms: list[int] = []  # characters of text that are left out only as they are in a form, by form
         self._numbers: dict[tuple[int, str], int] = {}
         self._steps: list[tuple[int, str]] = [(0, "")]
-        self._read(html or "", by_name)
+        self._read(html or "", by_name, whole_forms)
 
     def path(self, number: int) -> str:
         """A path's steps, parted by ``>``."""
@@ -139,13 +202,14 @@ class Page:
         self.tags.append(tag)
         return len(self.paths) - 1
 
-    def _read(self, html: str, by_name: bool) -> None:
+    def _read(self, html: str, by_name: bool, whole_forms: frozenset[int]) -> None:
         stack = [_Open("html", False, 0, False, False)]
         opened: dict[str, int] = {}  # how many of a tag are open
         endless: set[str] = set()  # tags that end nowhere in the rest of the page
         parts: list[str] = []
         linked = depth_of_link = 0
-        at = 0
+        at = forms = 0
+        inline = None
 
         def flush() -> None:
             nonlocal linked
@@ -173,6 +237,8 @@ class Page:
                 parts.append(piece)
                 if depth_of_link:
                     linked += len(piece)
+            elif m.start() > at and stack[-1].form is not None and not depth_of_link:
+                self.in_forms[stack[-1].form] += len(html[at : m.start()].strip())
             at = m.end()
             tag = (m[2] or m[5] or "").lower()
             if not tag:
@@ -204,8 +270,13 @@ class Page:
                 own = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(attrs)}
             names = f"{own.get('class', '')} {own.get('id', '')}"
             inner = stack[-1].inner
-            by = None
-            if tag in DROPPED or "hidden" in own or own.get("aria-hidden") == "true" or own.get("role") in ROLES or _HIDDEN_STYLE.search(own.get("style", "")):
+            by = form = None
+            whole = False
+            if tag == "form" and stack[-1].form is None and not stack[-1].dropped:
+                form, forms = forms, forms + 1
+                self.in_forms.append(0)
+                whole = form in whole_forms
+            if tag in DROPPED and not whole or "hidden" in own or own.get("aria-hidden") == "true" or own.get("role") in ROLES or _HIDDEN_STYLE.search(own.get("style", "")):
                 by = tag
             elif tag == "header" and not inner:
                 by = "header"
@@ -213,12 +284,13 @@ class Page:
                 by = _away(names)
                 if not by and not inner and tag not in ("h1", "h2", "h3") and re.search(r"(?:^|[\s_-])header\b", names):
                     by = "header"
-            if tag not in BLOCKS and not by:
+            if tag not in BLOCKS and not by and not whole:
                 continue  # an inline tag
             if tag not in BLOCKS and tag not in DROPPED:
-                # an inline tag that is not main text: left out up to its end, if that comes before other tags
-                if not stack[-1].dropped and (end := end_of(tag)) >= 0:
-                    at = end
+                # an inline tag that is not main text: left out up to its end, or without one up to the next block
+                if not stack[-1].dropped:
+                    inline = inline or _inline_ends(html)
+                    at = inline[0].get(m.start()) or inline[1].get(m.start(), len(html))
                 continue
             if not stack[-1].dropped:
                 flush()
@@ -236,7 +308,9 @@ class Page:
             words = {w.lower() for w in _NAME_PARTS.findall(names)}
             content = bool(CONTENT & words) and not (LAYOUT | AROUND | {"wrapper", "container"}) & words
             opened[tag] = opened.get(tag, 0) + 1
-            stack.append(_Open(tag, top.dropped or by is not None, container, top.inner or tag in WHOLE or content, top.comments or by in COMMENTS))
+            if by != "form":
+                form = top.form if by is None else None
+            stack.append(_Open(tag, top.dropped or by is not None, container, top.inner or tag in WHOLE or content, top.comments or by in COMMENTS, form))
         if at < len(html) and not stack[-1].dropped:
             parts.append(html[at:])
         flush()
@@ -313,9 +387,18 @@ class Page:
 
 
 def read_page(html: str | None) -> Page:
-    """By names first; a page that names leave without text is read without them."""
-    page = Page(html)
-    return page if page.blocks else Page(html, by_name=False)
+    """By names first; a page that names leave without text is read without them. A form that has as much text as the rest of the page isn't
+    there to be filled in but holds the page: it is read like any part."""
+    page = _read_whole(html, True)
+    return page if page.blocks else _read_whole(html, False)
+
+
+def _read_whole(html: str | None, by_name: bool) -> Page:
+    page = Page(html, by_name)
+    most = max(page.in_forms, default=0)
+    if most and 2 * most >= sum(free for _, _, free in page.blocks) + sum(page.in_forms):
+        return Page(html, by_name, frozenset([page.in_forms.index(most)]))
+    return page
 
 
 def host_of(url: Column) -> Column:
