@@ -553,6 +553,20 @@ def test_nearest_in_dense_and_sparse_regions(spark, tmp_path):
     assert recall_of([(r.vec_id, r.embedding) for r in vectors.collect()], nearest(vectors, 10, 25), 10, 25) >= 0.95
 
 
+def test_nearest_of_mixed_scales(spark, tmp_path, monkeypatch):
+    """Points at log-normal distances from one centre: few queries, those far from all others, end in one cell."""
+    from tidelog.llm import nearest as N
+
+    asked = []
+    monkeypatch.setattr(N, "candidates", lambda points, queries, index, *a, real=N.candidates, **kw: asked.append((index.directions.shape[1], queries.count())) or real(points, queries, index, *a, **kw))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12_000, 16)) * np.exp(rng.normal(size=(12_000, 1)))
+    got = N.nearest(vector_table(spark, x, tmp_path), 10, 100).toPandas()
+    hits = sum(len(set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11].tolist()) & set(g.vec_id)) for q, g in got.groupby("query_id"))
+    assert len(got) == 1200 and hits / len(got) >= 0.9
+    assert asked[0] == (asked[0][0], 120) and sum(n for k, n in asked if not k) <= 0.25 * 120
+
+
 def test_nearest_copies_and_hot_cells(spark, monkeypatch):
     """A vector that a third of all rows share, and cells larger than a part."""
     from tidelog.llm import nearest as N

@@ -154,16 +154,17 @@ def fit(sample: np.ndarray, queries: np.ndarray, near: float, n: int, tables: in
     Without known neighbours, one table with one cell is a choice, too: it costs all ``n``.
     """
     d = sample.shape[1]
-    best, least = None, (True, math.inf)
+    best, least = None, (True, math.inf, math.inf)
     if not known:
-        best, least = hash_functions(d, 1, 0, near, near, 1.0), (False, n)
+        best, least = hash_functions(d, 1, 0, near, near, 1.0), (False, n, 0.0)
     for k in DIRECTIONS:
         for w in WIDTHS:
             for success in SUCCESSES if known else SUCCESSES[-1:]:
                 index = hash_functions(d, tables, k, w * near, near, success)
                 recall, cost = trial(index, sample, queries, known or [], n)
-                if (recall < wanted, cost) < least:
-                    best, least = index, (recall < wanted, cost)
+                rank = (True, -recall, cost) if recall < wanted else (False, cost, 0.0)  # of those that find too few, the one that finds most
+                if rank < least:
+                    best, least = index, rank
                 if recall >= wanted or cost >= least[1] and not least[0]:
                     break  # a greater chance only costs more
     return best
@@ -428,7 +429,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_i
     spark = vectors.sparkSession
     rows = once_each(usable(vectors, key, vector))
     points = materialize(rows.groupBy("v").agg(F.min("id").alias("point")).select("point", "v"), "points")
-    sample = points.orderBy(F.xxhash64("point")).limit(SAMPLE_POINTS).select("point", F.col("v").cast("array<double>").alias("v")).toArrow()
+    sample = _sample(points, "point", SAMPLE_POINTS)
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = pa.compute.list_value_length(sample.column("v")).to_pylist()
@@ -446,7 +447,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_i
     asked = materialize(once_each(usable(vectors.where(F.col(key) % every == 0), key, vector)).where(F.size("v") == d).select(F.col("id").alias("query"), "v"), "queries")
     found, settled, first = None, [], True
     while True:
-        index = fit(x, queries, near, n, tables, known if first and n > 1 else None)
+        index = fit(x, queries if first else _matrix(_sample(asked, "query", SAMPLE_QUERIES).column("v").combine_chunks()), near, n, tables, known if first and n > 1 else None)
         new = candidates(points, asked, index, k, n, pruned=not first)
         found = materialize(new if found is None else found.join(asked.select("query"), "query", "left_semi").union(new), "found")
         answers = materialize(_merged(found, same, k), "answers")
@@ -464,6 +465,11 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_i
         first = False
 
 
+def _sample(rows: DataFrame, key: str, limit: int) -> pa.Table:
+    """(key, v) of at most ``limit`` rows, those of the smallest hashes of their key."""
+    return rows.orderBy(F.xxhash64(key)).limit(limit).select(key, F.col("v").cast("array<double>").alias("v")).toArrow()
+
+
 def _all_of(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
