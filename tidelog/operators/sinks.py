@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import logging
 import re
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
+from typing import TextIO
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.functions import formatting
 from tidelog.operators.filters import SinkFilter
@@ -19,7 +22,11 @@ from tidelog.operators.filters import SinkFilter
 @dataclass(frozen=True)
 class Sink:
     """``kind``: console, text, json, pretty_json, raw, parquet, tcp, udp or syslog. ``path`` may hold ``{date}``, ``{time}``,
-    ``{hour}``, ``{level}``, ``{module}`` or a date pattern such as ``{YYYY-MM}``: records go to a folder for each value of theirs."""
+    ``{hour}``, ``{level}``, ``{module}`` or a date pattern such as ``{YYYY-MM}``: records go to a folder for each value of theirs.
+
+    The console is the driver's standard output; it gets every record, or the first ``most_shown``. A pretty JSON record takes several
+    lines, and an empty one parts it from the next. ``stats``: a folder for the counts of what a tcp or udp sink sent. ``compression``
+    of these is ``deflate``, of files one of Spark's codecs."""
 
     name: str
     kind: str = "text"
@@ -35,6 +42,8 @@ class Sink:
     app: str = "app"
     host: str = "127.0.0.1"
     port: int = 0
+    stats: str | None = None
+    most_shown: int | None = None
 
     def line(self, columns: list[str]) -> Column:
         if self.kind == "json":
@@ -81,32 +90,86 @@ def fan_out(df: DataFrame, sinks: Sequence[Sink]) -> DataFrame:
     return df.withColumn("sink", F.explode(taking))
 
 
+#: What is between two records of a pretty JSON file; a record has no empty line.
+BETWEEN = "\n\n"
+
+
+def show(lines: DataFrame, most: int | None = None, out: TextIO | None = None) -> int:
+    """Print the first column of every row, or of the first ``most``; how many. The driver holds one partition at a time."""
+    out = out or sys.stdout
+    n = 0
+    for row in (lines if most is None else lines.limit(most)).toLocalIterator():
+        out.write(f"{row[0]}\n")
+        n += 1
+    out.flush()
+    return n
+
+
+def _network_options(sink: Sink) -> dict[str, object]:
+    return {"host": sink.host, "port": sink.port} | ({"stats": sink.stats} if sink.stats else {}) | ({"compression": sink.compression} if sink.compression else {})
+
+
+def _parts(sink: Sink, root: str | None) -> tuple[str, dict[str, Column]]:
+    """The folder of a file sink, and the columns by which it parts its records."""
+    path = under_root(root, sink.path) if "{" not in sink.path else sink.path
+    tags = list(dict.fromkeys(_TAG.findall(path)))
+    return _TAG.sub("", path).rstrip("/"), {t if t in ("date", "time", "hour") else f"part_{re.sub('[^A-Za-z0-9]', '_', t)}": _tag(t) for t in tags}
+
+
+def _shown(rows: DataFrame, sink: Sink, parts: dict[str, Column]) -> DataFrame:
+    if sink.kind == "parquet":
+        return rows.drop("rule_ids").withColumns(parts) if parts else rows.drop("rule_ids")
+    return rows.select(sink.line(rows.columns).alias("value"), *[c.alias(n) for n, c in parts.items()])
+
+
+def _file_options(sink: Sink) -> dict[str, object]:
+    return ({"compression": sink.compression} if sink.compression else {}) | ({"maxRecordsPerFile": sink.most_records_per_file} if sink.most_records_per_file else {}) | ({"lineSep": BETWEEN} if sink.kind == "pretty_json" else {})
+
+
 def write(df: DataFrame, sink: Sink, root: str | None = None) -> None:
     rows = df.where(sink.takes.predicate())
     if sink.kind == "console":
-        rows.select(sink.line(df.columns).alias("value")).show(truncate=False)
+        show(rows.select(sink.line(df.columns).alias("value")), sink.most_shown)
         return
     if sink.kind in ("tcp", "udp"):
         from tidelog.sources.network import register
 
         register(df.sparkSession)
-        rows.select(sink.line(df.columns).alias("value")).write.format(f"tidelog_{sink.kind}").option("host", sink.host).option("port", sink.port).mode("append").save()
+        rows.select(sink.line(df.columns).alias("value")).write.format(f"tidelog_{sink.kind}").options(**_network_options(sink)).mode("append").save()
         return
-    path = under_root(root, sink.path) if "{" not in sink.path else sink.path
-    tags = list(dict.fromkeys(_TAG.findall(path)))
-    parts = {t if t in ("date", "time", "hour") else f"part_{re.sub('[^A-Za-z0-9]', '_', t)}": _tag(t) for t in tags}
-    path = _TAG.sub("", path)
-    shown = rows.drop("rule_ids") if sink.kind == "parquet" else rows.select(sink.line(df.columns).alias("value"), *[c.alias(n) for n, c in parts.items()])
+    path, parts = _parts(sink, root)
+    out = _shown(rows, sink, parts).write.mode("overwrite" if sink.overwrite else "append").options(**_file_options(sink))
+    out = out.partitionBy(*parts) if parts else out
+    out.format("parquet" if sink.kind == "parquet" else "text").save(path)
+
+
+def start(df: DataFrame, sink: Sink, checkpoint: str, preset: str = "balanced", root: str | None = None) -> StreamingQuery:
+    """Write a stream to a sink; the running query. Files get each record once, network and console sinks at least once."""
+    from tidelog.streaming.windows import PRESETS
+
+    rows = df.where(sink.takes.predicate())
+    if sink.kind == "console":
+        lines = rows.select(sink.line(df.columns).alias("value"))
+        out = lines.writeStream.foreachBatch(lambda batch, _: show(batch, sink.most_shown) and None)
+    elif sink.kind in ("tcp", "udp"):
+        from tidelog.sources.network import register
+
+        register(df.sparkSession)
+        out = rows.select(sink.line(df.columns).alias("value")).writeStream.format(f"tidelog_{sink.kind}").options(**_network_options(sink))
+    else:
+        path, parts = _parts(sink, root)
+        out = _shown(rows, sink, parts).writeStream.format("parquet" if sink.kind == "parquet" else "text").options(**_file_options(sink)).option("path", path)
+        out = out.partitionBy(*parts) if parts else out
+    return out.option("checkpointLocation", checkpoint).trigger(**PRESETS[preset]["trigger"]).start()
+
+
+def read_back(spark: SparkSession, sink: Sink, root: str | None = None) -> DataFrame:
+    """What a file sink has written: for parquet its columns, else a row for each record, ``value``; with the columns of its folders."""
+    path, parts = _parts(sink, root)
     if sink.kind == "parquet":
-        shown = shown.withColumns(parts)
-    out = shown.write.mode("overwrite" if sink.overwrite else "append")
-    if parts:
-        out = out.partitionBy(*parts)
-    if sink.compression:
-        out = out.option("compression", sink.compression)
-    if sink.most_records_per_file:
-        out = out.option("maxRecordsPerFile", sink.most_records_per_file)
-    out.format("parquet" if sink.kind == "parquet" else "text").save(path.rstrip("/"))
+        return spark.read.parquet(path)
+    lines = spark.read.text(path, lineSep=BETWEEN if sink.kind == "pretty_json" else None)
+    return lines.select("value", *[F.col(n).cast("string").alias(n) for n in parts])
 
 
 @contextmanager

@@ -1,4 +1,4 @@
-"""Network sources and sinks as Spark data sources in Python: UDP and TCP ingest, HTTP JSON, TCP and UDP writers.
+"""Network sources and sinks as Spark data sources in Python: UDP and TCP ingest, HTTP JSON, TCP and UDP writers for batches and streams.
 
 Register with ``register(spark)``; then ``spark.readStream.format("tidelog_udp").option("port", 9000).load()``.
 """
@@ -12,17 +12,22 @@ import select
 import socket
 import time
 import urllib.request
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, DataSourceWriter, SimpleDataSourceStreamReader, WriterCommitMessage
+
+from tidelog.sources import spool as files
 
 
 class _SocketReader(SimpleDataSourceStreamReader):
     """Receives on the driver, for sources of a moderate rate; a table or queue that executors read scales further. A batch
     ends ``wait_ms`` after it began, or with ``max_bytes``, however steady the traffic is; all clients get their turn. Batches
-    are kept until they are committed, so a batch that is asked for again is the same."""
+    are kept until they are committed, so a batch that is asked for again is the same. They are kept in memory: a query that is
+    started again can't have them, and fails unless ``failOnDataLoss`` is false. ``receivers`` keep them in files, on executors."""
 
     def __init__(self, options: dict[str, str], kind: int):
         self.kind = kind
@@ -32,6 +37,7 @@ class _SocketReader(SimpleDataSourceStreamReader):
         self.sock: socket.socket | None = None
         self.clients: dict[socket.socket, codecs.IncrementalDecoder] = {}
         self.kept: dict[int, str] = {}
+        self.strict = options.get("failOnDataLoss", "true").lower() != "false"
 
     def initialOffset(self) -> dict:
         return {"n": 0}
@@ -82,38 +88,116 @@ class _SocketReader(SimpleDataSourceStreamReader):
         return iter([(m,) for m in got]), {"n": n + len(got)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        lost = sum(k not in self.kept for k in range(start["n"], end["n"]))
+        if lost and self.strict:
+            raise RuntimeError(f"{lost} messages of a batch are gone, as the query was started again; set failOnDataLoss to false to go on without them")
         return iter([(self.kept[k],) for k in range(start["n"], end["n"]) if k in self.kept])
 
     def commit(self, end: dict) -> None:
         self.kept = {k: m for k, m in self.kept.items() if k >= end["n"]}
 
 
-class _Messages(WriterCommitMessage):
-    pass
+@dataclass
+class Sent(WriterCommitMessage):
+    """What one task has sent."""
+
+    lines: int = 0
+    bytes: int = 0
+    errors: int = 0
+    connections: int = 0
 
 
-class _SocketWriter(DataSourceWriter):
-    """Each task sends its lines; a TCP connection that breaks is opened once more."""
+class _Socket:
+    """Sends lines. TCP lines are gathered up to ``buffer_bytes``; a connection that breaks is opened once more for the same buffer. A UDP
+    line is a datagram. ``compression=deflate`` sends each buffer or datagram as a raw deflate stream of its own."""
 
     def __init__(self, options: dict[str, str], kind: int):
         self.kind, self.address = kind, (options.get("host", "127.0.0.1"), int(options["port"]))
+        self.buffer = int(options.get("buffer_bytes", str(64 << 10))) if kind == socket.SOCK_STREAM else 0
+        self.packed = options.get("compression", "none") == "deflate"
+        self.sent = Sent()
+        self.sock: socket.socket | None = None
+        self.held: list[bytes] = []
+        self.size = 0
+
+    def _connect(self) -> None:
+        self.close()
+        self.sock = socket.socket(socket.AF_INET, self.kind)
+        self.sock.connect(self.address)
+        self.sent.connections += 1
+
+    def _send(self, data: bytes, lines: int) -> None:
+        if self.packed:
+            deflate = zlib.compressobj(wbits=-15)
+            data = deflate.compress(data) + deflate.flush()
+        if self.sock is None:
+            self._connect()
+        try:
+            self.sock.sendall(data)
+        except OSError:
+            self.sent.errors += 1
+            self._connect()
+            self.sock.sendall(data)
+        self.sent.lines += lines
+        self.sent.bytes += len(data)
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
-        def connect() -> socket.socket:
-            s = socket.socket(socket.AF_INET, self.kind)
-            s.connect(self.address)
-            return s
+    def line(self, text: object) -> None:
+        line = (str(text) + "\n").encode()
+        self.held.append(line)
+        self.size += len(line)
+        if self.size >= self.buffer:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self._send(b"".join(self.held), len(self.held))
+            self.held, self.size = [], 0
+
+    def close(self) -> None:
+        if self.sock is not None:
+            self.sock.close()
+            self.sock = None
+
+
+#: A batch's counts, as ``stats`` files hold them.
+SENT_SCHEMA = "batch string, lines long, bytes long, errors long, connections long, tasks int"
+
+
+class _SocketWriter(DataSourceWriter, DataSourceStreamWriter):
+    """Each task sends its rows' first column. A task that runs again sends again: at least once, and counted as often as it ended well.
+
+    With the option ``stats``, a folder, each batch's counts are written there when all its tasks have ended; a batch that is
+    committed again overwrites its own.
+    """
 
-        s = connect()
+    def __init__(self, options: dict[str, str], kind: int):
+        self.options, self.kind = dict(options), kind
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        out = _Socket(self.options, self.kind)
         for row in iterator:
-            line = (str(row[0]) + "\n").encode()
-            try:
-                s.sendall(line)
-            except OSError:
-                s = connect()
-                s.sendall(line)
-        s.close()
-        return _Messages()
+            out.line(row[0])
+        out.flush()
+        out.close()
+        return out.sent
+
+    def commit(self, messages: list, batchId: int | None = None) -> None:  # noqa: N803
+        where = self.options.get("stats")
+        if not where:
+            return
+        done = [m for m in messages if m is not None]
+        name = f"write-{uuid.uuid4().hex}" if batchId is None else f"batch-{batchId:012d}"
+        total = {n: sum(getattr(m, n) for m in done) for n in ("lines", "bytes", "errors", "connections")}
+        store, folder = files.opened(where)
+        files.put(store, f"{folder}/{name}.json", json.dumps({"batch": name, **total, "tasks": len(done)}).encode() + b"\n")
+
+    def abort(self, messages: list, batchId: int | None = None) -> None:  # noqa: N803
+        pass
+
+
+def sent_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each batch that was sent with the option ``stats``: lines, bytes, errors, connections, tasks."""
+    return spark.read.schema(SENT_SCHEMA).json(folder)
 
 
 class UdpSource(DataSource):
@@ -132,6 +216,9 @@ class UdpSource(DataSource):
     def writer(self, schema, overwrite):
         return _SocketWriter(self.options, socket.SOCK_DGRAM)
 
+    def streamWriter(self, schema, overwrite):
+        return _SocketWriter(self.options, socket.SOCK_DGRAM)
+
 
 class TcpSource(DataSource):
     """Chunks as they come, of 4096 bytes at most, from any number of clients."""
@@ -149,6 +236,9 @@ class TcpSource(DataSource):
     def writer(self, schema, overwrite):
         return _SocketWriter(self.options, socket.SOCK_STREAM)
 
+    def streamWriter(self, schema, overwrite):
+        return _SocketWriter(self.options, socket.SOCK_STREAM)
+
 
 class _HttpReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
