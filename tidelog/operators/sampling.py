@@ -198,6 +198,78 @@ def with_adaptive_rate(df: DataFrame, target: float, time: str, id_column: str,
     return found.withColumn("accepted", draw(F.col(id_column)) < F.floor(F.col("rate") * TWO32))
 
 
+def _carried(df: DataFrame, time: str, id_column: str, key_by: Sequence[str], state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """A batch's records with the window that their key is in already (``_since``, ``_state``), and (_key, _at) of all that windows may start
+    from. A record that is earlier than that window is in it, too: ``_in`` is where it counts."""
+    rows = _keyed(df, time, id_column, key_by)
+    if state is None:
+        rows = rows.withColumns({"_since": F.lit(None).cast("long"), "_state": F.lit(None)})
+        return rows.withColumn("_in", F.col("_at")), rows.select("_key", "_at")
+    known = state.select("_key", F.col("start").alias("_since"), F.struct(*[c for c in state.columns if c != "_key"]).alias("_state"))
+    rows = rows.join(known, "_key", "left").withColumn("_in", F.greatest("_at", F.coalesce("_since", F.lit(0))))
+    return rows, rows.select("_key", F.col("_in").alias("_at")).union(state.select("_key", "start"))
+
+
+def rate_limit_batch(df: DataFrame, most: int, window_ms: int, time: str, id_column: str, key_by: Sequence[str] = (), state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``flag_rate_limit`` for one of many batches that follow in time: the records with ``accepted``, and the state for the next batch.
+
+    ``state``: a row for each key - _key, the ``start`` of its window and the ``n`` that it has accepted; None at first. Windows are chains in
+    many tasks (see ``chains``). A key whose window is over at the latest time of the batch isn't kept: its next record starts a new one.
+    """
+    rows, values = _carried(df, time, id_column, key_by, state)
+    starts = window_starts(values, "_at", window_ms)
+    had = F.when(F.col("_since") == F.col("start"), F.col("_state.n")).otherwise(0) if state is not None else F.lit(0)
+    records = rows.select("_key", "_in", "_at", "_id", "_since", *(["_state"] if state is not None else []))
+    placed = windows_of(records, "_in", starts, window_ms).withColumn("_had", had)
+    nth = F.row_number().over(Window.partitionBy("_key", "start").orderBy("_at", "_id"))
+    last = placed.withColumn("_n", nth).where(F.col("_n") <= most).where(F.col("_n") + F.col("_had") <= most).groupBy("_key", "start").agg(F.max(F.struct("_at", "_id")).alias("_last"))
+    found = windows_of(rows, "_in", last, window_ms, "_last")
+    flagged = found.withColumn("accepted", F.coalesce(F.struct("_at", "_id") <= F.col("_last"), F.lit(False))).select(*df.columns, "accepted")
+    used = placed.groupBy("_key", "start").agg(F.least(F.lit(most), F.count(F.lit(1)) + F.max("_had")).cast("long").alias("n"))
+    if state is not None:
+        used = used.union(state.select("_key", "start", "n"))
+    now = used.groupBy("_key").agg(F.max(F.struct("start", "n")).alias("_w")).select("_key", "_w.start", "_w.n")
+    latest = rows.agg(F.max("_at").alias("latest")).first()["latest"] or 0
+    return flagged, now.where(F.lit(latest) - F.col("start") < window_ms)
+
+
+def adaptive_batch(df: DataFrame, target: float, time: str, id_column: str, key_by: Sequence[str] = (), interval_ms: int = 1000, min_rate: float = 0.01, max_rate: float = 1.0, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``with_adaptive_rate`` for one of many batches: the records with ``rate`` and ``accepted``, and the state for the next batch.
+
+    ``state``: _key, ``start`` and ``n`` of the key's interval, and its ``rate``. A rate is a key's whole past, so every key stays.
+    """
+    rows, values = _carried(df, time, id_column, key_by, state)
+    starts = window_starts(values, "_at", interval_ms)
+    placed = windows_of(rows.select("_key", "_in"), "_in", starts, interval_ms)
+    counts = placed.groupBy("_key", "start").agg(F.count(F.lit(1)).alias("n"))
+    old = state if state is not None else counts.select("_key", "start", "n", F.lit(1.0).alias("rate")).limit(0)
+    begun = old.select("_key", F.col("start").alias("_since"), F.col("n").alias("_had"), F.col("rate").alias("_rate"))
+    key = rows.schema["_key"].dataType.simpleString()
+    step = adaptive_step(target, interval_ms, min_rate, max_rate)
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, now = None, None
+        for batch in batches:
+            rates, held = [], []
+            for own, start, n, since, had, rate_then in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
+                if own != last or now is None:
+                    last, now = own, [since, had, rate_then] if since is not None else [0, 0, 1.0]
+                if start == now[0]:  # the interval that the key is in goes on
+                    now[1] += n
+                else:
+                    step(now, start)
+                    now[1] = n
+                rates.append(now[2])
+                held.append(now[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.int64()), pa.array(rates, pa.float64())], ["_key", "start", "n", "rate"])
+
+    along = counts.join(begun, "_key", "left").repartition("_key").sortWithinPartitions("_key", "start").select("_key", "start", "n", "_since", "_had", "_rate")
+    rates = along.mapInArrow(rated, f"_key {key}, start long, n long, rate double")
+    found = windows_of(rows, "_in", rates, interval_ms, "rate").select(*df.columns, F.coalesce("rate", F.lit(1.0)).alias("rate"))
+    now = rates.union(old.select("_key", "start", "n", "rate")).groupBy("_key").agg(F.max(F.struct("start", "n", "rate")).alias("_w")).select("_key", "_w.start", "_w.n", "_w.rate")
+    return found.withColumn("accepted", draw(F.col(id_column)) < F.floor(F.col("rate") * TWO32)), now
+
+
 @dataclass(frozen=True)
 class Sampler:
     """``strategy``: none, probability, rate_limit, every_n or adaptive."""
