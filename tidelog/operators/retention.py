@@ -79,8 +79,9 @@ def should_compress(path: Column, size: Column, mode: str, extension: str = ".gz
     return fresh if mode == "always" else fresh & (size >= threshold)
 
 
-def size_index(df: DataFrame, size: str, limit: int, order: Sequence[str], key_by: Sequence[str] = (), hot_keys: bool = False) -> DataFrame:
-    """Add ``file_index``: a record starts a new file if the current one has reached ``limit`` before it is written.
+def size_index(df: DataFrame, size: str, limit: int, order: Sequence[str], key_by: Sequence[str] = (), hot_keys: bool = False, held: Column | None = None) -> DataFrame:
+    """Add ``file_index``: a record starts a new file if the current one has reached ``limit`` before it is written. ``held``: the bytes
+    that a key's current file has already (chains only).
 
     ``key_by``: each key has its own files. With keys that all have moderately many records, one fold. Without keys, or with
     ``hot_keys``, a file starts where the bytes written before are at least ``limit`` beyond the last one's: a chain of windows
@@ -98,6 +99,8 @@ def size_index(df: DataFrame, size: str, limit: int, order: Sequence[str], key_b
         return fold(df, size, key_by, order, "file_index long", lambda: [0, 0], step)
     rows = df.withColumns({"_key": key_of(key_by), "_amount": F.coalesce(F.col(size).cast("long"), F.lit(0))})
     summed = sums_before(rows, "_amount", order, BUCKET_MS, "_written")
+    if held is not None:
+        summed = summed.withColumn("_written", F.col("_written") + held)
     starts = window_starts(summed.select("_key", "_written"), "_written", limit)
     numbered = starts.withColumn("_number", F.row_number().over(Window.partitionBy("_key").orderBy("start")).cast("long"))
     placed = windows_of(summed, "_written", numbered, limit, "_number")
