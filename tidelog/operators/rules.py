@@ -165,6 +165,7 @@ class Rules:
 
     rules: list[Rule] = field(default_factory=list)
     most: int = 1000
+    enabled: bool = True
 
     def add(self, rule: Rule) -> None:
         if self.has(rule.id):
@@ -211,6 +212,8 @@ class Rules:
         one row for all such rules, which goes back into the expression. That runs what is upstream once more; write or
         persist it first if it is costly. On a stream a state remembers which rules have fired.
         """
+        if not self.enabled:
+            return df.withColumns({f"_rule_{k}": F.lit(False) for k in range(len(self.rules))}) if self.rules else df
         if df.isStreaming:
             tested = df.withColumns({f"_rule_{k}": F.coalesce(r.predicate(df.columns), F.lit(False)) for k, r in enumerate(self.rules)}) if self.rules else df
             once = [f"_rule_{k}" for k, r in enumerate(self.rules) if r.once]
@@ -258,28 +261,76 @@ class Rules:
         return self._tested(df, time, id_column).select(*df.columns, self._ids().alias("rule_ids"), found.alias("rule_messages"))
 
     def stats(self, df: DataFrame, time: str = "ts_ms", id_column: str = "event_id") -> DataFrame:
+        """One row; ``skipped``: the records that a registry which is switched off hasn't looked at."""
         out = self.evaluate(df, time, id_column)
-        evaluated, matched = F.count(F.lit(1)), F.coalesce(F.sum(F.size("rule_ids")), F.lit(0))
+        n = F.count(F.lit(1))
+        none = F.lit(0).cast("long")
+        evaluated, skipped = (n, none) if self.enabled else (none, n)
+        matched = F.coalesce(F.sum(F.size("rule_ids")), F.lit(0))
         emitted = F.coalesce(F.sum(F.coalesce(F.size("rule_messages"), F.lit(0))), F.lit(0))
         out = out.withColumn("rule_messages", F.coalesce("rule_messages", F.array().cast(f"array<{RULE_MESSAGE.simpleString()}>")))
-        return out.agg(evaluated.alias("evaluated"), matched.alias("matched"), emitted.alias("messages_emitted"), rate(matched, evaluated).alias("match_rate"))
+        return out.agg(evaluated.alias("evaluated"), matched.alias("matched"), emitted.alias("messages_emitted"), skipped.alias("skipped"), rate(matched, evaluated).alias("match_rate"))
+
+
+#: Characters of the pieces by which a rule's text is looked up.
+PIECE = 3
 
 
-def match_table(records: DataFrame, rules: DataFrame, id_column: str = "event_id") -> DataFrame:
+def pieces(text: Column, size: int = PIECE) -> Column:
+    """The distinct runs of ``size`` characters of a text; linear in its length."""
+    letters = F.split(text, "")
+    runs = letters
+    for k in range(1, size):  # each letter with the k-th one behind it; null where there is none
+        runs = F.zip_with(runs, F.slice(letters, k + 1, F.length(text)), lambda run, letter: F.concat(run, letter))
+    whole = F.filter(runs, lambda run: F.length(run) == size)
+    return F.array_distinct(F.coalesce(F.when(F.length(text) >= size, whole), F.array().cast("array<string>")))
+
+
+def match_table(records: DataFrame, rules: DataFrame, id_column: str = "event_id", size: int = PIECE) -> DataFrame:
     """(id, rule_id) pairs for rules in a table (id, enabled, level_min, level_max, module, function, message_contains).
 
-    A theta join; Spark sends the rules to all tasks only where it finds the table small.
+    However many rules there are, records meet theirs by equality, and what else a rule asks for is tested after. A rule with a text of at
+    least ``size`` characters is looked up by that piece of its text which the fewest records have; a message has a piece of itself
+    for each place. Other rules go by module, by function, or by each of the priorities that there are. Null fields of a rule ask for
+    nothing; a null field of a record fails what is asked.
     """
     r = rules.where("enabled").select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
-    has_function = F.col("function") if "function" in records.columns else F.lit(None).cast("string")
+    function = F.col("function") if "function" in records.columns else F.lit(None).cast("string")
+    rows = records.select(F.col(id_column), F.col("priority"), F.col("module"), function.alias("function"), F.col("message"))
     held = (
         (F.col("r_level_min").isNull() | (F.col("priority") >= F.col("r_level_min")))
         & (F.col("r_level_max").isNull() | (F.col("priority") <= F.col("r_level_max")))
         & (F.col("r_module").isNull() | F.coalesce(F.col("module") == F.col("r_module"), F.lit(False)))
-        & (F.col("r_function").isNull() | F.coalesce(has_function == F.col("r_function"), F.lit(False)))
+        & (F.col("r_function").isNull() | F.coalesce(F.col("function") == F.col("r_function"), F.lit(False)))
         & (F.col("r_message_contains").isNull() | F.contains("message", "r_message_contains"))
     )
-    return records.join(r, held).select(id_column, F.col("r_id").alias("rule_id"))
+    kind = F.when(F.length("r_message_contains") >= size, "text").when(F.col("r_module").isNotNull(), "module").when(F.col("r_function").isNotNull(), "function").otherwise("level")
+    r = r.withColumn("r_kind", kind)
+    kinds = {k["r_kind"] for k in r.select("r_kind").distinct().collect()}
+    found = []
+    if "text" in kinds:
+        cut = rows.where("message IS NOT NULL").withColumn("piece", F.explode(pieces(F.col("message"), size)))
+        mine = r.where("r_kind = 'text'").withColumns({"r_rule": F.struct(*[c for c in r.columns]), "piece": F.explode(pieces(F.col("r_message_contains"), size))})
+        wanted = mine.select("piece").distinct()
+        often = cut.select("piece").join(wanted, "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+        rarest = mine.join(often, "piece", "left").groupBy("r_rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best"))
+        # a rule whose rarest piece no record has matches none
+        found.append(cut.join(rarest.where("best.n > 0").select("r_rule.*", F.col("best.piece").alias("piece")), "piece"))
+    found += [rows.join(r.where(F.col("r_kind") == k), F.col(k) == F.col(f"r_{k}")) for k in ("module", "function") if k in kinds]
+    if "level" in kinds:
+        there = sorted(p["priority"] for p in rows.select("priority").where("priority IS NOT NULL").distinct().collect())  # levels: a few numbers
+        all_of = F.array(*[F.lit(p) for p in there]).cast("array<int>")
+        own = F.filter(all_of, lambda p: F.coalesce(p >= F.col("r_level_min"), F.lit(True)) & F.coalesce(p <= F.col("r_level_max"), F.lit(True)))
+        free = F.col("r_level_min").isNull() & F.col("r_level_max").isNull()
+        by_level = r.where("r_kind = 'level'").withColumn("r_priority", F.explode(F.concat(F.transform(own, lambda p: p.cast("string")), F.when(free, F.array(F.lit("none"))).otherwise(F.array().cast("array<string>")))))
+        found.append(rows.join(by_level, F.coalesce(F.col("priority").cast("string"), F.lit("none")) == F.col("r_priority")))
+    if not found:
+        return rows.select(id_column, F.lit(None).cast(rules.schema["id"].dataType).alias("rule_id")).limit(0)
+    out = None
+    for pairs in found:
+        kept = pairs.where(held).select(id_column, F.col("r_id").alias("rule_id"))
+        out = kept if out is None else out.union(kept)
+    return out
 
 
 def _prefix(m: Column, ascii_only: bool) -> Column:

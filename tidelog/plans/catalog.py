@@ -5,6 +5,9 @@ A query runs over whole tables. An entry is ``@query("SQL")`` over a function (s
 
 from __future__ import annotations
 
+import socket
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +18,8 @@ from tidelog.operators import enrich, metrics, retention, rules, sampling, sinks
 from tidelog.operators import spans as span_ops
 from tidelog.operators.filters import Filter, SinkFilter, level_gate
 from tidelog.plans.pipeline import LogPipeline
-from tidelog.sources import adapters, records
-from tidelog.streaming import stateful, windows
+from tidelog.sources import adapters, network, receivers, records
+from tidelog.streaming import carried, rotating, stateful, windows
 from tidelog.streaming.workspace import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -425,7 +428,31 @@ def rules_json(spark, sf_dir):
     return RULES.evaluate(events(spark, sf_dir)).where("rule_messages IS NOT NULL").select("event_id", rules.render_json(F.col("rule_messages")).alias("js"))
 
 
-@query(_ev(_MESSAGES + " SELECT (SELECT COUNT(*) FROM logs) AS evaluated, (SELECT COUNT(*) FROM matches) AS matched, (SELECT COUNT(*) FROM msgs) AS messages_emitted, (SELECT COUNT(*) FROM matches) / (SELECT COUNT(*) FROM logs)::DOUBLE AS match_rate"))
+@query(_ev("SELECT CAST(0 AS BIGINT) AS evaluated, CAST(0 AS BIGINT) AS matched, CAST(0 AS BIGINT) AS messages_emitted, COUNT(*) AS skipped, CAST(0 AS DOUBLE) AS match_rate FROM logs"))
+def rules_stats_off(spark, sf_dir):
+    """A registry that is switched off."""
+    return rules.Rules(list(RULES.rules), enabled=False).stats(events(spark, sf_dir))
+
+
+#: A rule for each order: its number in the text, and by its priority a least level or a module.
+_ORDER_RULES = """r AS (SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 30 WHEN '2-HIGH' THEN 40 END AS level_min, CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'ship.' || o_orderstatus END AS module FROM orders)"""
+
+
+@query(
+    f"WITH {_ORDER_RULES}, logs AS (SELECT l_orderkey * 10 + l_linenumber AS event_id, l_orderkey, CASE l_returnflag WHEN 'R' THEN 30 WHEN 'A' THEN 40 ELSE 20 END AS priority, 'ship.' || l_linestatus AS module FROM lineitem)"
+    " SELECT event_id, r.id AS rule_id FROM logs JOIN r ON r.id = logs.l_orderkey WHERE priority >= coalesce(level_min, 0) AND logs.module = coalesce(r.module, logs.module)"
+)
+def rules_match_orders(spark, sf_dir):
+    """As many rules as there are orders over all line items; a message begins with ``order <number> ``."""
+    p = F.col("o_orderpriority")
+    known = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.lit(True).alias("enabled"), F.when(p == "1-URGENT", 30).when(p == "2-HIGH", 40).alias("level_min"), F.lit(None).cast("int").alias("level_max"),
+        F.when(p == "3-MEDIUM", F.concat(F.lit("ship."), "o_orderstatus")).alias("module"), F.lit(None).cast("string").alias("function"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" ")).alias("message_contains"),
+    )
+    return rules.match_table(adapters.lineitem(table(spark, sf_dir, "lineitem")), known)
+
+
+@query(_ev(_MESSAGES + " SELECT (SELECT COUNT(*) FROM logs) AS evaluated, (SELECT COUNT(*) FROM matches) AS matched, (SELECT COUNT(*) FROM msgs) AS messages_emitted, CAST(0 AS BIGINT) AS skipped, (SELECT COUNT(*) FROM matches) / (SELECT COUNT(*) FROM logs)::DOUBLE AS match_rate"))
 def rules_stats(spark, sf_dir):
     return RULES.stats(events(spark, sf_dir))
 
@@ -1100,6 +1127,127 @@ def stream_once(spark, sf_dir):
     return _drained(spark, stateful.once(_stream(spark, sf_dir).select("event_id", "ts_ms", "event_type"), ["event_type"], ["event_id"]))
 
 
+# --- streams that carry tables, and what sinks and sockets have written
+
+
+def _fresh(spark, label):
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _carried(spark, df, step):
+    base = _fresh(spark, "carried")
+    carried.start(df, f"{base}/out", f"{base}/check", step, "drain").awaitTermination()
+    return f"{base}/out"
+
+
+@query(ORACLES["sample_rate_limit_type"])
+def stream_rate_limit_type(spark, sf_dir):
+    """Hot keys: windows are chains in many tasks, and a few numbers a key go from batch to batch."""
+    rows = _stream(spark, sf_dir).select("event_id", "ts_ms", "event_type")
+    return carried.results(spark, _carried(spark, rows, carried.rate_limit(5, 3_600_000, ["event_type"], ["event_id"])))
+
+
+@query(_ADAPTIVE.replace("user_id", "event_type").replace(EV.replace("user_id", "event_type"), EV))
+def stream_adaptive_type(spark, sf_dir):
+    rows = _stream(spark, sf_dir).select("event_id", "ts_ms", "event_type")
+    return carried.results(spark, _carried(spark, rows, carried.adaptive(0.00003, ["event_type"], ["event_id"], interval_ms=DAY)))
+
+
+@query(ORACLES["full_pipeline"])
+def stream_carried_pipeline(spark, sf_dir):
+    """The whole pipeline; of a rule that fires once, one row a batch gets to what the batches carry."""
+    out = carried.results(spark, _carried(spark, _stream(spark, sf_dir), carried.pipeline(PIPELINE)))
+    at = lambda k: F.try_element_at("context", F.lit(k))
+    return out.select("event_id", "level", "message", at("env").alias("env"), at("k").alias("k"), F.greatest(F.coalesce(F.size("rule_messages"), F.lit(0)), F.lit(0)).alias("n_messages"))
+
+
+@query(ORACLES["metrics_history"])
+def stream_history(spark, sf_dir):
+    return carried.table(spark, _carried(spark, _stream(spark, sf_dir), carried.history(F.to_date("ts"), 7)), "snapshots").select("period", "records", "bytes")
+
+
+_LINE = f"'[' || {_TIME} || '] [' || level || '] [' || module || '] ' || message"
+_PAIRS = f"""'"timestamp" : "' || {_TIME} || '",' || chr(10) || '  "level" : "' || level || '",' || chr(10) || '  "message" : "' || message || '",' || chr(10) || '  "module" : "' || module || '"'"""
+
+
+@query(
+    f"WITH RECURSIVE {EV}, o AS (SELECT event_id || ' ' || message AS line, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts_ms, event_id) AS rn FROM logs),"
+    " w AS (SELECT day, rn, line, strlen(line) + 1 AS size, 0 AS n FROM o WHERE rn = 1 UNION ALL SELECT o.day, o.rn, o.line, CASE WHEN w.size >= 5000 THEN 0 ELSE w.size END + strlen(o.line) + 1, w.n + CAST(w.size >= 5000 AS INTEGER) FROM w JOIN o ON o.day = w.day AND o.rn = w.rn + 1),"
+    " f AS (SELECT line, dense_rank() OVER (ORDER BY day DESC, n DESC) - 1 AS back FROM w) SELECT CASE WHEN back = 0 THEN 'app.log' ELSE 'app.log.' || back || '.gz' END AS name, line AS value FROM f"
+)
+def stream_rotation(spark, sf_dir):
+    """Every line of the files that a stream has written: daily ones of 5,000 bytes, numbered from the newest, packed."""
+    base = _fresh(spark, "rotation")
+    rotation = rotating.Rotation(f"{base}/logs", limit=5_000, interval="daily", naming="index", archive=f"{base}/old", packed=True)
+    line = F.concat_ws(" ", F.col("event_id").cast("string"), "message")
+    rotating.start(_stream(spark, sf_dir), rotation, line, f"{base}/check", "drain").awaitTermination()
+    return rotating.read_lines(spark, rotation)
+
+
+@query(
+    _ev(
+        f"""SELECT 'text' AS sink, {_LINE} AS value FROM logs WHERE priority >= 20 UNION ALL SELECT 'json', '{{"timestamp":"' || {_TIME} || '","level":"' || level || '","message":"' || message || '","module":"' || module || '"}}' FROM logs
+    UNION ALL SELECT 'pretty', '{{' || chr(10) || '  ' || {_PAIRS} || chr(10) || '}}' FROM logs UNION ALL SELECT 'raw', message FROM logs UNION ALL SELECT 'table', message FROM logs UNION ALL SELECT 'daily', strftime(ts, '%Y-%m-%d') || {_LINE} FROM logs"""
+    )
+)
+def sink_files(spark, sf_dir):
+    """What file sinks have written, read back: text, packed JSON lines, pretty JSON, raw messages, a table, and folders by day under a root."""
+    e = events(spark, sf_dir).drop("context")
+    base = _fresh(spark, "sinks")
+    made = [
+        sinks.Sink("text", "text", f"{base}/text", takes=SinkFilter(level="INFO")),
+        sinks.Sink("json", "json", f"{base}/json", compression="gzip"),
+        sinks.Sink("pretty", "pretty_json", f"{base}/pretty", overwrite=True),
+        sinks.Sink("raw", "raw", "elsewhere/raw"),
+        sinks.Sink("table", "parquet", f"{base}/table"),
+        sinks.Sink("daily", "text", f"{base}/daily/{{date}}", most_records_per_file=1000),
+    ]
+    book = sinks.SinkSet([s for s in made if s.name != "raw"])
+    book.enable(book.add(sinks.Sink("off", "text", f"{base}/off")), False)
+    sinks.write_all(e, book.sinks, on_error="fail_fast")
+    sinks.write(e, made[3], root=base)  # of its path, the root takes the last part
+    out = None
+    for s in made:
+        back = sinks.read_back(spark, s, base if s.name == "raw" else None)
+        value = F.col("message") if s.name == "table" else F.concat("date", "value") if s.name == "daily" else F.col("value")
+        shown = back.select(F.lit(s.name).alias("sink"), value.alias("value"))
+        out = shown if out is None else out.union(shown)
+    return out
+
+
+def _through_tcp(spark, sf_dir):
+    """Events sent to a TCP receiver that runs on an executor: (the receiver's spool, the sender's counts)."""
+    base = _fresh(spark, "network")
+    with socket.socket() as s:
+        s.bind(("", 0))
+        port = s.getsockname()[1]
+    e = events(spark, sf_dir).drop("context")
+    with receivers.Receivers(spark, f"{base}/spool", [receivers.Port("tcp", port)]) as running:
+        host = running.addresses()[port].rpartition(":")[0]
+        sinks.write(e, sinks.Sink("net", "tcp", host=host, port=port, stats=f"{base}/stats"))
+        sent = network.sent_stats(spark, f"{base}/stats").agg(F.sum("lines")).first()[0]
+        until = time.monotonic() + 60
+        while time.monotonic() < until and (receivers.network_stats(spark, f"{base}/spool").agg(F.sum("messages_received")).first()[0] or 0) < sent:
+            time.sleep(0.2)
+    return f"{base}/spool", f"{base}/stats"
+
+
+@query(_ev(f"SELECT {_LINE} AS value FROM logs"))
+def network_round_trip(spark, sf_dir):
+    """Lines that a TCP sink sends, a receiver spools, and a stream reads."""
+    spool, _ = _through_tcp(spark, sf_dir)
+    return _drained(spark, receivers.stream(spark, spool, "drain").select("value"))
+
+
+@query(_ev(f"SELECT COUNT(*) AS lines, CAST(SUM(strlen({_LINE}) + 1) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS errors, COUNT(*) AS messages_received, CAST(SUM(strlen({_LINE}) + 1) AS BIGINT) AS bytes_received, CAST(0 AS BIGINT) AS receive_errors FROM logs"))
+def network_counts(spark, sf_dir):
+    """What the sender has counted, beside what the receiver has."""
+    spool, stats = _through_tcp(spark, sf_dir)
+    sent = network.sent_stats(spark, stats).agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"), F.sum("errors").alias("errors")).withColumn("one", F.lit(1))
+    got = receivers.network_stats(spark, spool).agg(F.sum("messages_received").alias("messages_received"), F.sum("bytes_received").alias("bytes_received"), F.sum("errors").alias("receive_errors")).withColumn("one", F.lit(1))
+    return sent.join(got, "one").drop("one")
+
+
 @query(_ev("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, level, COUNT(*) AS records, CAST(SUM(strlen(message)) AS BIGINT) AS bytes FROM logs GROUP BY ALL"))
 def windowed_levels(spark, sf_dir):
     """Tumbling windows over a batch; the stream below leaves out what its last watermark hasn't closed."""
