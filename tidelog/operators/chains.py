@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.blocks import in_blocks
+
 #: The values of a block, at most, unless one stretch has more; values up to which a block is worked out without arrays.
 BLOCK_VALUES, SMALL_BLOCK = 1_000_000, 64
 
@@ -132,16 +134,15 @@ def _kind(starts: DataFrame, payload: Sequence[str]) -> str:
     return starts.select(F.struct("start", *payload).alias("s")).schema["s"].dataType.simpleString()
 
 
-def sums_before(records: DataFrame, amount: str, order: Sequence[str], bucket: int, out: str) -> DataFrame:
+def sums_before(records: DataFrame, amount: str, order: Sequence[str], out: str, blocks: int | None = None) -> DataFrame:
     """Add the sum of a key's amounts before each record (0 for the first). ``records``: _key, and what is named.
 
-    Records are summed inside buckets of the first column of ``order``; each bucket starts where the earlier ones' sums end.
+    Records are summed inside ordered blocks (see ``blocks``); each block starts where the earlier ones' sums end.
     """
-    bucketed = records.withColumn("_bucket", F.floor(F.col(order[0]) / bucket))
-    totals = bucketed.groupBy("_key", "_bucket").agg(F.sum(amount).alias("_sum"))
-    earlier = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    begun = totals.select(F.col("_key").alias("_of_key"), F.col("_bucket").alias("_of"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_begun"))
-    inside = Window.partitionBy("_key", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = bucketed.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    joined = summed.join(begun, (F.col("_key") == F.col("_of_key")) & F.col("_bucket").eqNullSafe(F.col("_of")))
-    return joined.withColumn(out, (F.col("_begun") + F.col("_inside")).cast("long")).select(*records.columns, out)
+    placed = in_blocks(records, ["_key", *order], blocks)
+    totals = placed.groupBy("_key", "_block").agg(F.sum(amount).alias("_sum"))
+    earlier = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    begun = totals.select("_key", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_begun"))
+    inside = Window.partitionBy("_key", "_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return summed.join(begun, ["_key", "_block"]).withColumn(out, (F.col("_begun") + F.col("_inside")).cast("long")).select(*records.columns, out)

@@ -7,15 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.blocks import in_blocks
 from tidelog.operators.chains import key_of, sums_before, window_starts, windows_of
 
 #: Rotation intervals in seconds; a month has 30 days and a year 365.
 INTERVALS = {"minutely": 60, "hourly": 3_600, "daily": 86_400, "weekly": 604_800, "monthly": 2_592_000, "yearly": 31_536_000}
 
-#: Files are ranked inside time buckets of this length.
-BUCKET_MS = 60_000
-
-
 def default_naming(interval: str | None) -> str:
     return "date" if interval in ("daily", "weekly", "monthly", "yearly") else "timestamp"
 
@@ -98,7 +95,7 @@ def size_index(df: DataFrame, size: str, limit: int, order: Sequence[str], key_b
 
         return fold(df, size, key_by, order, "file_index long", lambda: [0, 0], step)
     rows = df.withColumns({"_key": key_of(key_by), "_amount": F.coalesce(F.col(size).cast("long"), F.lit(0))})
-    summed = sums_before(rows, "_amount", order, BUCKET_MS, "_written")
+    summed = sums_before(rows, "_amount", order, "_written")
     if held is not None:
         summed = summed.withColumn("_written", F.col("_written") + held)
     starts = window_starts(summed.select("_key", "_written"), "_written", limit)
@@ -115,16 +112,16 @@ def retain(files: DataFrame, max_age: int | None, keep: int | None) -> DataFrame
     return out
 
 
-def clean_up(files: DataFrame, pattern: str | None = None, max_age: int | None = None, max_files: int | None = None, max_total_size: int | None = None) -> DataFrame:
+def clean_up(files: DataFrame, pattern: str | None = None, max_age: int | None = None, max_files: int | None = None, max_total_size: int | None = None, blocks: int | None = None) -> DataFrame:
     """Add ``deleted`` (null: stays) to the files that match: age, max_files or max_total_size, in this order, oldest first.
 
-    Files are ranked and summed inside time buckets; each bucket starts where the newer ones' counts and sizes end. Only the
-    table of buckets, at most two rows for each minute that has files, is summed up in one task.
+    Files are ranked and summed inside ordered blocks (see ``blocks``); each block starts where the newer ones' counts and sizes end. Only
+    the table of blocks is summed up in one task.
     """
     out = files.where(glob(F.col("name"), pattern)) if pattern else files
     columns = out.columns
     old = F.col("age") > max_age if max_age is not None else F.lit(False)
-    out = out.withColumns({"_old": old, "_bucket": F.floor(F.col("mtime") / BUCKET_MS)})
+    out = in_blocks(out.withColumn("_old", old), ["_old", "mtime", "name"], blocks).withColumnRenamed("_block", "_bucket")
     buckets = out.groupBy("_old", "_bucket").agg(F.count(F.lit(1)).alias("_files"), F.sum("size").alias("_size"))
     newer = Window.partitionBy("_old").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select(F.col("_old").alias("_of_old"), F.col("_bucket").alias("_of"), F.sum("_files").over(newer).alias("_files"), F.sum("_size").over(newer).alias("_size"))

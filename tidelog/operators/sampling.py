@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.scalars import rate
+from tidelog.operators.blocks import ranked
 from tidelog.operators.chains import key_of, window_starts, windows_of
 
 TWO32 = 4_294_967_296
@@ -56,23 +57,9 @@ def _order(time: str, id_column: str) -> list[str]:
     return [time, id_column]
 
 
-#: Records of so many milliseconds are ranked together where all records have one order.
-BUCKET_MS = 60_000
-
-
-def overall_rank(df: DataFrame, time: str, id_column: str, out: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """Number all records from 1 by (time, id), without one task for all of them.
-
-    Records are ranked inside time buckets; each bucket starts where the counts of the earlier ones end. Only the table of
-    buckets, a row for each minute that has records, is summed up in one task.
-    """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(time) / bucket_ms))
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    starts = counts.select(F.col("_bucket").alias("_of"), before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*_order(time, id_column)))
-    ranked = bucketed.withColumn("_inside", inside).join(starts, F.col("_bucket").eqNullSafe(F.col("_of")))
-    return ranked.withColumn(out, F.col("_before") + F.col("_inside")).select(*df.columns, out)
+def overall_rank(df: DataFrame, time: str, id_column: str, out: str, blocks: int | None = None) -> DataFrame:
+    """Number all records from 1 by (time, id), in ordered blocks that follow the density of the data: also where all have one time."""
+    return ranked(df, _order(time, id_column), out, blocks)
 
 
 def flag_every_n(df: DataFrame, n: int, time: str, id_column: str, key_by: Sequence[str] = ()) -> DataFrame:
@@ -272,16 +259,18 @@ def adaptive_batch(df: DataFrame, target: float, time: str, id_column: str, key_
 
 @dataclass(frozen=True)
 class Sampler:
-    """``strategy``: none, probability, rate_limit, every_n or adaptive."""
+    """``strategy``: none, probability, rate_limit, every_n or adaptive. ``hot_keys``: rate limits and adaptive rates of keys that may have very
+    many records (see ``flag_rate_limit``)."""
 
     strategy: str = "none"
     options: tuple[tuple[str, object], ...] = ()
     key_by: tuple[str, ...] = ()
+    hot_keys: bool = False
 
     @staticmethod
-    def preset(name: str, key_by: Sequence[str] = ()) -> Sampler:
+    def preset(name: str, key_by: Sequence[str] = (), hot_keys: bool = False) -> Sampler:
         strategy, options = PRESETS[name]
-        return Sampler(strategy, tuple(options.items()), tuple(key_by))
+        return Sampler(strategy, tuple(options.items()), tuple(key_by), hot_keys)
 
     def flag(self, df: DataFrame, time: str = "ts_ms", id_column: str = "event_id") -> DataFrame:
         """Add ``accepted`` and ``reject_reason`` (null if accepted)."""
@@ -293,9 +282,9 @@ class Sampler:
         elif self.strategy == "every_n":
             out = flag_every_n(df, o["n"], time, id_column, self.key_by)
         elif self.strategy == "rate_limit":
-            out = flag_rate_limit(df, o["most"], o["window_ms"], time, id_column, self.key_by)
+            out = flag_rate_limit(df, o["most"], o["window_ms"], time, id_column, self.key_by, self.hot_keys)
         elif self.strategy == "adaptive":
-            out = with_adaptive_rate(df, time=time, id_column=id_column, key_by=self.key_by, **o)
+            out = with_adaptive_rate(df, time=time, id_column=id_column, key_by=self.key_by, hot_keys=self.hot_keys, **o)
         else:
             raise ValueError(f"unknown strategy {self.strategy!r}")
         reason = {"probability": "probability_filter", "rate_limit": "rate_limit_exceeded", "every_n": "every_n_filter", "adaptive": "adaptive_rate_limit"}.get(self.strategy)

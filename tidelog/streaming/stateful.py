@@ -2,7 +2,12 @@
 
 They take rows in order of (time, id) within each micro-batch, so a stream whose batches follow in time gives what the
 batch operators give. State is a few numbers for each key, in RocksDB. A key's rows of one micro-batch are sorted in one
-task, so bound micro-batches by bytes, as ``windows.PRESETS`` do; only order, id and kept columns get there.
+task, so bound micro-batches by bytes, as ``windows.PRESETS`` do; only order, id and kept columns get there. For keys that may have most
+of the rows there is ``carried``.
+
+A rate limit's state ends: with ``late``, a watermark, an event-time timer removes a key when its window is over, and its next
+record starts a window anyhow, so results stay the same for records that aren't later than that. The states of adaptive rates, every-N and
+once are a key's whole past, and stay.
 """
 
 from __future__ import annotations
@@ -23,10 +28,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class _Fold(StatefulProcessor):
     """The state machine ``step(state, ms)`` over each key's rows."""
 
-    def __init__(self, fields: str, start: tuple, step: Callable, added: Sequence[str], order: Sequence[str], keep: Sequence[str]):
-        self.fields, self.start, self.step, self.added, self.order, self.keep = fields, start, step, list(added), list(order), list(keep)
+    def __init__(self, fields: str, start: tuple, step: Callable, added: Sequence[str], order: Sequence[str], keep: Sequence[str], lasts_ms: int | None = None):
+        self.fields, self.start, self.step, self.added, self.order, self.keep, self.lasts_ms = fields, start, step, list(added), list(order), list(keep), lasts_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", self.fields)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
@@ -35,8 +41,16 @@ class _Fold(StatefulProcessor):
         frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         made = [self.step(state, ms) for ms in frame[self.order[0]].tolist()]
         self.state.update(tuple(state))
+        if self.lasts_ms is not None:  # the state's first number is when its window began
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(state[0] + self.lasts_ms)
         yield frame[self.keep].assign(**{n: [m[i] for m in made] for i, n in enumerate(self.added)})
 
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
@@ -45,12 +59,16 @@ def _stateful(df: DataFrame, key_by: Sequence[str], added: str, processor: _Fold
     if df.isStreaming:
         df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     out = StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(added).fields])
-    return df.groupBy(*key_by).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="None")
+    return df.groupBy(*key_by).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="None" if processor.lasts_ms is None else "EventTime")
 
 
-def rate_limit(df: DataFrame, most: int, window_ms: int, key_by: Sequence[str], keep: Sequence[str], time: str = "ts_ms", id_column: str = "event_id") -> DataFrame:
-    """Add ``accepted``; see ``sampling.flag_rate_limit``."""
-    return _stateful(df, key_by, "accepted boolean", _Fold("start long, n long", (0, 0), rate_limit_step(most, window_ms), ["accepted"], [time, id_column], keep), keep)
+def rate_limit(df: DataFrame, most: int, window_ms: int, key_by: Sequence[str], keep: Sequence[str], time: str = "ts_ms", id_column: str = "event_id", late: str | None = None) -> DataFrame:
+    """Add ``accepted``; see ``sampling.flag_rate_limit``. ``late``: how late records may be; then a key's state ends with its window. Later
+    ones are left out, as behind any watermark."""
+    if late is not None:
+        df = df.withColumn("at_watermark", F.timestamp_millis(time)).withWatermark("at_watermark", late)
+    fold = _Fold("start long, n long", (0, 0), rate_limit_step(most, window_ms), ["accepted"], [time, id_column], keep, window_ms if late is not None else None)
+    return _stateful(df, key_by, "accepted boolean", fold, keep)
 
 
 def adaptive(df: DataFrame, target: float, key_by: Sequence[str], keep: Sequence[str], interval_ms: int = 1000, min_rate: float = 0.01, max_rate: float = 1.0, time: str = "ts_ms", id_column: str = "event_id") -> DataFrame:
