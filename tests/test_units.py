@@ -227,7 +227,8 @@ def test_records(spark):
     assert [(r.level, r.custom_level_name, r.priority) for r in made.collect()] == [("WARNING", None, 30), ("INFO", "AUDIT", 35)]
     with pytest.raises(records.InvalidLevel):
         records.record("loud", "x")
-    assert records.diagnostics(spark).first().context["diag.cores"]
+    facts = records.diagnostics(spark).first().context
+    assert facts["diag.cores"] and int(facts["diag.ram_total_mb"]) > 0 and int(facts["diag.drive.0.total_bytes"]) > 0
 
 
 def test_sinks(spark, tmp_path):

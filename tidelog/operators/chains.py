@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidelog.operators.blocks import in_blocks
 
 #: The values of a block, at most, unless one stretch has more; values up to which a block is worked out without arrays.
-BLOCK_VALUES, SMALL_BLOCK = 1_000_000, 64
+BLOCK_VALUES, SMALL_BLOCK = 100_000, 64
 
 
 def key_of(key_by: Sequence[str]) -> Column:
@@ -40,12 +40,32 @@ def _list_array(lists: list) -> pa.Array:
     return pa.array(lists, pa.list_(pa.int64()))
 
 
-def steps(values: list[int], begin: int, width: int) -> tuple[list[int], list[int]]:
+def _arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of a column, one after the other, as views of its buffer."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    for low, high in zip(offsets[:-1], offsets[1:], strict=True):
+        yield values[low:high]
+
+
+def starts_from(values: np.ndarray, entry: int, width: int) -> list[int]:
+    """The windows' starts among sorted ``values``, from ``entry`` on."""
+    if len(values) <= SMALL_BLOCK:
+        values, find = values.tolist(), lambda x, low: bisect_left(values, x, low)
+    else:
+        find = lambda x, low: low + int(np.searchsorted(values[low:], x))
+    starts, at = [], find(entry, 0)
+    while at < len(values):
+        starts.append(int(values[at]))
+        at = find(starts[-1] + width, at)
+    return starts
+
+
+def steps(values: np.ndarray, begin: int, width: int) -> tuple[list[int], list[int]]:
     """(upto, exit) of a block that begins at ``begin``: if the next window may start from x on, and x is at most ``upto``,
     the block's last window starts at ``exit``."""
     n = len(values)
     if n <= SMALL_BLOCK:  # most blocks of keys with few records
-        return _few_steps(values, begin, width)
+        return _few_steps(np.asarray(values).tolist(), begin, width)
     values = np.asarray(values)
     following = np.searchsorted(values, values + width)
     last = np.arange(n)
@@ -84,7 +104,7 @@ def window_starts(values: DataFrame, value: str, width: int) -> DataFrame:
 
     def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [steps(v, b * length, width) for v, b in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            made = [steps(v, b * length, width) for v, b in zip(_arrays(batch.column(2)), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _list_array([u for u, _ in made]), _list_array([e for _, e in made])], ["_key", "_block", "upto", "exit"])
 
     def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,13 +122,7 @@ def window_starts(values: DataFrame, value: str, width: int) -> DataFrame:
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v, entry in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                starts, at = [], bisect_left(v, entry)
-                while at < len(v):
-                    starts.append(v[at])
-                    at = bisect_left(v, v[at] + width, at)
-                out.append(starts)
+            out = [starts_from(v, entry, width) for v, entry in zip(_arrays(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _list_array(out)], ["_key", "starts"])
 
     functions = blocks.mapInArrow(stepped, f"_key {key}, _block long, upto array<long>, exit array<long>")

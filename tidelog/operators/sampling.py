@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.scalars import rate
-from tidelog.operators.blocks import ranked
+from tidelog.operators.blocks import ranked, written
 from tidelog.operators.chains import key_of, window_starts, windows_of
 
 TWO32 = 4_294_967_296
@@ -70,6 +70,24 @@ def flag_every_n(df: DataFrame, n: int, time: str, id_column: str, key_by: Seque
     return df.withColumn("accepted", place % n == 0)
 
 
+#: Rows of a key from which on ``hot_keys=None`` makes it a chain.
+HOT_ROWS = 1_000_000
+
+
+def by_heat(df: DataFrame, key_by: Sequence[str], make: Callable[[DataFrame, bool], DataFrame], rows: int | None = None) -> DataFrame:
+    """``make(records, hot)`` over the keys with at most ``rows`` records and over the others, in one result. One aggregate finds the hot
+    keys; without any, records go one way only."""
+    columns = [f"_key_{k}" for k in range(len(key_by))]
+    counts = df.groupBy(*[F.col(c).alias(n) for c, n in zip(key_by, columns, strict=True)]).agg(F.count(F.lit(1)).alias("_n"))
+    hot = written(counts.where(F.col("_n") > (HOT_ROWS if rows is None else rows)).select(*columns), "hot-keys")
+    if hot.isEmpty():
+        return make(df, False)
+    same = F.lit(True)
+    for c, n in zip(key_by, columns, strict=True):
+        same = same & df[c].eqNullSafe(hot[n])
+    return make(df.join(hot, same, "left_anti"), False).unionByName(make(df.join(hot, same, "left_semi"), True))
+
+
 def fold(df: DataFrame, value: str, key_by: Sequence[str], order: Sequence[str], schema: str, start: Callable[[], object], step: Callable) -> DataFrame:
     """Run a state machine over each key's records in order; ``step(state, value)`` gives the added columns of a record.
 
@@ -123,11 +141,13 @@ def _keyed(df: DataFrame, time: str, id_column: str, key_by: Sequence[str]) -> D
     return df.withColumns({"_key": key_of(key_by), "_at": F.greatest(F.coalesce(F.col(time).cast("long"), F.lit(0)), F.lit(0)), "_id": F.col(id_column)})
 
 
-def flag_rate_limit(df: DataFrame, most: int, window_ms: int, time: str, id_column: str, key_by: Sequence[str] = (), hot_keys: bool = False) -> DataFrame:
-    """Add ``accepted``: the first ``most`` records of each window.
+def flag_rate_limit(df: DataFrame, most: int, window_ms: int, time: str, id_column: str, key_by: Sequence[str] = (), hot_keys: bool | None = False) -> DataFrame:
+    """Add ``accepted``: the first ``most`` records of each window. ``hot_keys=None``: each key the way that its number of records asks for.
 
     With keys that all have moderately many records, one fold. Without keys, or with ``hot_keys``, key, time and id go through the windows and give each one's last accepted record; whole records meet these in one join.
     """
+    if key_by and hot_keys is None:
+        return by_heat(df, key_by, lambda rows, hot: flag_rate_limit(rows, most, window_ms, time, id_column, key_by, hot))
     if key_by and not hot_keys:
         return fold(df, time, key_by, _order(time, id_column), "accepted boolean", lambda: [0, 0], rate_limit_step(most, window_ms))
     rows = _keyed(df, time, id_column, key_by)
@@ -153,12 +173,15 @@ def adaptive_step(target: float, interval_ms: int, min_rate: float, max_rate: fl
     return step
 
 
-def with_adaptive_rate(df: DataFrame, target: float, time: str, id_column: str, key_by: Sequence[str] = (), interval_ms: int = 1000, min_rate: float = 0.01, max_rate: float = 1.0, hot_keys: bool = False) -> DataFrame:
-    """Add ``rate`` and ``accepted`` (the record's draw is below the rate).
+def with_adaptive_rate(df: DataFrame, target: float, time: str, id_column: str, key_by: Sequence[str] = (), interval_ms: int = 1000, min_rate: float = 0.01, max_rate: float = 1.0, hot_keys: bool | None = False) -> DataFrame:
+    """Add ``rate`` and ``accepted`` (the record's draw is below the rate). ``hot_keys=None``: each key the way that its number of records asks
+    for.
 
     With keys that all have moderately many records, one fold. Without keys, or with ``hot_keys``, intervals are windows, and
     only their counts, a row for each key and interval, go through one task a key.
     """
+    if key_by and hot_keys is None:
+        return by_heat(df, key_by, lambda rows, hot: with_adaptive_rate(rows, target, time, id_column, key_by, interval_ms, min_rate, max_rate, hot))
     if key_by and not hot_keys:
         rated = fold(df, time, key_by, _order(time, id_column), "rate double", lambda: [0, 0, 1.0], adaptive_step(target, interval_ms, min_rate, max_rate))
         return rated.withColumn("accepted", draw(F.col(id_column)) < F.floor(F.col("rate") * TWO32))
@@ -259,16 +282,16 @@ def adaptive_batch(df: DataFrame, target: float, time: str, id_column: str, key_
 
 @dataclass(frozen=True)
 class Sampler:
-    """``strategy``: none, probability, rate_limit, every_n or adaptive. ``hot_keys``: rate limits and adaptive rates of keys that may have very
-    many records (see ``flag_rate_limit``)."""
+    """``strategy``: none, probability, rate_limit, every_n or adaptive. ``hot_keys``: how rate limits and adaptive rates go about keys
+    that may have very many records; None: the records of each key are counted first (see ``flag_rate_limit``)."""
 
     strategy: str = "none"
     options: tuple[tuple[str, object], ...] = ()
     key_by: tuple[str, ...] = ()
-    hot_keys: bool = False
+    hot_keys: bool | None = None
 
     @staticmethod
-    def preset(name: str, key_by: Sequence[str] = (), hot_keys: bool = False) -> Sampler:
+    def preset(name: str, key_by: Sequence[str] = (), hot_keys: bool | None = None) -> Sampler:
         strategy, options = PRESETS[name]
         return Sampler(strategy, tuple(options.items()), tuple(key_by), hot_keys)
 

@@ -209,9 +209,10 @@ def sink_fanout(spark, sf_dir):
 # --- levels
 
 
-@query("SELECT level, CAST(level_priority AS INTEGER) AS level_priority, level_color FROM (VALUES " + ", ".join(f"('{n}', {p}, '{c}')" for n, p, c in [*levels.LEVELS, ("AUDIT", 35, "35;1")]) + ") t(level, level_priority, level_color)")
+@query(_ord("SELECT event_id, level, level_priority, level_color FROM logs JOIN (VALUES " + ", ".join(f"('{n}', CAST({p} AS INTEGER), '{c}')" for n, p, c in [*levels.LEVELS, ("AUDIT", 35, "35;1")]) + ") t(level, level_priority, level_color) USING (level)"))
 def level_dimension(spark, sf_dir):
-    return levels.level_table(spark, {"AUDIT": (35, "35;1")})
+    """Each order's record with what the dimension of levels says about its level."""
+    return orders(spark, sf_dir).select("event_id", "level").join(levels.level_table(spark, {"AUDIT": (35, "35;1")}), "level").select("event_id", "level", "level_priority", "level_color")
 
 
 @query(
@@ -465,9 +466,17 @@ def rules_match_table(spark, sf_dir):
     return rules.match_table(orders(spark, sf_dir), known)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{n}', '    -> [{t}]', '    |-- [{t}]', '{k}')" for c, (n, t, k) in rules.CATEGORIES.items()) + ") t(category, display_name, prefix, prefix_ascii, color)")
+@query(
+    _ev(
+        _MESSAGES
+        + ", c(category, display_name, prefix, prefix_ascii, color) AS (VALUES " + ", ".join(f"('{c}', '{n}', '    -> [{t}]', '    |-- [{t}]', '{k}')" for c, (n, t, k) in rules.CATEGORIES.items())
+        + ") SELECT event_id, CAST(pos AS INTEGER) AS pos, c.category, display_name, prefix, prefix_ascii, color FROM (SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY pos) - 1 AS pos, json_extract_string(js, '$.category') AS category FROM msgs) m JOIN c USING (category)"
+    )
+)
 def rule_categories(spark, sf_dir):
-    return rules.category_table(spark)
+    """Each message that rules emit, with what its category says."""
+    emitted = RULES.evaluate(events(spark, sf_dir)).select("event_id", F.posexplode("rule_messages").alias("pos", "m")).select("event_id", "pos", F.col("m.category").alias("category"))
+    return emitted.join(rules.category_table(spark), "category").select("event_id", "pos", "category", "display_name", "prefix", "prefix_ascii", "color")
 
 
 # --- metrics
@@ -621,22 +630,34 @@ def date_pattern(spark, sf_dir):
 
 # --- scalars
 
-_SIZES = ["1024", "100B", "1KB", "1K", "10KB", "1MB", "1M", "1GB", "1G", "10 MB", "5g", "2TB", "7 parsecs", "", "invalid"]
-_TIMES = ["1000ms", "30s", "5m", "2h", "1d", "42", "3 weeks", "", "x"]
+#: What comes behind the size of a part, by its number; the last ones stand alone.
+_SIZES = ["", "B", "KB", "K", " MB", "M", "GB", "g", " tb", "T", " parsecs", "7K"]
+_TIMES = ["ms", "s", "m", "h", "d", "", " weeks", " S", "5m"]
+_ALONE = ["", "invalid", "x1"]
+
+
+def _texts(spark, sf_dir, units):
+    """A text for each part: its size and a unit, or one without digits at its beginning."""
+    n = F.pmod("p_partkey", F.lit(len(units) + len(_ALONE)))
+    made = F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, units)), F.least(n + 1, F.lit(len(units))).cast("int")))
+    alone = F.element_at(F.array(*map(F.lit, _ALONE)), F.greatest(n - len(units) + 1, F.lit(1)).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(n < len(units), made).otherwise(alone).alias("t"))
 
 
-def _texts(spark, texts):
-    return spark.createDataFrame([(t,) for t in texts], "t string")
+def _texts_sql(units):
+    k = f"p_partkey % {len(units) + len(_ALONE)}"
+    told = " ".join(f"WHEN {i} THEN p_size || '{u}'" for i, u in enumerate(units)) + " " + " ".join(f"WHEN {len(units) + i} THEN '{t}'" for i, t in enumerate(_ALONE))
+    return f"(SELECT p_partkey, CASE {k} {told} END AS t FROM part)"
 
 
-@query("SELECT t, CASE WHEN regexp_extract(t, '^(\\d+)\\s*([A-Za-z]*)', 1) <> '' THEN CAST(regexp_extract(t, '^(\\d+)\\s*([A-Za-z]*)', 1) AS BIGINT) * CASE upper(regexp_extract(t, '^(\\d+)\\s*([A-Za-z]*)', 2)) WHEN 'K' THEN 1024 WHEN 'KB' THEN 1024 WHEN 'M' THEN 1048576 WHEN 'MB' THEN 1048576 WHEN 'G' THEN 1073741824 WHEN 'GB' THEN 1073741824 WHEN 'T' THEN 1099511627776 WHEN 'TB' THEN 1099511627776 ELSE 1 END END AS v FROM (SELECT unnest([" + ", ".join(f"'{t}'" for t in _SIZES) + "]) AS t)")
+@query("SELECT p_partkey, t, CASE WHEN regexp_extract(t, '^(\\d+)\\s*([A-Za-z]*)', 1) <> '' THEN CAST(regexp_extract(t, '^(\\d+)\\s*([A-Za-z]*)', 1) AS BIGINT) * CASE upper(regexp_extract(t, '^(\\d+)\\s*([A-Za-z]*)', 2)) WHEN 'K' THEN 1024 WHEN 'KB' THEN 1024 WHEN 'M' THEN 1048576 WHEN 'MB' THEN 1048576 WHEN 'G' THEN 1073741824 WHEN 'GB' THEN 1073741824 WHEN 'T' THEN 1099511627776 WHEN 'TB' THEN 1099511627776 ELSE 1 END END AS v FROM " + _texts_sql(_SIZES))
 def parse_size(spark, sf_dir):
-    return _texts(spark, _SIZES).select("t", scalars.parse_size(F.col("t")).alias("v"))
+    return _texts(spark, sf_dir, _SIZES).select("p_partkey", "t", scalars.parse_size(F.col("t")).alias("v"))
 
 
-@query("SELECT t, CASE WHEN regexp_extract(t, '^(\\d+)\\s*([A-Za-z]*)', 1) <> '' THEN CAST(regexp_extract(t, '^(\\d+)\\s*([A-Za-z]*)', 1) AS BIGINT) * CASE regexp_extract(t, '^(\\d+)\\s*([A-Za-z]*)', 2) WHEN 's' THEN 1000 WHEN 'm' THEN 60000 WHEN 'h' THEN 3600000 WHEN 'd' THEN 86400000 ELSE 1 END END AS v FROM (SELECT unnest([" + ", ".join(f"'{t}'" for t in _TIMES) + "]) AS t)")
+@query("SELECT p_partkey, t, CASE WHEN regexp_extract(t, '^(\\d+)\\s*([A-Za-z]*)', 1) <> '' THEN CAST(regexp_extract(t, '^(\\d+)\\s*([A-Za-z]*)', 1) AS BIGINT) * CASE regexp_extract(t, '^(\\d+)\\s*([A-Za-z]*)', 2) WHEN 's' THEN 1000 WHEN 'm' THEN 60000 WHEN 'h' THEN 3600000 WHEN 'd' THEN 86400000 ELSE 1 END END AS v FROM " + _texts_sql(_TIMES))
 def parse_duration(spark, sf_dir):
-    return _texts(spark, _TIMES).select("t", scalars.parse_duration(F.col("t")).alias("v"))
+    return _texts(spark, sf_dir, _TIMES).select("p_partkey", "t", scalars.parse_duration(F.col("t")).alias("v"))
 
 
 def _rounded(x: str, unit: int, suffix: str) -> str:

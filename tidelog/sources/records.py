@@ -69,9 +69,16 @@ def timed(df: DataFrame, level: str, message: Column, start_ns: Column, end_ns:
 
 
 def diagnostics(spark: SparkSession) -> DataFrame:
-    """One INFO record about the driver's machine, with ``diag.*`` context."""
+    """One INFO record about the driver's machine - system, processor, memory, drives - with ``diag.*`` context."""
     import os
     import platform
+    import shutil
 
     facts = {"diag.os": platform.system(), "diag.arch": platform.machine(), "diag.cpu": platform.processor() or platform.machine(), "diag.cores": str(os.cpu_count())}
+    if hasattr(os, "sysconf") and "SC_PHYS_PAGES" in os.sysconf_names:
+        page = os.sysconf("SC_PAGE_SIZE")
+        facts |= {"diag.ram_total_mb": str(page * os.sysconf("SC_PHYS_PAGES") >> 20), "diag.ram_avail_mb": str(page * os.sysconf("SC_AVPHYS_PAGES") >> 20)}
+    for k, drive in enumerate(os.listdrives() if hasattr(os, "listdrives") else ["/"]):
+        used = shutil.disk_usage(drive)
+        facts |= {f"diag.drive.{k}.name": drive, f"diag.drive.{k}.total_bytes": str(used.total), f"diag.drive.{k}.free_bytes": str(used.free)}
     return records(spark, [record("info", "system diagnostics", context=facts)])
