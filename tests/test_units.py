@@ -179,7 +179,7 @@ def test_rules(spark):
     rows = log_rows(spark, [("ERROR", None, "Test error"), ("INFO", None, "x"), ("INFO", None, "y"), ("DEBUG", None, "z")])
     found = {r.event_id: [m.message for m in r.rule_messages or []] for r in book.evaluate(rows).collect()}
     assert found == {0: ["a", "b"], 1: ["c"], 2: [], 3: []}
-    assert book.stats(rows).first().asDict() == {"evaluated": 4, "matched": 2, "messages_emitted": 3, "match_rate": 0.5}
+    assert book.stats(rows).first().asDict() == {"evaluated": 4, "matched": 2, "messages_emitted": 3, "skipped": 0, "match_rate": 0.5}
     book.add_or_update(rules.Rule(1, (rules.message("docs", "d"),)))
     assert len(book) == 2 and book.get(1).messages[0].message == "d"
     assert book.remove(2) and not book.remove(999) and len(book) == 1
