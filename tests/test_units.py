@@ -310,7 +310,7 @@ def test_cron_over_whole_table(spark, sf_dir):
 
 
 def test_clean_up_in_many_tasks(spark):
-    """Against brute force, with ties, null times and ages; no group of files is one task."""
+    """Against brute force, with ties, null times and ages, in sixteen blocks; no group of files is one task."""
     rows = [(f"f{k:04}.log", None if k % 97 == 0 else k * 7919 % 900 * 40_000, None if k % 89 == 0 else k % 50, None if k % 83 == 0 else k % 45) for k in range(2000)]
     files = spark.createDataFrame(rows, "name string, mtime long, size long, age long")
     want: dict[str, str | None] = {}
@@ -322,7 +322,7 @@ def test_clean_up_in_many_tasks(spark):
             want[name] = "age" if group else "max_files" if n > 700 else "max_total_size" if total > 9_000 else None
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        got = retention.clean_up(files, "*.log", 30, 700, 9_000).select("name", "deleted", F.spark_partition_id().alias("task")).collect()
+        got = retention.clean_up(files, "*.log", 30, 700, 9_000, blocks=16).select("name", "deleted", F.spark_partition_id().alias("task")).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert {r.name: r.deleted for r in got} == want and len(got) == len(rows)
