@@ -772,6 +772,68 @@ def test_near_dedup_large_group(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == Counter(brute_components(rows, 3, 85))
 
 
+def test_near_dedup_between_blocks(spark, monkeypatch):
+    """Buckets of several blocks: one large group, smaller ones, and texts that only a chain joins, against all pairs."""
+    from tidelog.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(21)
+    base = [f"b{k}" for k in range(120)]
+    texts = [edited(rng, base, int(rng.integers(0, 3))) for _ in range(120)]  # one group
+    for part in range(6):  # groups and single texts that meet the first in buckets, but are mostly too far from it
+        own = edited(rng, base, 7).split()
+        texts += [edited(rng, own, int(rng.integers(0, 3))) for _ in range(4 + 5 * part)]
+    step = list(base)
+    for k in range(60):  # each is near the one before
+        step[2 * k] = f"c{k}"
+        texts.append(" ".join(step))
+    rows = [(k, texts[at]) for k, at in enumerate(rng.permutation(len(texts)).tolist())]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == Counter(brute_components(rows, 3, 85))
+
+
+def test_near_dedup_hot_bucket_rows(spark, monkeypatch):
+    """A bucket of different near-copies that are one group: its rows grow with its nodes, not with their square."""
+    from tidelog.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    base = [f"b{k}" for k in range(200)]
+    dealt = []
+    inner = near_dedup.active_nodes
+    monkeypatch.setattr(near_dedup, "active_nodes", lambda paired, *rest: (dealt.append(paired.count()), inner(paired, *rest))[1])
+    for n in (300, 600):
+        rows = [(k, " ".join([*base, f"d{k}"])) for k in range(n)]
+        dealt.append(None)
+        out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+        assert {r.component_id for r in out} == {0}
+    cut = dealt.index(None, 1)
+    first, second = sum(dealt[1:cut]), sum(dealt[cut + 1 :])
+    assert 300 * 10 < first < 300 * 30 and second < 2.5 * first
+
+
+def test_near_dedup_unlike_blocks(spark, monkeypatch):
+    """Each pair of nodes of different labels in a bucket meets in just one block pair, and no block has too many."""
+    from tidelog.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    labels = [b"big"] * 40 + [b"mid"] * 9 + [f"s{k}".encode() for k in range(25)] + [b"three"] * 3
+    rows = [(bucket, 0, hashlib.md5(f"{bucket} {k}".encode()).digest(), 10, x) for bucket in (1, 2) for k, x in enumerate(rng.permutation(labels).tolist())]  # noqa: S324
+    members = spark.createDataFrame(rows, "bucket long, band int, node binary, n_shingles long, label binary")
+    met, of = Counter(), {bytes(r[2]): (r[0], r[4]) for r in rows}
+    groups = defaultdict(list)
+    for r in near_dedup.unlike_blocks(members).collect():
+        groups[r.bucket, r.i, r.j].append((bytes(r.node), r.side))
+    for (_, i, j), nodes in groups.items():
+        assert len(nodes) < 60
+        for a, (x, s) in enumerate(nodes):
+            for y, t in nodes[a + 1 :]:
+                if of[x] != of[y] and (i == j or s != t):
+                    met[frozenset((x, y))] += 1
+    wanted = {frozenset((x, y)) for x in of for y in of if of[x][0] == of[y][0] and of[x][1] != of[y][1]}
+    assert met == Counter(wanted)
+
+
 def test_near_dedup_blocks_by_shingles(spark, monkeypatch):
     """Long texts: a block's sets are bounded, too."""
     from tidelog.llm import near_dedup

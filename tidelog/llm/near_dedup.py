@@ -7,17 +7,21 @@ a 128-bit digest of the set), so exact copies cost nothing further. Per node:
    (``registers``): mergeable by maximum, equal in two sets about as often as the sets are similar.
 2. Bands. ``rows`` registers make a band; nodes that agree on a band meet in a bucket. ``banding`` takes as many bands as
    leave a pair at the threshold unmet with a chance of ``MISS`` at most.
-3. Estimates. A bucket is compared in pairs of blocks, of ``BLOCK`` nodes and ``BLOCK_SHINGLES`` shingles about, so that no
-   task gets a whole large one.
+3. Estimates. A bucket is dealt into blocks, of ``BLOCK`` nodes and ``BLOCK_SHINGLES`` shingles about, so that no
+   task gets a whole large one, and each block is compared in itself.
    A pair goes on if sizes allow the threshold, if the joint likelihood of its registers is greatest at a similarity
    near it or above, and if this is the first band on which the two agree.
-4. Verification. The nodes of such pairs are fetched from their texts, as full sets, and each block pair is verified:
+4. Verification. The nodes of such pairs are fetched from their texts, as full sets, and each block is verified:
    pairs by falling estimate, those already joined in the block left out. What leaves a block are stars of joined nodes,
    never all pairs.
 5. Components of the verified links: groups join their least neighbours, and links within a group go, until none is left;
    written at each step.
+6. Buckets of several blocks (``join_blocks``) are compared between blocks too, but only nodes of different groups: first one
+   node a group, dealt anew as long as that joins at least half of the groups, then all pairs of blocks that hold
+   different groups. A bucket whose nodes have become one group is done.
 
-Work grows with the square of a bucket only in step 3, at some nanoseconds a pair; no candidates are dropped.
+A bucket of near-copies of each other so costs its nodes times ``BLOCK``. Work grows with the square of a bucket only as far as
+its nodes stay in different groups, at some nanoseconds a pair; no candidates are dropped.
 
 Defined cases. Without words (or text) a document's set is empty; it is linked with nothing, not with its like. With
 fewer words than a shingle has, the whole sequence is its one shingle. Rows of one doc_id are separate documents; a group's
@@ -37,7 +41,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm._common import claim, map_texts, materialize, release, sieve
@@ -51,7 +55,7 @@ SHIFT = 3.6 / LOG_BASE
 #: Registers at most, chance to miss a pair at the threshold, standard errors below it that an estimate may lie.
 MOST_REGISTERS, MISS, ERRORS = 128, 1e-4, 4.2
 
-#: Nodes of a bucket, and shingles of these nodes, in one block. Two blocks are compared at once.
+#: Nodes of a bucket, and shingles of these nodes, in one block. Two blocks at most are compared at once.
 BLOCK, BLOCK_SHINGLES = 256, 4_000_000
 
 #: Word hashes that a worker remembers at most.
@@ -152,10 +156,10 @@ def likeliest(equal: np.ndarray, above: np.ndarray, below: np.ndarray, n1: np.nd
     return j[np.arange(len(j)), logs.argmax(1)]
 
 
-def likely_pairs(regs: np.ndarray, sizes: np.ndarray, side: np.ndarray, within: bool, band: int, bands: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (places i, j, estimates) of a block pair that may reach the threshold and first agree on ``band``.
+def likely_pairs(regs: np.ndarray, sizes: np.ndarray, side: np.ndarray, within: bool, band: int | None, bands: int, threshold: float, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (places i, j, estimates) of a block pair that may reach the threshold and first agree on ``band`` (None: on any, or none).
 
-    ``side``: which of the two blocks a node is in; ``within``: they are one and the same.
+    ``side``: which of the two blocks a node is in; ``within``: they are one and the same. Nodes of one ``label`` are no pairs.
     """
     m = regs.shape[1]
     floor = threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / m)
@@ -170,17 +174,20 @@ def likely_pairs(regs: np.ndarray, sizes: np.ndarray, side: np.ndarray, within:
             equal += ra[:, r, None] == rb[None, :, r]
     na, nb = sizes[a].astype(float), sizes[b].astype(float)
     ok = (equal >= (floor - 0.02) * m) & (np.minimum(na[:, None], nb[None, :]) >= threshold * np.maximum(na[:, None], nb[None, :]) - 1e-9)
+    if label is not None:
+        ok &= label[a][:, None] != label[b][None, :]
     if within:
         ok &= np.tri(len(a), k=-1, dtype=bool).T
     i, j = np.nonzero(ok)
     if not len(i):
         return i, j, np.zeros(0)
     x, y = ra[i], rb[j]
-    agree = (x == y).reshape(len(i), -1)[:, : bands * (m // bands)].reshape(len(i), bands, m // bands).all(2)
-    first = agree.any(1) & (agree.argmax(1) == band)
-    i, j, x, y = i[first], j[first], x[first], y[first]
-    if not len(i):
-        return i, j, np.zeros(0)
+    if band is not None:
+        agree = (x == y).reshape(len(i), -1)[:, : bands * (m // bands)].reshape(len(i), bands, m // bands).all(2)
+        first = agree.any(1) & (agree.argmax(1) == band)
+        i, j, x, y = i[first], j[first], x[first], y[first]
+        if not len(i):
+            return i, j, np.zeros(0)
     estimate = likeliest((x == y).sum(1), (x > y).sum(1), (x < y).sum(1), na[i], nb[j])
     near = estimate >= floor
     return a[i[near]], b[j[near]], estimate[near]
@@ -237,43 +244,67 @@ def sketch(docs: DataFrame, words: int, m: int, text: str = "text", key: str = "
     return map_texts(docs, text, [F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash")], "node binary, n_shingles long, registers binary", make)
 
 
-def candidate_blocks(nodes: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
-    """(bucket, i, j, band, node, side): the nodes that have a likely partner in the block pair i, j of a bucket.
+def banded(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(node, n_shingles, band, bucket): one row a node and band."""
+    return nodes.select("node", "n_shingles", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("registers", 1 + b * rows, rows)) for b in range(bands)])).alias("band", "bucket"))
+
+
+def _weight(n: str, shingles: str) -> Column:
+    return F.greatest(F.col(n) / BLOCK, F.col(shingles) / BLOCK_SHINGLES)
+
+
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """(bucket, blocks): the buckets with two nodes or more, and how many blocks each is dealt into."""
+    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1")
+    return counts.select("bucket", F.ceil(_weight("n", "shingles")).cast("int").alias("blocks"))
+
+
+def candidate_blocks(nodes: DataFrame, bands: int, rows: int, threshold: float, shared: DataFrame | None = None) -> DataFrame:
+    """The nodes that have a likely partner in their own block of a bucket; see ``active_nodes``. ``shared``: the buckets, if known."""
+    members = banded(nodes, bands, rows)
+    met = members.join(shared_buckets(members) if shared is None else shared, "bucket").withColumn("i", F.pmod(F.xxhash64("node", "bucket"), "blocks"))
+    return active_nodes(met.select("bucket", "i", F.col("i").alias("j"), "band", "node", F.lit(0).alias("side"), F.lit(None).cast("binary").alias("label")), nodes, bands, threshold)
+
+
+_KEYS = ["bucket", "i", "j"]
+_ACTIVE = {"bucket": pa.int64(), "i": pa.int64(), "j": pa.int64(), "band": pa.int32(), "node": pa.binary(), "side": pa.int32(), "label": pa.binary(), "n_shingles": pa.int64(), "registers": pa.binary()}
+
 
-    ``nodes``: node, n_shingles, registers; one row a node.
+def _likely(group: dict[str, list], bands: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    regs = np.frombuffer(b"".join(group["registers"]), dtype=np.uint8).reshape(len(group["node"]), -1)
+    codes = {x: k for k, x in enumerate(dict.fromkeys(group["label"]))}
+    label = None if None in codes else np.array([codes[x] for x in group["label"]])
+    return likely_pairs(regs, np.array(group["n_shingles"]), np.array(group["side"]), group["i"][0] == group["j"][0], group["band"][0], bands, threshold, label)
+
+
+def active_nodes(paired: DataFrame, nodes: DataFrame, bands: int, threshold: float) -> DataFrame:
+    """(bucket, i, j, band, node, side, label, n_shingles, registers): the rows of ``paired`` whose node has a likely partner in
+    the block pair i, j of the bucket.
+
+    ``paired``: bucket, i, j, band (null: agreement on a band isn't asked for), node, side (0: in block i, else in j), label (nodes
+    of one label are no pairs; null: all differ); ``nodes``: node, n_shingles, registers, one row a node.
     """
-    banded = nodes.select("node", "n_shingles", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("registers", 1 + b * rows, rows)) for b in range(bands)])).alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1")
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    met = banded.drop("n_shingles").join(shared, "bucket").withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")})
-    paired = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("bucket", "band", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    ready = paired.join(nodes, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    ready = paired.join(nodes, "node").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "node")
 
     def active(group: dict[str, list]) -> pa.RecordBatch | None:
         if len(group["node"]) < 2:
             return None
-        regs = np.frombuffer(b"".join(group["registers"]), dtype=np.uint8).reshape(len(group["node"]), -1)
-        i, j, _ = likely_pairs(regs, np.array(group["n_shingles"]), np.array(group["side"]), group["i"][0] == group["j"][0], group["band"][0], bands, threshold)
+        i, j, _ = _likely(group, bands, threshold)
         if not len(i):
             return None
         at = np.unique(np.concatenate([i, j])).tolist()
-        return pa.RecordBatch.from_pydict({c: pa.array([group[c][k] for k in at], t) for c, t in zip(_ACTIVE, _ACTIVE_TYPES, strict=True)})
+        return pa.RecordBatch.from_pydict({c: pa.array([group[c][k] for k in at], t) for c, t in _ACTIVE.items()})
 
-    return ready.mapInArrow(_by_group(["bucket", "i", "j"], ["band", "node", "side", "n_shingles", "registers"], active), "bucket long, i int, j int, band int, node binary, side int, n_shingles long, registers binary")
-
-
-_ACTIVE = ["bucket", "i", "j", "band", "node", "side", "n_shingles", "registers"]
-_ACTIVE_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
+    schema = "bucket long, i long, j long, band int, node binary, side int, label binary, n_shingles long, registers binary"
+    return ready.mapInArrow(_by_group(_KEYS, [c for c in _ACTIVE if c not in _KEYS], active), schema)
 
 
 def verified_links(blocks: DataFrame, sets: DataFrame, bands: int, percent: int) -> DataFrame:
     """(a, b): stars of nodes that are joined by verified links inside a block pair. ``sets``: node, shingles."""
-    ready = blocks.join(sets, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    ready = blocks.join(sets, "node").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "node")
 
     def verify(group: dict[str, list]) -> pa.RecordBatch | None:
-        regs = np.frombuffer(b"".join(group["registers"]), dtype=np.uint8).reshape(len(group["node"]), -1)
-        i, j, estimate = likely_pairs(regs, np.array(group["n_shingles"]), np.array(group["side"]), group["i"][0] == group["j"][0], group["band"][0], bands, percent / 100)
+        i, j, estimate = _likely(group, bands, percent / 100)
         shingles = [np.frombuffer(s, dtype=_U) for s in group["shingles"]]
         root = list(range(len(shingles)))
 
@@ -292,7 +323,63 @@ def verified_links(blocks: DataFrame, sets: DataFrame, bands: int, percent: int)
             return None
         return pa.RecordBatch.from_pydict({"a": pa.array([group["node"][a] for a, _ in links], pa.binary()), "b": pa.array([group["node"][b] for _, b in links], pa.binary())})
 
-    return ready.mapInArrow(_by_group(["bucket", "i", "j"], ["band", "node", "side", "n_shingles", "registers", "shingles"], verify), "a binary, b binary")
+    return ready.mapInArrow(_by_group(_KEYS, [*[c for c in _ACTIVE if c not in _KEYS], "shingles"], verify), "a binary, b binary")
+
+
+def unlike_blocks(members: DataFrame) -> DataFrame:
+    """``members`` (bucket, band, node, n_shingles, label) in the block pairs of each bucket that hold different labels; see ``active_nodes``.
+
+    A label that fills half a block has blocks of its own; the others share some. Blocks of one label aren't compared to each other.
+    """
+    weights = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")).select("bucket", "label", _weight("n", "shingles").alias("weight"))
+    large = weights.where("weight > 0.5").select("bucket", F.col("label").alias("of"), F.ceil("weight").alias("blocks"))
+    small = weights.where("weight <= 0.5").groupBy("bucket").agg(F.ceil(F.sum("weight")).alias("mixed"))
+    lists = large.union(small.select("bucket", F.lit(None).cast("binary").alias("of"), F.col("mixed").alias("blocks")))
+    blocks = lists.select("bucket", "of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).withColumn("block", F.xxhash64("of", "k"))
+    one, other = blocks.select("bucket", F.col("of").alias("of_i"), F.col("block").alias("i")), blocks.select("bucket", F.col("of").alias("of_j"), F.col("block").alias("j"))
+    pairs = one.join(other, "bucket").where("i <= j AND (of_i IS NULL OR of_j IS NULL OR of_i <> of_j)")
+    sides = pairs.select("bucket", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("at"), "i", "j")
+    sides = sides.select("bucket", "at.block", "at.side", "i", "j").where("side = 0 OR i <> j")
+    placed = members.join(large.withColumnRenamed("of", "label"), ["bucket", "label"], "left").join(small, "bucket", "left")
+    own = F.when(F.col("blocks").isNotNull(), F.xxhash64("label", F.pmod(F.xxhash64("node", "bucket"), "blocks")))
+    mixed = F.xxhash64(F.lit(None).cast("binary"), F.pmod(F.xxhash64("label", "bucket"), "mixed"))
+    placed = placed.select("bucket", "band", "node", "label", F.coalesce(own, mixed).alias("block"))
+    return placed.join(sides, ["bucket", "block"]).select(*_KEYS, "band", "node", "side", "label")
+
+
+def join_blocks(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, bands: int, percent: int) -> DataFrame:
+    """``labels`` with what links between the blocks of ``members`` (bucket, band, node, n_shingles) join.
+
+    Rounds compare one node of each group of a bucket, dealt anew into blocks, as long as a round leaves at most half of the groups. Then
+    all nodes of different groups are compared, so no link between groups is missed. A bucket of one group takes no part.
+    """
+
+    def joined(labels: DataFrame, paired: DataFrame) -> DataFrame:
+        found = materialize(active_nodes(paired, nodes, bands, percent / 100), "between")
+        if found.isEmpty():
+            return labels
+        stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        return components(stars.union(verified_links(found, sets, bands, percent)))
+
+    def unlike(labels: DataFrame) -> tuple[DataFrame, int]:
+        named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        still = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        rows = materialize(named.join(still, "bucket"), "unlike")
+        return rows, rows.select("bucket", "label").distinct().count()
+
+    rows, groups = unlike(labels)
+    turn = 0
+    while groups:
+        least = F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node")
+        heads = materialize(rows.groupBy("bucket", "label").agg(least, F.max("n_shingles").alias("n_shingles")), "heads")
+        dealt = heads.join(shared_buckets(heads), "bucket").withColumn("i", F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), "blocks"))
+        labels = joined(labels, dealt.select("bucket", "i", F.col("i").alias("j"), F.lit(None).cast("int").alias("band"), "node", F.lit(0).alias("side"), "label"))
+        before = groups
+        rows, groups = unlike(labels)
+        turn += 1
+        if 2 * groups > before:
+            break
+    return joined(labels, unlike_blocks(rows)) if groups else labels
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -326,14 +413,22 @@ def grouped(docs: DataFrame, words: int, percent: int, text: str = "text", key:
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     full = per_doc.where("node IS NOT NULL")
     nodes = materialize(full.groupBy("node").agg(F.min(own).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "nodes")
-    blocks = materialize(candidate_blocks(nodes.select("node", "n_shingles", "registers"), bands, rows, percent / 100), "blocks")
-    wanted = blocks.select("node").distinct().join(nodes, "node").select("node", F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"))
+    plain = nodes.select("node", "n_shingles", "registers")
+    members = banded(plain, bands, rows)
+    shared = materialize(shared_buckets(members), "shared")
+    blocks = materialize(candidate_blocks(plain, bands, rows, percent / 100, shared), "blocks")
+    several = shared.where("blocks > 1").select("bucket")
+    spread = None if several.isEmpty() else materialize(members.join(several, "bucket"), "spread")
+    asked = blocks.select("node") if spread is None else blocks.select("node").union(spread.select("node"))
+    wanted = asked.distinct().join(nodes, "node").select("node", F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"))
     wanted = materialize(wanted, "wanted")
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).withColumn("_hash", F.xxhash64("id", "hash"))
     texts = sieve(texts, wanted.select(F.xxhash64("first_id", "first_hash").alias("_hash"))).where("_maybe")  # the other texts stay where they are
     chosen = texts.join(wanted, (F.col("hash") == F.col("first_hash")) & F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"])
     sets = materialize(map_texts(chosen, "text", ["node"], "shingles binary", lambda ts: {"shingles": [shingle_set(t, words).tobytes() for t in ts]}), "sets")
     labels = components(verified_links(blocks, sets, bands, percent))
+    if spread is not None:
+        labels = join_blocks(spread, labels, plain, sets, bands, percent)
     linked = nodes.join(labels, "node").select("node", "label", "first")
     least = linked.groupBy("label").agg(F.min("first").alias("group_first"))
     moved = linked.join(least, "label").select("node", "group_first")
