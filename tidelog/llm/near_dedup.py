@@ -390,7 +390,8 @@ def components(links: DataFrame) -> DataFrame:
     greater, and these join others, so the links run out, mostly within a few rounds. Each round is written, which cuts the
     lineage.
     """
-    both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
+    # both ways by explode: as a union, what is upstream would be computed twice
+    both = links.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("ab")).select("ab.*").distinct()
     links = materialize(both, "links")
     labels = materialize(links.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "labels")
     while not links.isEmpty():
@@ -428,7 +429,9 @@ def grouped(docs: DataFrame, words: int, percent: int, text: str = "text", key:
     sets = materialize(map_texts(chosen, "text", ["node"], "shingles binary", lambda ts: {"shingles": [shingle_set(t, words).tobytes() for t in ts]}), "sets")
     labels = components(verified_links(blocks, sets, bands, percent))
     if spread is not None:
-        labels = join_blocks(spread, labels, plain, sets, bands, percent)
+        hot = materialize(spread.select("node").distinct(), "hot")  # few of all nodes; the others' registers and sets stay
+        hot_nodes, hot_sets = materialize(plain.join(hot, "node", "left_semi"), "hot-nodes"), materialize(sets.join(hot, "node", "left_semi"), "hot-sets")
+        labels = join_blocks(spread, labels, hot_nodes, hot_sets, bands, percent)
     linked = nodes.join(labels, "node").select("node", "label", "first")
     least = linked.groupBy("label").agg(F.min("first").alias("group_first"))
     moved = linked.join(least, "label").select("node", "group_first")
