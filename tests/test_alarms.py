@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import time
 from types import SimpleNamespace
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import retention, sampling
 from tidelog.operators.filters import Filter
+from tidelog.operators.rules import Rule, Rules, message
 from tidelog.operators.sampling import Sampler, rate_limit_step
 from tidelog.plans.pipeline import LogPipeline
 from tidelog.sources import adapters
@@ -39,7 +41,7 @@ def test_alarms_of_a_stream(spark, tmp_path):
 
 
 def test_readings_and_bad_callbacks(spark):
-    progress = SimpleNamespace(name="q", id="i", batchId=3, timestamp="t", numInputRows=10, durationMs={"triggerExecution": 500}, observedMetrics={"tidelog_in": {"records": 10}, "tidelog_out": {"records": 4, "errors": 1}})
+    progress = SimpleNamespace(name="q", id="i", batchId=3, timestamp="t", numInputRows=10, durationMs={"triggerExecution": 500}, observedMetrics={"tidelog_in": {"records": 10}, "tidelog_out": {"records": 4, "errors": 1}}, stateOperators=[])
     assert readings(progress) == {"latency_ms": 500.0, "records_per_second": 20.0, "error_rate": 0.25, "drop_rate": 0.6}
     empty = SimpleNamespace(**{**progress.__dict__, "numInputRows": 0, "durationMs": {}, "observedMetrics": {"tidelog_in": {"records": 0}, "tidelog_out": {"records": 0, "errors": 0}}})
     assert set(readings(empty).values()) == {0.0}
@@ -53,6 +55,43 @@ def test_readings_and_bad_callbacks(spark):
         Alarms(spark, {"loudness": 1})
 
 
+def test_late_rows_and_matches(spark, tmp_path):
+    """Three files, the last two days behind but for one record; a watermark drops rows from the batch on that follows the one which moves it."""
+    day = 86_400_000
+    for n, times in enumerate(([10 * day, 10 * day + 1], [10 * day + 3], [8 * day, 8 * day + 7_200_000, 10 * day + 2])):
+        part = spark.createDataFrame([(f"value={t % 7}", t) for t in times], "message string, ts_ms long").withColumn("ts", F.timestamp_millis("ts_ms"))
+        part.coalesce(1).write.parquet(f"{tmp_path}/p{n}")
+        (file,) = (tmp_path / f"p{n}").glob("*.parquet")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        file.rename(tmp_path / "in" / f"{n}.parquet")
+        os.utime(tmp_path / "in" / f"{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    rows = spark.readStream.schema("message string, ts_ms long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    rows = rows.withColumns({"level": F.lit("INFO"), "priority": F.lit(20)})
+    called: list[Alarm] = []
+    with Alarms(spark, {"late_rows": 1}, called.append):
+        windows.start(windows.level_counts(rows, "1 hour", "1 hour"), f"{tmp_path}/out", f"{tmp_path}/check", "drain").awaitTermination()
+        for _ in range(100):
+            if called:
+                break
+            time.sleep(0.1)
+    assert [(a.metric, a.value, a.most) for a in called] == [("late_rows", 2.0, 1)]
+
+    book = Rules()
+    book.add(Rule(7, (message("note", "five"),), message_contains="value=5"))
+    book.add(Rule(9, (message("note", "never"),), message_contains="value=x"))
+    heard: list[tuple] = []
+    events = adapters.events(windows.read_stream(spark, "/root/testdata/sf0.001/events.parquet"))
+    with Alarms(spark, {}, matches=lambda *told: heard.append(told)):
+        windows.start(measured(events, LogPipeline("TRACE", rules=book)), f"{tmp_path}/out2", f"{tmp_path}/check2", "drain").awaitTermination()
+        for _ in range(100):
+            if heard:
+                break
+            time.sleep(0.1)
+    batch = adapters.events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    want = batch.where("message LIKE '%value=5%'").count()
+    assert want and [(b, c) for _, b, c in heard] == [(0, {7: want, 9: 0})]
+
+
 def test_states_of_a_stream_end(spark, tmp_path):
     """Keys come and go: a thousand in all, about a tenth of them with an open window."""
     for n in range(10):
@@ -61,8 +100,6 @@ def test_states_of_a_stream_end(spark, tmp_path):
         (file,) = (tmp_path / f"p{n}").glob("*.parquet")
         (tmp_path / "in").mkdir(exist_ok=True)
         file.rename(tmp_path / "in" / f"{n}.parquet")
-        import os
-
         os.utime(tmp_path / "in" / f"{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
     rows = spark.readStream.schema("event_id long, ts_ms long, k string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     flagged = stateful.rate_limit(rows, 1, 500, ["k"], ["event_id", "ts_ms", "k"], late="0 seconds")
