@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.operators import rules as rule_tables
 from tidelog.operators.rules import Rule, Rules, match_table, message, pieces
 
 RECORDS = "event_id long, priority int, module string, function string, message string"
@@ -76,6 +77,25 @@ def test_ten_thousand_rules_without_a_nested_loop(spark):
     assert [p for p in got if p[1] in ids] == brute(records, sample) and len(got) > 1000
 
 
+def test_few_rules_are_broadcast_and_never_the_records(spark):
+    records, book = some(4)
+    pairs = match_table(spark.createDataFrame(records, RECORDS), spark.createDataFrame(book, RULES))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BuildLeft" not in plan and "BroadcastHashJoin" in plan
+    assert sorted(map(tuple, pairs.collect())) == brute(records, book)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_many_rules_are_shuffled_and_records_not_broadcast(spark, monkeypatch, seed):
+    monkeypatch.setattr(rule_tables, "FEW_RULES", 5 if seed == 5 else 0)
+    records, book = some(seed)
+    book += book[:20]  # rules that are there twice
+    pairs = match_table(spark.createDataFrame(records, RECORDS), spark.createDataFrame(book, RULES))
+    assert sorted(map(tuple, pairs.collect())) == brute(records, book)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not any("BroadcastHashJoin" in line and "Inner" in line for line in plan.splitlines() if seed == 6)
+
+
 def test_pieces(spark):
     df = spark.createDataFrame([("abcabc",), ("ab",), ("",), (None,), ("é漢😀x",)], "t string")
     assert [r.p for r in df.select(pieces(F.col("t")).alias("p")).collect()] == [["abc", "bca", "cab"], [], [], [], ["é漢😀", "漢😀x"]]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.scalars import rate
+from tidelog.operators.blocks import written
 from tidelog.schema import PRIORITY, RULE_MESSAGE
 
 #: Category, display name, tag of the prefixes, ANSI colour.
@@ -272,18 +273,55 @@ class Rules:
         return out.agg(evaluated.alias("evaluated"), matched.alias("matched"), emitted.alias("messages_emitted"), skipped.alias("skipped"), rate(matched, evaluated).alias("match_rate"))
 
 
-#: Characters of the pieces by which a rule's text is looked up.
+#: Characters of the shortest pieces by which a rule's text is looked up, and by how much longer ones there are.
 PIECE = 3
+LONGER = (1,)
+#: Rules of a kind, and characters of their texts, that are broadcast at most. More are shuffled, as records are.
+FEW_RULES, FEW_CHARACTERS = 20_000, 2_000_000
+#: How many numbers stand for the first characters of pieces.
+OPENINGS = 1 << 16
 
 
 def pieces(text: Column, size: int = PIECE) -> Column:
     """The distinct runs of ``size`` characters of a text; linear in its length."""
-    letters = F.split(text, "")
-    runs = letters
-    for k in range(1, size):  # each letter with the k-th one behind it; null where there is none
-        runs = F.zip_with(runs, F.slice(letters, k + 1, F.length(text)), lambda run, letter: F.concat(run, letter))
-    whole = F.filter(runs, lambda run: F.length(run) == size)
-    return F.array_distinct(F.coalesce(F.when(F.length(text) >= size, whole), F.array().cast("array<string>")))
+    runs = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))  # looks ahead from each character
+    return F.array_distinct(F.coalesce(runs, F.array().cast("array<string>")))
+
+
+def _opening(piece: Column) -> Column:
+    return F.pmod(F.xxhash64(F.left(piece, F.lit(PIECE))), F.lit(OPENINGS))
+
+
+def _opened(cut: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``cut`` without pieces that begin like none of ``wanted``, by a broadcast of at most ``OPENINGS`` numbers."""
+    openings = wanted.select(_opening(F.col("piece")).alias("_opening")).distinct()
+    return cut.withColumn("_opening", _opening(F.col("piece"))).join(F.broadcast(openings), "_opening", "left_semi").drop("_opening")
+
+
+def _met(rows: DataFrame, rules: DataFrame, on: Column | str, few: bool) -> DataFrame:
+    """Records never are what is broadcast: their compressed size says little about what they take on the driver."""
+    return rows.join(F.broadcast(rules), on) if few else rows.hint("merge").join(rules.hint("merge"), on)
+
+
+def _met_by_text(rows: DataFrame, mine: DataFrame, sizes: Sequence[int], few: bool) -> DataFrame:
+    """Records with the rules ``mine`` (``r_piece``: one of ``sizes``) that are looked up by a piece which they have."""
+    cut = rows.where("message IS NOT NULL").withColumn("piece", F.explode(F.concat(*[pieces(F.col("message"), s) for s in sizes])))
+    own = F.array().cast("array<string>")
+    for s in sizes:
+        own = F.when(F.col("r_piece") == s, pieces(F.col("text"), s)).otherwise(own)
+    texts = mine.select(F.col("r_message_contains").alias("text"), "r_piece").distinct()
+    asked = texts.select("text", F.explode(own).alias("piece"))
+    there = cut.select("piece")
+    there = there.join(F.broadcast(asked.select("piece").distinct()), "piece", "left_semi") if few else _opened(there, asked)
+    often = there.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    # of few rules the counts are of their pieces alone; of many, they are as many as the records' pieces
+    counted = asked.join(F.broadcast(often), "piece", "left") if few else asked.hint("merge").join(often.hint("merge"), "piece", "left")
+    best = counted.groupBy("text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best"))
+    best = best.where("best.n > 0").select("text", "best.piece")  # a rule whose rarest piece no record has matches none
+    if not few:
+        best = written(best, "pieces")
+        cut = _opened(cut, best)
+    return _met(cut, _met(mine, best, F.col("r_message_contains") == F.col("text"), few).drop("text"), "piece", few)
 
 
 def match_table(records: DataFrame, rules: DataFrame, id_column: str = "event_id", size: int = PIECE) -> DataFrame:
@@ -291,8 +329,10 @@ def match_table(records: DataFrame, rules: DataFrame, id_column: str = "event_id
 
     However many rules there are, records meet theirs by equality, and what else a rule asks for is tested after. A rule with a text of at
     least ``size`` characters is looked up by that piece of its text which the fewest records have; a message has a piece of itself
-    for each place. Other rules go by module, by function, or by each of the priorities that there are. Null fields of a rule ask for
-    nothing; a null field of a record fails what is asked.
+    for each place. Other rules go by module, by function, or by each of the priorities that there are. Null fields of
+    a rule ask for nothing; a null field of a record fails what is asked.
+
+    Few rules of a kind are broadcast, and records stay where they are; for many, both are shuffled.
     """
     r = rules.where("enabled").select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
     function = F.col("function") if "function" in records.columns else F.lit(None).cast("string")
@@ -304,26 +344,27 @@ def match_table(records: DataFrame, rules: DataFrame, id_column: str = "event_id
         & (F.col("r_function").isNull() | F.coalesce(F.col("function") == F.col("r_function"), F.lit(False)))
         & (F.col("r_message_contains").isNull() | F.contains("message", "r_message_contains"))
     )
-    kind = F.when(F.length("r_message_contains") >= size, "text").when(F.col("r_module").isNotNull(), "module").when(F.col("r_function").isNotNull(), "function").otherwise("level")
-    r = r.withColumn("r_kind", kind)
-    kinds = {k["r_kind"] for k in r.select("r_kind").distinct().collect()}
+    length = F.length("r_message_contains")
+    kind = F.when(length >= size, "text").when(F.col("r_module").isNotNull(), "module").when(F.col("r_function").isNotNull(), "function").otherwise("level")
+    piece = F.lit(None).cast("int")
+    for k in LONGER:
+        piece = F.when(length >= k * size, k * size).otherwise(piece)
+    r = r.withColumns({"r_kind": kind, "r_piece": piece})
+    counts = r.groupBy("r_kind", F.when(F.col("r_kind") == "text", F.col("r_piece")).alias("piece")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(length, F.lit(0))).alias("characters")).collect()  # at most seven rows
+    kinds = {(c["r_kind"], c["piece"]): c["n"] <= FEW_RULES and c["characters"] <= FEW_CHARACTERS for c in counts}
     found = []
-    if "text" in kinds:
-        cut = rows.where("message IS NOT NULL").withColumn("piece", F.explode(pieces(F.col("message"), size)))
-        mine = r.where("r_kind = 'text'").withColumns({"r_rule": F.struct(*[c for c in r.columns]), "piece": F.explode(pieces(F.col("r_message_contains"), size))})
-        wanted = mine.select("piece").distinct()
-        often = cut.select("piece").join(wanted, "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-        rarest = mine.join(often, "piece", "left").groupBy("r_rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best"))
-        # a rule whose rarest piece no record has matches none
-        found.append(cut.join(rarest.where("best.n > 0").select("r_rule.*", F.col("best.piece").alias("piece")), "piece"))
-    found += [rows.join(r.where(F.col("r_kind") == k), F.col(k) == F.col(f"r_{k}")) for k in ("module", "function") if k in kinds]
-    if "level" in kinds:
+    for few in (True, False):
+        sizes = sorted(s for (k, s), v in kinds.items() if k == "text" and v == few)
+        if sizes:
+            found.append(_met_by_text(rows, r.where((F.col("r_kind") == "text") & F.col("r_piece").isin(sizes)), sizes, few))
+    found += [_met(rows, r.where(F.col("r_kind") == k), F.col(k) == F.col(f"r_{k}"), kinds[k, None]) for k in ("module", "function") if (k, None) in kinds]
+    if ("level", None) in kinds:
         there = sorted(p["priority"] for p in rows.select("priority").where("priority IS NOT NULL").distinct().collect())  # levels: a few numbers
         all_of = F.array(*[F.lit(p) for p in there]).cast("array<int>")
         own = F.filter(all_of, lambda p: F.coalesce(p >= F.col("r_level_min"), F.lit(True)) & F.coalesce(p <= F.col("r_level_max"), F.lit(True)))
         free = F.col("r_level_min").isNull() & F.col("r_level_max").isNull()
         by_level = r.where("r_kind = 'level'").withColumn("r_priority", F.explode(F.concat(F.transform(own, lambda p: p.cast("string")), F.when(free, F.array(F.lit("none"))).otherwise(F.array().cast("array<string>")))))
-        found.append(rows.join(by_level, F.coalesce(F.col("priority").cast("string"), F.lit("none")) == F.col("r_priority")))
+        found.append(_met(rows, by_level, F.coalesce(F.col("priority").cast("string"), F.lit("none")) == F.col("r_priority"), kinds["level", None]))
     if not found:
         return rows.select(id_column, F.lit(None).cast(rules.schema["id"].dataType).alias("rule_id")).limit(0)
     out = None
