@@ -96,6 +96,18 @@ def test_many_rules_are_shuffled_and_records_not_broadcast(spark, monkeypatch, s
     assert "SortMergeJoin" in plan and not any("BroadcastHashJoin" in line and "Inner" in line for line in plan.splitlines() if seed == 6)
 
 
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_records_meet_few_rules_besides_their_own(spark, monkeypatch, most):
+    monkeypatch.setattr(rule_tables, "FEW_RULES", most)
+    met = []
+    monkeypatch.setattr(rule_tables, "_met_by_text", lambda *a, real=rule_tables._met_by_text: met.append(real(*a)) or met[-1])
+    n = 5000
+    df = spark.range(n).selectExpr("id AS event_id", "20 AS priority", "'m' AS module", "'f' AS function", "concat('order ', id + 10000, ' quantity=', id % 50) AS message")
+    book = spark.range(n).selectExpr("CAST(id AS INT) AS id", "true AS enabled", "CAST(NULL AS INT) AS level_min", "CAST(NULL AS INT) AS level_max", "CAST(NULL AS STRING) AS module", "CAST(NULL AS STRING) AS function", "concat('order ', id + 10000, ' ') AS message_contains")
+    assert sorted(map(tuple, match_table(df, book).collect())) == [(k, k) for k in range(n)]
+    assert sum(m.count() for m in met) <= 2 * n  # by three characters, some hundred rules a record
+
+
 def test_pieces(spark):
     df = spark.createDataFrame([("abcabc",), ("ab",), ("",), (None,), ("é漢😀x",)], "t string")
     assert [r.p for r in df.select(pieces(F.col("t")).alias("p")).collect()] == [["abc", "bca", "cab"], [], [], [], ["é漢😀", "漢😀x"]]

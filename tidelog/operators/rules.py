@@ -273,9 +273,9 @@ class Rules:
         return out.agg(evaluated.alias("evaluated"), matched.alias("matched"), emitted.alias("messages_emitted"), skipped.alias("skipped"), rate(matched, evaluated).alias("match_rate"))
 
 
-#: Characters of the shortest pieces by which a rule's text is looked up, and by how much longer ones there are.
+#: Characters of the shortest pieces by which a rule's text is looked up; longer texts are, by pieces 2, 4 or 8 times as long.
 PIECE = 3
-LONGER = (1,)
+LONGER = (1, 2, 4, 8)
 #: Rules of a kind, and characters of their texts, that are broadcast at most. More are shuffled, as records are.
 FEW_RULES, FEW_CHARACTERS = 20_000, 2_000_000
 #: How many numbers stand for the first characters of pieces.
@@ -329,7 +329,8 @@ def match_table(records: DataFrame, rules: DataFrame, id_column: str = "event_id
 
     However many rules there are, records meet theirs by equality, and what else a rule asks for is tested after. A rule with a text of at
     least ``size`` characters is looked up by that piece of its text which the fewest records have; a message has a piece of itself
-    for each place. Other rules go by module, by function, or by each of the priorities that there are. Null fields of
+    for each place. A piece has ``size`` characters, or 2, 4 or 8 times as many, the most that the text has, so that it stays rare however
+    many records and rules there are. Other rules go by module, by function, or by each of the priorities that there are. Null fields of
     a rule ask for nothing; a null field of a record fails what is asked.
 
     Few rules of a kind are broadcast, and records stay where they are; for many, both are shuffled.
