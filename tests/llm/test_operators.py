@@ -1023,3 +1023,17 @@ def test_segment_tree_on_random_strings(encoding):
         assert own.encode([text])[0].tolist() == encoding.encode_ordinary(text)
 
     same()
+
+
+def test_members_of_shared_buckets_are_told_before_a_shuffle(spark):
+    """Nodes that are alone in their buckets mostly stay where they are, and all others go on."""
+    from pyspark.sql import functions as F
+
+    from tidelog.llm import near_dedup
+
+    members = spark.range(20_000).select(F.when(F.col("id") < 400, F.col("id") % 200).otherwise(F.col("id")).alias("k"), F.col("id").cast("string").cast("binary").alias("node"), F.lit(5).cast("long").alias("n_shingles"))
+    members = members.select("node", "n_shingles", F.lit(0).alias("band"), F.xxhash64("k").alias("bucket"))
+    shared = near_dedup.shared_buckets(members)
+    left = near_dedup.in_shared(members, shared)
+    assert left.columns == members.columns and left.count() < 2_000
+    assert left.join(shared, "bucket").count() == 400 == members.join(shared, "bucket").count()

@@ -259,10 +259,17 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return counts.select("bucket", F.ceil(_weight("n", "shingles")).cast("int").alias("blocks"))
 
 
+def in_shared(members: DataFrame, shared: DataFrame) -> DataFrame:
+    """The ``members`` that are in one of the buckets ``shared``, and a few hundredths of the others: most nodes are alone in a bucket,
+    and needn't be shuffled to find that out."""
+    return sieve(members.withColumn("_hash", F.col("bucket")), shared.select(F.col("bucket").alias("_hash"))).where("_maybe").drop("_hash", "_maybe")
+
+
 def candidate_blocks(nodes: DataFrame, bands: int, rows: int, threshold: float, shared: DataFrame | None = None) -> DataFrame:
     """The nodes that have a likely partner in their own block of a bucket; see ``active_nodes``. ``shared``: the buckets, if known."""
     members = banded(nodes, bands, rows)
-    met = members.join(shared_buckets(members) if shared is None else shared, "bucket").withColumn("i", F.pmod(F.xxhash64("node", "bucket"), "blocks"))
+    shared = shared_buckets(members) if shared is None else shared
+    met = in_shared(members, shared).join(shared, "bucket").withColumn("i", F.pmod(F.xxhash64("node", "bucket"), "blocks"))
     return active_nodes(met.select("bucket", "i", F.col("i").alias("j"), "band", "node", F.lit(0).alias("side"), F.lit(None).cast("binary").alias("label")), nodes, bands, threshold)
 
 
@@ -419,7 +426,7 @@ def grouped(docs: DataFrame, words: int, percent: int, text: str = "text", key:
     shared = materialize(shared_buckets(members), "shared")
     blocks = materialize(candidate_blocks(plain, bands, rows, percent / 100, shared), "blocks")
     several = shared.where("blocks > 1").select("bucket")
-    spread = None if several.isEmpty() else materialize(members.join(several, "bucket"), "spread")
+    spread = None if several.isEmpty() else materialize(in_shared(members, several).join(several, "bucket"), "spread")
     asked = blocks.select("node") if spread is None else blocks.select("node").union(spread.select("node"))
     wanted = asked.distinct().join(nodes, "node").select("node", F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"))
     wanted = materialize(wanted, "wanted")
