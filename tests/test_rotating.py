@@ -143,3 +143,14 @@ def test_a_stream_of_files(spark, tmp_path):
     rotating.start(rows, rotation, formatting.default_line(batch.columns), f"file://{tmp_path}/check", "drain").awaitTermination()
     want = sorted(r.line for r in batch.select(formatting.default_line(batch.columns).alias("line")).collect())
     assert sorted(r.value for r in rotating.read_lines(spark, rotation).collect()) == want
+
+
+def test_records_are_told_their_files_by_a_table(spark, tmp_path, monkeypatch):
+    """A map of all files in an expression is searched from its beginning for each record: files times records."""
+    def grows(*_):
+        raise AssertionError("an expression that holds every file")
+
+    monkeypatch.setattr(rotating.F, "create_map", grows)
+    rotation, rows = Rotation(f"{tmp_path}/logs", limit=300, interval="daily"), records(120)
+    run(spark, rotation, cut(rows, 2))
+    assert sorted(map(sorted, found(spark, rotation).values())) == sorted(map(sorted, planned(rows, 300, "daily")))

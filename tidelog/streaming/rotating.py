@@ -103,8 +103,9 @@ def _plan(batch: DataFrame, number: int, rotation: Rotation, line: Column, state
         goes_on = begun and (found[0]["period"], found[0]["_index"]) == (state["bucket"], 0)
         first = state["open"] if goes_on or not begun else state["open"] + 1
         ordinal = {(f["period"], f["_index"]): first + k for k, f in enumerate(found)}
-        pairs = F.create_map(*[F.lit(x) for key, n in ordinal.items() for x in (f"{key[0]}/{key[1]}", n)])
-        numbered = told.withColumn("file", pairs[F.concat_ws("/", "period", "_index")])
+        # a table, not a map in an expression, which each record would search from its beginning
+        files_ = batch.sparkSession.createDataFrame([(*key, n) for key, n in ordinal.items()], "period long, _index long, file long")
+        numbered = told.join(F.broadcast(files_), ["period", "_index"])
         ranges = numbered.repartitionByRange("file", "_at", "_id").sortWithinPartitions("file", "_at", "_id")
         parts = f"{rotation.folder.rstrip('/')}/_parts/{number}"
         ranges.select("value", "file").write.mode("overwrite").partitionBy("file").text(parts)
